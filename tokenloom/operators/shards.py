@@ -21,8 +21,8 @@ VAL_RATIO = 0.01
 def shard_overlaps(spans: DataFrame, plan: SplitPlan) -> DataFrame:
     """Span × shard overlap without a range join: a span's shards are an arithmetic sequence.
 
-    Adds ``split``, ``shard``, ``p_start``/``p_end`` (position inside the shard) and ``skip``
-    (tokens of the span that lie before the overlap).
+    Adds ``split``, ``shard``, ``shard_tokens``, ``p_start``/``p_end`` (position inside the shard)
+    and ``skip`` (tokens of the span that lie before the overlap).
     """
     no = F.col("__no")
     return (
@@ -34,6 +34,7 @@ def shard_overlaps(spans: DataFrame, plan: SplitPlan) -> DataFrame:
             {
                 "split": F.when(plan.is_val(no), F.lit("val")).otherwise(F.lit("train")),
                 "shard": F.when(plan.is_val(no), no).otherwise(no - plan.val_shards),
+                "shard_tokens": F.col("__to") - F.col("__at"),
                 "p_start": F.col("__lo") - F.col("__at"),
                 "p_end": F.col("__hi") - F.col("__at"),
                 "skip": F.col("__lo") - F.col("g_start"),
