@@ -11,10 +11,14 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: how the end-of-text token reads when decoded.
 EOS_TEXT = "<|endoftext|>"
 
+_IDS = T.ArrayType(T.IntegerType())
+_TEXT = T.StringType()
+
 #: The tables of one tokenizer travel to every worker; this bounds them.
 MAX_RANK_BYTES = 64 << 20
 
@@ -36,7 +40,7 @@ class Tokenizer:
 
 
 def _empty_tokens() -> Column:
-    return F.array().cast("array<int>")
+    return F.array().cast(_IDS)
 
 
 def codepoint() -> Tokenizer:
@@ -65,7 +69,7 @@ def utf8_bytes() -> Tokenizer:
     """Token id = UTF-8 byte."""
     eos = 256
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf(_IDS)
     def byte_ids(texts):
         import numpy as np
         import pyarrow as pa
@@ -113,14 +117,14 @@ def rank_file_bpe(path: str, pattern: str, eos_id: int | None = None, name: str
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in pairs}
         return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={EOS_TEXT: eos})
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf(_IDS)
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoding = build()
         for texts in batches:
             ids = encoding.encode_ordinary_batch([t or "" for t in texts.to_pylist()], num_threads=1)
             yield pa.array(ids, type=pa.list_(pa.int32()))
 
-    @F.arrow_udf("string")
+    @F.arrow_udf(_TEXT)
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import pyarrow as pa
 
@@ -141,7 +145,7 @@ def tokenizer_json(path: str, eos_token: str = EOS_TEXT, name: str = "tokenizer-
     if eos is None:
         raise ValueError(f"{path} has no token {eos_token!r}")
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf(_IDS)
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import pyarrow as pa
         from tokenizers import Tokenizer as Loaded
@@ -151,7 +155,7 @@ def tokenizer_json(path: str, eos_token: str = EOS_TEXT, name: str = "tokenizer-
             rows = loaded.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
             yield pa.array([row.ids for row in rows], type=pa.list_(pa.int32()))
 
-    @F.arrow_udf("string")
+    @F.arrow_udf(_TEXT)
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import pyarrow as pa
         from tokenizers import Tokenizer as Loaded

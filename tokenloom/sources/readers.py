@@ -18,6 +18,9 @@ from tokenloom.functions import text as tx
 #: Up to this many files the file order is broadcast to the scan, past it it is joined.
 MAX_BROADCAST_FILES = 200_000
 
+#: A whole book is one row; anything larger is read by lines.
+MAX_BOOK_BYTES = 256 << 20
+
 #: Rows of one file get an order below this; the file's own order goes above.
 FILE_BITS = 40
 
@@ -142,12 +145,28 @@ def news_articles(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
-def books(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Whole books as ``(path, name, text)``, and the paths that are no valid UTF-8."""
-    raw = spark.read.format("binaryFile").load(paths).select(
+def book_lines(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Lines of books, and the paths of books that are no valid UTF-8.
+
+    A bad book is left out whole, the others are not affected.
+    """
+    lines = documents_by_line(spark, paths)
+    bad = lines.where(~F.is_valid_utf8("text")).select("path").distinct()
+    return lines.join(bad, "path", "left_anti"), bad
+
+
+def whole_books(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Books of ordinary size as one row ``(path, name, text)`` each, and the paths that are no valid UTF-8.
+
+    A file over ``MAX_BOOK_BYTES`` fails the job by name; read that one with ``book_lines``.
+    """
+    raw = spark.read.format("binaryFile").load(_many(paths)).select(
         _path(),
         F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("name"),
-        F.try_validate_utf8(F.col("content").cast("string")).alias("text"),
+        F.when(
+            F.col("length") > MAX_BOOK_BYTES,
+            F.raise_error(F.concat(F.lit("too large for one row: "), F.col("path"))),
+        ).otherwise(F.try_validate_utf8(F.col("content").cast("string"))).alias("text"),
     )
     good = raw.where(F.col("text").isNotNull())
     return good, raw.where(F.col("text").isNull()).select("path")
