@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.names import ceil_div, int_div
 from tokenloom.operators.ordering import RunningSums, running_sums
 from tokenloom.operators.tokenizers import Tokenizer
+from tokenloom.session import spread
 
 EOS_MODES = ("source", "document", "none")
 
@@ -21,7 +22,7 @@ def _long(value: int) -> Column:
 def tokenize(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """``docs`` with ``tokens`` and ``n``, without the text."""
     tokens = tokenizer.encode(F.col("text"))
-    return docs.select("source_no", "doc_ord", tokens.alias("tokens")).withColumn(
+    return spread(docs).select("source_no", "doc_ord", tokens.alias("tokens")).withColumn(
         "n", F.size("tokens").cast("bigint")
     )
 
@@ -45,7 +46,7 @@ def token_rows(
     eos: str = "source",
     sources: DataFrame | None = None,
 ) -> tuple[DataFrame, Column]:
-    """Rows with ``n``, and the expression that yields their ``tokens``.
+    """Rows with ``n``, a content ``digest`` and ``bytes``, and the expression that yields their ``tokens``.
 
     Input is ``(source_no, doc_ord, text)`` or the token cache ``(source_no, doc_ord, n, tokens)``.
     Where the tokenizer can count without encoding, rows keep their text and the
@@ -57,12 +58,21 @@ def token_rows(
     cached = "tokens" in docs.columns
     counted = not cached and tokenizer.count is not None
     if cached:
-        payload, rows = "tokens", docs.select("source_no", "doc_ord", "n", "tokens")
-    elif counted:
-        payload = "text"
-        rows = docs.select("source_no", "doc_ord", tokenizer.count(F.col("text")).alias("n"), "text")
+        prints = [F.lit(None).cast("bigint").alias(c) for c in ("digest", "bytes")]
+        payload, rows = "tokens", docs.select("source_no", "doc_ord", "n", "tokens", *prints)
     else:
-        payload, rows = "tokens", tokenize(docs, tokenizer).select("source_no", "doc_ord", "n", "tokens")
+        prints = [
+            F.xxhash64("doc_ord", "text").alias("digest"),
+            F.octet_length("text").cast("bigint").alias("bytes"),
+        ]
+        if counted:
+            payload = "text"
+            rows = docs.select("source_no", "doc_ord", tokenizer.count(F.col("text")).alias("n"), "text", *prints)
+        else:
+            payload, encoded = "tokens", tokenizer.encode(F.col("text")).alias("tokens")
+            rows = spread(docs).select("source_no", "doc_ord", encoded, *prints).withColumn(
+                "n", F.size("tokens").cast("bigint")
+            )
 
     tokens = tokenizer.encode(F.col("text")) if counted else F.col("tokens")
     if eos == "document":
@@ -70,7 +80,10 @@ def token_rows(
     if eos == "none":
         return rows, tokens
     ends = eos_rows(docs, sources).select(
-        "source_no", "doc_ord", _long(1).alias("n"), F.lit(None).cast(rows.schema[payload].dataType).alias(payload)
+        "source_no",
+        "doc_ord",
+        _long(1).alias("n"),
+        *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in (payload, "digest", "bytes")],
     )
     rows = rows.withColumn("is_end", F.lit(False)).unionByName(ends.withColumn("is_end", F.lit(True)))
     return rows, F.when(F.col("is_end"), end).otherwise(tokens)

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 BLOCK_BITS = 12
@@ -41,6 +42,17 @@ class RunningSums:
         return self.blocks.groupBy(*keys).agg(*[F.sum(n).alias(f"total_{n}") for n in names])
 
 
+def _present(df: DataFrame, name: str) -> Column:
+    """The key itself, an error where it is NULL: such a row would have no place and be lost.
+
+    It also makes the key non-nullable, so that no inferred filter tells apart the two uses of the
+    thin table and its shuffle is shared.
+    """
+    kind = df.schema[name].dataType
+    fallback = F.lit("" if isinstance(kind, T.StringType) else -1).cast(kind)
+    return F.coalesce(F.col(name), F.raise_error(F.lit(f"order key {name} is NULL")).cast(kind), fallback)
+
+
 def running_sums(
     df: DataFrame,
     values: Mapping[str, str],
@@ -59,7 +71,8 @@ def running_sums(
     outer = [*restart, *majors]
     in_block = [*outer, _BLOCK]
     in_group = [*outer, _GROUP]
-    blocked = df.withColumn(_BLOCK, F.shiftright(F.col(minor), block_bits))
+    keyed = df.withColumns({k: _present(df, k) for k in [*outer, minor]})
+    blocked = keyed.withColumn(_BLOCK, F.shiftright(F.col(minor), block_bits))
 
     blocks = blocked.groupBy(*in_block).agg(*[F.sum(v).cast("bigint").alias(v) for v in values])
     grouped = blocks.withColumn(_GROUP, F.shiftright(F.col(_BLOCK), group_bits))

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -32,7 +32,15 @@ from tokenloom.session import SHARD_READ_BATCH_ROWS, scratch_dir, shuffle_partit
 #: Up to this many sources the manifest is broadcast to the cache scan, past it it is joined.
 MAX_BROADCAST_SOURCES = 500_000
 
-_CACHE = T.StructType([*schemas.TOKEN_CACHE.fields, T.StructField("s_start", T.LongType()), T.StructField("run", T.StringType())])
+_CACHE = T.StructType(
+    [
+        *schemas.TOKEN_CACHE.fields,
+        T.StructField("s_start", T.LongType()),
+        T.StructField("digest", T.LongType()),
+        T.StructField("bytes", T.LongType()),
+        T.StructField("run", T.StringType()),
+    ]
+)
 _MANIFEST = T.StructType(
     [
         T.StructField("source_no", T.IntegerType()),
@@ -52,16 +60,19 @@ _PUBLISHED = T.StructType(
 )
 
 
+def _signature() -> Column:
+    parts = [F.count("digest").cast("string"), F.sum("bytes").cast("string"), F.hex(F.bit_xor("digest"))]
+    return F.concat_ws("-", *parts).alias("signature")
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """Content signature per source: document count, bytes, and an order-free hash of all documents."""
-    return docs.groupBy("source_no").agg(
-        F.concat_ws(
-            "-",
-            F.count("*").cast("string"),
-            F.sum(F.octet_length("text").cast("bigint")).cast("string"),
-            F.hex(F.bit_xor(F.xxhash64("doc_ord", "text"))),
-        ).alias("signature")
+    prints = docs.select(
+        "source_no",
+        F.xxhash64("doc_ord", "text").alias("digest"),
+        F.octet_length("text").cast("bigint").alias("bytes"),
     )
+    return prints.groupBy("source_no").agg(_signature())
 
 
 class Corpus:
@@ -124,24 +135,21 @@ class Corpus:
             rows, tokens = self.spark.read.schema(built.schema).parquet(staged), F.col("tokens")
         placed = running_sums(rows, {"n": "s_start"}, minor="doc_ord", restart=["source_no"]).rows
         run = uuid.uuid4().hex
-        placed.select("source_no", "doc_ord", "n", tokens.alias("tokens"), "s_start").write.parquet(
+        placed.select("source_no", "doc_ord", "n", tokens.alias("tokens"), "s_start", "digest", "bytes").write.parquet(
             f"{self.root}/cache/run={run}"
         )
-        self._register(run, signatures(fresh) if "text" in fresh.columns else None)
+        self._register(run)
         return run
 
-    def _register(self, run: str, signed: DataFrame | None) -> None:
+    def _register(self, run: str) -> None:
+        """One manifest row per source of the run, from the thin columns of what was written."""
         seq = self._table("manifest", _MANIFEST).agg(F.coalesce(F.max("run_seq") + 1, F.lit(0).cast("bigint"))).scalar()
         counts = (
             self.spark.read.schema(_CACHE)
             .parquet(f"{self.root}/cache/run={run}")
             .groupBy("source_no")
-            .agg(F.count("*").alias("docs"), F.sum("n").cast("bigint").alias("n_tokens"))
+            .agg(F.count("*").alias("docs"), F.sum("n").cast("bigint").alias("n_tokens"), _signature())
         )
-        if signed is None:
-            counts = counts.withColumn("signature", F.lit(None).cast("string"))
-        else:
-            counts = counts.join(signed, "source_no", "left")
         rows = counts.select(
             "source_no", "docs", "n_tokens", "signature", F.lit(run).alias("run"), seq.cast("bigint").alias("run_seq")
         )

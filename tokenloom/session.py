@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Safe on any session, set only where the session says nothing.
 _RUNTIME_DEFAULTS = {
@@ -68,6 +68,21 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of an input too small to fill them with full file splits.
+
+    The size is the optimizer's own estimate from the file listing.  A large input comes back as it is:
+    its splits already outnumber the cores, and moving it would cost a shuffle.
+    """
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split else df
+
+
 def shuffle_partitions_for(total_bytes: int, target_bytes: int = 128 << 20, floor: int = 8) -> int:
     """Partition count that keeps one shuffle partition near ``target_bytes``."""
     return max(floor, -(-total_bytes // target_bytes))
