@@ -7,6 +7,7 @@ running again adds only what is new.
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,9 @@ log = logging.getLogger(__name__)
 CLEANED = frozenset({"qa_site", "qa_assistant", "forum"})
 #: Categories that close a document with one newline instead of a blank line.
 LINE_PER_DOCUMENT = frozenset({"web", "articles"})
+#: Up to this many sources the manifest is broadcast to the documents, past it it is joined.
+MAX_BROADCAST_SOURCES = 500_000
+
 #: Categories in which every file is a source of its own.
 FILE_IS_SOURCE = frozenset({"web"})
 
@@ -32,8 +36,10 @@ _MANIFEST = T.StructType(
         T.StructField("path", T.StringType()),
         T.StructField("source_no", T.IntegerType()),
         T.StructField("file_ord", T.LongType()),
+        T.StructField("run", T.StringType()),
     ]
 )
+_DOCS = T.StructType([*schemas.DOCS.fields, T.StructField("run", T.StringType())])
 
 
 def finished(kind: str, rows: DataFrame) -> DataFrame:
@@ -64,8 +70,10 @@ class Extraction:
 
         The manifest is written last, so documents of a run that died are left out by the join.
         """
-        known = self.manifest().select("source_no").distinct()
-        return self._read("docs", schemas.DOCS).join(known, "source_no", "left_semi")
+        known = self.manifest().select("source_no", "run").distinct()
+        if known.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
+            known = F.broadcast(known)
+        return self._read("docs", _DOCS).join(known, ["source_no", "run"], "left_semi").drop("run")
 
     def run(
         self,
@@ -102,16 +110,17 @@ class Extraction:
     def _extract(self, kind: str, files: list[tuple[str, str]], first_number: int) -> list[int]:
         base = cat.next_number(self.manifest(), default=first_number).first().next_source_no
         per_file = kind in FILE_IS_SOURCE
+        run = uuid.uuid4().hex
         placed = [
-            (kind, path, base + i if per_file else base, 0 if per_file else i) for i, (_, path) in enumerate(files)
+            (kind, path, base + i if per_file else base, 0 if per_file else i, run) for i, (_, path) in enumerate(files)
         ]
         entries = self.spark.createDataFrame(placed, _MANIFEST)
         full = self.spark.createDataFrame(files, "full string, path string")
         order = entries.join(full, "path").select(F.col("full").alias("path"), "source_no", "file_ord")
         rows = finished(kind, readers.extract(self.spark, kind, [f for f, _ in files]))
-        sinks.write_documents(readers.place(rows, order), f"{self.out}/docs", mode="append")
+        sinks.write_documents(readers.place(rows, order), f"{self.out}/docs/run={run}")
         entries.write.mode("append").parquet(f"{self.out}/files")
-        return sorted({source_no for _, _, source_no, _ in placed})
+        return sorted({row[2] for row in placed})
 
 
 def _quoted(text: str) -> str:
