@@ -10,6 +10,6 @@ from tokenloom.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, memory="6g", shuffle_partitions=4)
+    session = local_session(8, memory="6g", shuffle_partitions=4)
     yield session
     session.stop()

@@ -68,3 +68,32 @@ def test_sorted_positions_are_dense(spark):
     df = spark.createDataFrame([(n,) for n in names], "path string")
     got = sorted_positions(df, "path", "at", partitions=7).collect()
     assert {r.path: r["at"] for r in got} == {n: i for i, n in enumerate(sorted(names))}
+
+
+def test_thin_joins_agree_however_they_run(spark):
+    from tokenloom.session import join_thin
+
+    big = spark.range(200).select((F.col("id") % 3).alias("k"), "id").where("k < 2 or id > 150")
+    thin = spark.createDataFrame([(0, "a"), (2, "b"), (5, "c")], "k bigint, v string")
+    for how in ("inner", "left_semi", "left_anti"):
+        small, salted = (join_thin(big, thin, ["k"], how, F.col("id"), limit) for limit in (10, 2))
+        expected = big.join(thin, "k", how).orderBy("id").collect()
+        assert small.orderBy("id").collect() == salted.orderBy("id").collect() == expected
+        plan = salted._jdf.queryExecution().optimizedPlan().toString()
+        assert "__salt" in plan
+
+
+def test_only_an_input_too_small_for_the_cores_is_spread(spark, monkeypatch):
+    from tokenloom import session
+
+    df = spark.range(10)
+    assert session.estimated_bytes(df) == 80
+    assert session.estimated_bytes(df.join(spark.range(5), "id")) == 120
+    assert session.spread(df) is not df and session.more_partitions(df, 2.0) is None
+    unknown = spark.createDataFrame([(1,)], "id int")
+    assert session.spread(unknown) is unknown and session.more_partitions(unknown, 2.0) is None
+    monkeypatch.setattr(session, "estimated_bytes", lambda _: 1 << 40)
+    assert session.spread(df) is df
+    assert session.more_partitions(df, 2.0) == (2 << 40) // session.TARGET_BYTES
+    monkeypatch.setattr(session, "estimated_bytes", lambda _: 1 << 50)
+    assert session.more_partitions(df, 2.0) == session.MAX_PARTITIONS

@@ -115,7 +115,8 @@ def batch_rows(shards: DataFrame, shape: BatchShape) -> DataFrame:
 def _pass_over(counts: DataFrame, first: str) -> tuple[DataFrame, DataFrame]:
     """Batches before each shard in one pass, and the batches of a whole pass per split."""
     sums = running_sums(counts, {"batches": first}, minor="shard", restart=["split"])
-    return sums.rows, sums.totals_by(["split"], ["batches"])
+    # one row per split, and there are two; a shuffle by split would put a pass into one task
+    return sums.rows, F.broadcast(sums.totals_by(["split"], ["batches"]))
 
 
 def schedule(shards: DataFrame, shape: BatchShape, epochs: int = 1) -> DataFrame:

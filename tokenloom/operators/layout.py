@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from tokenloom.functions.names import ceil_div, int_div
 from tokenloom.operators.ordering import RunningSums, running_sums
 from tokenloom.operators.tokenizers import Tokenizer
-from tokenloom.session import spread
+from tokenloom.session import more_partitions, spread
 
 EOS_MODES = ("source", "document", "none")
 
+#: Size of shuffled text and of shuffled ids against compressed input, generously.
+TEXT_GROWTH = 4.0
+TOKEN_GROWTH = 12.0
+
 
 def _long(value: int) -> Column:
     return F.lit(value).cast("bigint")
@@ -89,9 +93,9 @@ def token_rows(
     return rows, F.when(F.col("is_end"), end).otherwise(tokens)
 
 
-def global_offsets(rows: DataFrame) -> RunningSums:
+def global_offsets(rows: DataFrame, partitions: int | None = None) -> RunningSums:
     """Half-open span ``[g_start, g_end)`` of every row in the one global token stream."""
-    sums = running_sums(rows, {"n": "g_start"}, minor="doc_ord", majors=["source_no"])
+    sums = running_sums(rows, {"n": "g_start"}, minor="doc_ord", majors=["source_no"], partitions=partitions)
     return RunningSums(sums.rows.withColumn("g_end", F.col("g_start") + F.col("n")), sums.blocks)
 
 
@@ -169,7 +173,10 @@ def text_chunks(docs: DataFrame, chunk_chars: int) -> DataFrame:
     A source of any size is cut by position, so one task handles one chunk, not one source.
     """
     sized = docs.select("source_no", "doc_ord", "text", F.length("text").cast("bigint").alias("chars"))
-    placed = running_sums(sized, {"chars": "c_start"}, minor="doc_ord", restart=["source_no"]).rows
+    partitions = more_partitions(docs, TEXT_GROWTH)
+    placed = running_sums(
+        sized, {"chars": "c_start"}, minor="doc_ord", restart=["source_no"], partitions=partitions
+    ).rows
     end = F.col("c_start") + F.col("chars")
     pieces = (
         placed.where(F.col("chars") > 0)
@@ -189,7 +196,8 @@ def text_chunks(docs: DataFrame, chunk_chars: int) -> DataFrame:
             ).alias("piece"),
         )
     )
-    gathered = pieces.groupBy("source_no", "chunk_no").agg(
+    keyed = pieces if partitions is None else pieces.repartition(partitions, "source_no", "chunk_no")
+    gathered = keyed.groupBy("source_no", "chunk_no").agg(
         F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("pieces")
     )
     return gathered.select("source_no", "chunk_no", F.array_join(F.col("pieces.piece"), "").alias("chunk"))

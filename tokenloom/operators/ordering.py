@@ -61,11 +61,13 @@ def running_sums(
     restart: Sequence[str] = (),
     block_bits: int = BLOCK_BITS,
     group_bits: int = GROUP_BITS,
+    partitions: int | None = None,
 ) -> RunningSums:
     """Add ``values[column] = output``: the sum of ``column`` over all earlier rows.
 
     ``minor`` is a non-negative BIGINT, unique within ``(restart, majors)``; sums start again for
-    every value of ``restart``.
+    every value of ``restart``.  ``partitions`` sets how many the full rows are shuffled into, where the
+    session's number would make them too large.
     """
     zero = F.lit(0).cast("bigint")
     outer = [*restart, *majors]
@@ -93,8 +95,10 @@ def running_sums(
         .join(group_base, in_group)
         .select(*in_block, *[(F.col(f"__b_{v}") + F.col(f"__g_{v}")).alias(f"__base_{v}") for v in values])
     )
+    # the window wants this partitioning anyway; only the number is new
+    full = blocked if partitions is None else blocked.repartition(partitions, *in_block)
     rows = (
-        blocked.select("*", *[before(v, before_row).alias(f"__r_{v}") for v in values])
+        full.select("*", *[before(v, before_row).alias(f"__r_{v}") for v in values])
         .join(block_base, in_block)
         .select(
             *df.columns,

@@ -10,13 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.names import ceil_div, shard_name
-from tokenloom.operators.layout import SplitPlan, global_offsets, token_rows
+from tokenloom.operators.layout import TOKEN_GROWTH, SplitPlan, global_offsets, token_rows
 from tokenloom.operators.tokenizers import Tokenizer
+from tokenloom.session import more_partitions
 
 # The sizes of a full-scale corpus.
 SHARD_SIZE = 1_000_000
 VAL_RATIO = 0.01
 
+ROW_GROUP_SHARDS = 16
+
 
 def shard_overlaps(spans: DataFrame, plan: SplitPlan) -> DataFrame:
     """Span × shard overlap without a range join: a span's shards are an arithmetic sequence.
@@ -73,7 +76,8 @@ def build_shards(
 ) -> DataFrame:
     """``shards(split, shard, n_tokens, tokens)`` of documents or of a token cache."""
     rows, tokens = token_rows(docs, tokenizer, eos, sources)
-    sums = global_offsets(rows)
+    partitions = partitions or more_partitions(docs, TOKEN_GROWTH)
+    sums = global_offsets(rows, partitions)
     plan = SplitPlan.over(sums.total("n"), val_ratio, shard_size)
     # tokens are built once per document, below the explode that may repeat the row
     built = sums.rows.select("n", "g_start", "g_end", tokens.alias("tokens"))
@@ -95,6 +99,14 @@ def shard_plan(total: Column, val_ratio: float, shard_size: int) -> tuple[Column
     return train, plan.cut, ceil_div(train, shard_size), plan.val_shards
 
 
+def write_shards(shards: DataFrame, path: str) -> None:
+    """Parquet by split, few shards per row group.
+
+    A reader decodes a row group's worth of rows at once, and a row here is megabytes.
+    """
+    shards.write.partitionBy("split").option("parquet.block.row.count.limit", ROW_GROUP_SHARDS).parquet(path)
+
+
 def named(shards: DataFrame) -> DataFrame:
     return shards.withColumn("shard_name", shard_name(F.col("split"), F.col("shard")))
 

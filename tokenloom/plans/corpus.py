@@ -22,12 +22,19 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tokenloom import schemas
-from tokenloom.operators.layout import SplitPlan, eos_rows, token_rows
+from tokenloom.operators.layout import TOKEN_GROWTH, SplitPlan, token_rows
 from tokenloom.operators.ordering import running_sums
 from tokenloom.operators.reports import source_bases
-from tokenloom.operators.shards import SHARD_SIZE, VAL_RATIO, assemble, require_both_splits, shard_overlaps
+from tokenloom.operators.shards import (
+    SHARD_SIZE,
+    VAL_RATIO,
+    assemble,
+    require_both_splits,
+    shard_overlaps,
+    write_shards,
+)
 from tokenloom.operators.tokenizers import Tokenizer
-from tokenloom.session import SHARD_READ_BATCH_ROWS, scratch_dir, shuffle_partitions_for
+from tokenloom.session import join_thin, more_partitions, scratch_dir, shared_root, shuffle_partitions_for
 
 #: Up to this many sources the manifest is broadcast to the cache scan, past it it is joined.
 MAX_BROADCAST_SOURCES = 500_000
@@ -83,6 +90,7 @@ class Corpus:
         self.root = root.rstrip("/")
         self.tokenizer = tokenizer
         self.eos = eos
+        shared_root(spark)
 
     # -- cache ---------------------------------------------------------------------------
 
@@ -108,12 +116,16 @@ class Corpus:
         """
         known = self.manifest()
         if detect == "number":
-            return docs.join(known.select("source_no"), "source_no", "left_anti")
+            return self._without(docs, known.select("source_no"))
         if detect == "content":
             same = signatures(docs).join(known, ["source_no", "signature"], "left_semi").select("source_no")
-            return docs.join(same, "source_no", "left_anti")
+            return self._without(docs, same.checkpoint())
         raise ValueError(f"detect is number or content, not {detect!r}")
 
+    @staticmethod
+    def _without(docs: DataFrame, sources: DataFrame) -> DataFrame:
+        return join_thin(docs, sources, ["source_no"], "left_anti", F.col("doc_ord"), MAX_BROADCAST_SOURCES)
+
     def add(
         self, docs: DataFrame, force: bool = False, detect: str = "number", sources: DataFrame | None = None
     ) -> str | None:
@@ -133,7 +145,13 @@ class Corpus:
             built = rows.withColumn("tokens", tokens).drop("is_end")
             built.write.parquet(staged)
             rows, tokens = self.spark.read.schema(built.schema).parquet(staged), F.col("tokens")
-        placed = running_sums(rows, {"n": "s_start"}, minor="doc_ord", restart=["source_no"]).rows
+        placed = running_sums(
+            rows,
+            {"n": "s_start"},
+            minor="doc_ord",
+            restart=["source_no"],
+            partitions=more_partitions(docs, TOKEN_GROWTH),
+        ).rows
         run = uuid.uuid4().hex
         placed.select("source_no", "doc_ord", "n", tokens.alias("tokens"), "s_start", "digest", "bytes").write.parquet(
             f"{self.root}/cache/run={run}"
@@ -162,11 +180,10 @@ class Corpus:
         and no window over tokens.
         """
         bases = source_bases(self.manifest()).select("source_no", "run", "source_start")
-        if bases.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
-            bases = F.broadcast(bases)
         cache = self._table("cache", _CACHE)
         start = F.col("source_start") + F.col("s_start")
-        return cache.join(bases, ["source_no", "run"]).select(
+        based = join_thin(cache, bases, ["source_no", "run"], "inner", F.col("doc_ord"), MAX_BROADCAST_SOURCES)
+        return based.select(
             "source_no", "doc_ord", "n", "tokens", start.alias("g_start"), (start + F.col("n")).alias("g_end")
         )
 
@@ -185,15 +202,14 @@ class Corpus:
                 F.col("tokens"), (F.col("skip") + 1).cast("int"), (F.col("p_end") - F.col("p_start")).cast("int")
             ).alias("piece"),
         )
-        configured = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return assemble(pieces, shuffle_partitions_for(total * 4, floor=configured))
+        return assemble(pieces, shuffle_partitions_for(self.spark, total * 4))
 
     def publish(self, shard_size: int = SHARD_SIZE, val_ratio: float = VAL_RATIO) -> str:
         """Build shards beside the current ones, then make them current by one appended row."""
         version = uuid.uuid4().hex
         built = self.shards(shard_size, val_ratio)
         total = self.manifest().agg(F.sum("n_tokens").cast("bigint")).scalar()
-        built.write.partitionBy("split").parquet(f"{self.root}/shards/version={version}")
+        write_shards(built, f"{self.root}/shards/version={version}")
         log = self._table("published", _PUBLISHED)
         seq = log.agg(F.coalesce(F.max("seq") + 1, F.lit(0).cast("bigint"))).scalar()
         self.spark.range(1).select(
@@ -228,12 +244,11 @@ class Corpus:
 
 
 def read_shards(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """Shards below ``path``; few rows per vectorized batch, for each is megabytes."""
+    """Shards written by ``write_shards``; a split is pruned by partition."""
     if split not in (None, "train", "val"):
         raise ValueError(f"a split is train or val, not {split!r}")
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", SHARD_READ_BATCH_ROWS)
     shards = spark.read.schema(schemas.SHARDS).parquet(path)
     return shards if split is None else shards.where(F.col("split") == split)
 
 
-__all__ = ["Corpus", "eos_rows", "read_shards", "signatures"]
+__all__ = ["Corpus", "read_shards", "signatures"]

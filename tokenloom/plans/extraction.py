@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom import schemas
+from tokenloom.session import join_thin
 from tokenloom.sources import catalog as cat
 from tokenloom.sources import readers, sinks
 
@@ -71,9 +72,9 @@ class Extraction:
         The manifest is written last, so documents of a run that died are left out by the join.
         """
         known = self.manifest().select("source_no", "run").distinct()
-        if known.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
-            known = F.broadcast(known)
-        return self._read("docs", _DOCS).join(known, ["source_no", "run"], "left_semi").drop("run")
+        docs = self._read("docs", _DOCS)
+        kept = join_thin(docs, known, ["source_no", "run"], "left_semi", F.col("doc_ord"), MAX_BROADCAST_SOURCES)
+        return kept.drop("run")
 
     def run(
         self,

@@ -21,7 +21,7 @@ from tokenloom.plans.registered.registry import (
     docs,
     query,
 )
-from tokenloom.session import scratch_dir
+from tokenloom.session import scratch_dir, spread
 from tokenloom.streaming import ingest
 
 CODEPOINT = tk.codepoint()
@@ -262,7 +262,7 @@ def _(spark, sf_dir):
 @query("shard_scan", _SHARDS_CHECK + " WHERE split = 'val' GROUP BY split, shard")
 def _(spark, sf_dir):
     path = scratch_dir(spark, "shards")
-    built_shards(spark, sf_dir).write.partitionBy("split").parquet(path)
+    sh.write_shards(built_shards(spark, sf_dir), path)
     return _digested(read_shards(spark, path, "val"))
 
 
@@ -294,7 +294,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     root = scratch_dir(spark, "stream")
     arrived = f"{root}/arrived"
-    fx.table(spark, sf_dir, "documents").select("doc_id", "source", "text").write.parquet(arrived)
+    spread(fx.table(spark, sf_dir, "documents").select("doc_id", "source", "text")).write.parquet(arrived)
 
     def to_docs(df):
         return df.select(

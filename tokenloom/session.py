@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Safe on any session, set only where the session says nothing.
 _RUNTIME_DEFAULTS = {
@@ -19,8 +21,15 @@ _RUNTIME_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
-#: A shard row is about 4 MB, so few of them make a full vectorized batch.
-SHARD_READ_BATCH_ROWS = 16
+#: Salts per key of a join whose small side turns out not to be small.
+SALTS = 64
+
+#: Aim for shuffle partitions and tasks of about this size.
+TARGET_BYTES = 256 << 20
+MAX_PARTITIONS = 100_000
+
+#: The optimizer answers with a number near the largest BIGINT where it knows nothing.
+UNKNOWN_SIZE = 1 << 60
 
 
 def with_defaults(spark: SparkSession) -> SparkSession:
@@ -68,10 +77,35 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Bytes of the tables a DataFrame reads, from the file listing; None where a table's size is not known.
+
+    Inputs are added up: the optimizer's figure for a join is a product and says nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return None if any(size >= UNKNOWN_SIZE for size in sizes) else sum(sizes)
+
+
+def join_thin(
+    big: DataFrame, thin: DataFrame, keys: Sequence[str], how: str, salt: Column, max_rows: int
+) -> DataFrame:
+    """Join a table of keys to the rows they belong to, for inner, semi and anti joins.
+
+    Up to ``max_rows`` the thin side is counted and broadcast, so the rows stay where they are.  Past it
+    both sides are shuffled by key and salt, so that a key with a third of all rows spreads too.
+    """
+    if thin.limit(max_rows + 1).count() <= max_rows:
+        return big.join(F.broadcast(thin), list(keys), how)
+    salted = big.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(SALTS).cast("bigint")))
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+    return salted.join(thin.withColumn("__salt", copies), [*keys, "__salt"], how).drop("__salt")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of an input too small to fill them with full file splits.
 
-    The size is the optimizer's own estimate from the file listing.  A large input comes back as it is:
+    The size is the optimizer's estimate.  A large input comes back as it is:
     its splits already outnumber the cores, and moving it would cost a shuffle.
     """
     if df.isStreaming:
@@ -79,10 +113,27 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * split else df
+    size = estimated_bytes(df)
+    return df.repartition(cores) if size is not None and size < cores * split else df
+
+
+def shuffle_partitions_for(spark: SparkSession, total_bytes: int) -> int:
+    """Partitions of about ``TARGET_BYTES``, never fewer than the session asks for.
+
+    Past ``MAX_PARTITIONS`` partitions grow instead: the driver tracks every one of them.
+    """
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, min(-(-total_bytes // TARGET_BYTES), MAX_PARTITIONS))
+
 
+def more_partitions(df: DataFrame, growth: float) -> int | None:
+    """How many partitions rows of this input need, or None where the session's number will do.
 
-def shuffle_partitions_for(total_bytes: int, target_bytes: int = 128 << 20, floor: int = 8) -> int:
-    """Partition count that keeps one shuffle partition near ``target_bytes``."""
-    return max(floor, -(-total_bytes // target_bytes))
+    ``growth`` is the size of a shuffled row against its size in the (compressed) input.
+    """
+    size = estimated_bytes(df)
+    if size is None:
+        return None
+    spark = df.sparkSession
+    wanted = shuffle_partitions_for(spark, int(size * growth))
+    return wanted if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else None

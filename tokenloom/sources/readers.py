@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tokenloom import schemas
 from tokenloom.functions import text as tx
+from tokenloom.session import join_thin, shared_root
 
 #: Up to this many files the file order is broadcast to the scan, past it it is joined.
 MAX_BROADCAST_FILES = 200_000
@@ -100,8 +101,8 @@ def strict_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.try_variant_get(F.col("__v"), "$['问']", "string").alias("q"),
         F.try_variant_get(F.col("__v"), "$['答']", "string").alias("a"),
     )
-    dropped = checked.where("bad").select("path").distinct()
-    kept = checked.join(dropped, "path", "left_anti").select(
+    dropped = _noted(checked.where("bad").select("path").distinct())
+    kept = join_thin(checked, dropped, ["path"], "left_anti", F.col("row_in_file"), MAX_BROADCAST_FILES).select(
         "path",
         "row_in_file",
         tx.unicode_strip(tx.empty_if_missing(F.col("q"))).alias("q"),
@@ -151,8 +152,8 @@ def book_lines(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFra
     A bad book is left out whole, the others are not affected.
     """
     lines = documents_by_line(spark, paths)
-    bad = lines.where(~F.is_valid_utf8("text")).select("path").distinct()
-    return lines.join(bad, "path", "left_anti"), bad
+    bad = _noted(lines.where(~F.is_valid_utf8("text")).select("path").distinct())
+    return join_thin(lines, bad, ["path"], "left_anti", F.col("row_in_file"), MAX_BROADCAST_FILES), bad
 
 
 def whole_books(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -172,6 +173,12 @@ def whole_books(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFr
     return good, raw.where(F.col("text").isNull()).select("path")
 
 
+def _noted(paths: DataFrame) -> DataFrame:
+    """Keep a short list of paths, so that neither its size check nor its use reads the files again."""
+    shared_root(paths.sparkSession)
+    return paths.checkpoint()
+
+
 def _many(paths: str | Sequence[str]) -> Sequence[str]:
     return [paths] if isinstance(paths, str) else paths
 
@@ -179,10 +186,7 @@ def _many(paths: str | Sequence[str]) -> Sequence[str]:
 def place(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Join ``files(path, source_no, file_ord)`` and fold file and row order into ``doc_ord``."""
     order = files.select("path", "source_no", "file_ord")
-    # the catalog is small next to the rows, but that is checked, not assumed
-    if order.limit(MAX_BROADCAST_FILES + 1).count() <= MAX_BROADCAST_FILES:
-        order = F.broadcast(order)
-    return rows.join(order, "path").select(
+    return join_thin(rows, order, ["path"], "inner", F.col("row_in_file"), MAX_BROADCAST_FILES).select(
         F.col("source_no").cast("int").alias("source_no"),
         (F.shiftleft(F.col("file_ord").cast("bigint"), FILE_BITS) + F.col("row_in_file")).alias("doc_ord"),
         "text",

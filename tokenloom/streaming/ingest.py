@@ -17,6 +17,11 @@ from pyspark.sql.streaming.query import StreamingQuery
 from tokenloom import schemas
 from tokenloom.operators.layout import tokenize
 from tokenloom.operators.tokenizers import Tokenizer
+from tokenloom.session import shared_root
+
+
+#: Up to this many repeated documents are broadcast by key, past it all rows are shuffled.
+MAX_BROADCAST_REPEATS = 1_000_000
 
 
 def file_stream(
@@ -54,9 +59,23 @@ def land_tokens(
 
 
 def landed(spark: SparkSession, landing: str) -> DataFrame:
-    """Landed documents, each once, however often its file was delivered."""
-    rows = spark.read.schema(schemas.TOKEN_CACHE).parquet(landing)
-    return rows.dropDuplicates(["source_no", "doc_ord"]).select("source_no", "doc_ord", "n", "tokens")
+    """Landed documents, each once, however often its file was delivered.
+
+    Repeats are looked for among the keys alone; as a rule there are few, and then no tokens move
+    but theirs.
+    """
+    shared_root(spark)
+    keys = ["source_no", "doc_ord"]
+    rows = spark.read.schema(schemas.TOKEN_CACHE).parquet(landing).select(*keys, "n", "tokens")
+    repeated = rows.groupBy(*keys).count().where(F.col("count") > 1).select(*keys).checkpoint()
+    n = repeated.limit(MAX_BROADCAST_REPEATS + 1).count()
+    if n == 0:
+        return rows
+    if n > MAX_BROADCAST_REPEATS:
+        return rows.dropDuplicates(keys)
+    repeated = F.broadcast(repeated)
+    once = rows.join(repeated, keys, "left_anti")
+    return once.unionByName(rows.join(repeated, keys, "left_semi").dropDuplicates(keys))
 
 
 def landed_counts(rows: DataFrame) -> DataFrame:
