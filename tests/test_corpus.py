@@ -176,3 +176,45 @@ def test_shard_names_and_vocabulary(spark):
     rows, tokens = lay.token_rows(docs, tk.codepoint())
     checked = reports.vocab_check(rows.select("source_no", tokens.alias("tokens")), 151_680).orderBy("source_no").collect()
     assert [(r.n_tokens, r.n_outside, r.max_id) for r in checked] == [(3, 1, model.EOS), (2, 1, model.EOS)]
+
+
+def test_a_large_input_is_shuffled_into_more_partitions(spark, tmp_path, monkeypatch):
+    from tokenloom import session
+
+    docs = some_docs()
+    spark.createDataFrame(docs, DOCS).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(session, "TARGET_BYTES", 20_000)
+    built = build_shards(df, tk.codepoint(), 500, 0.02)
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2
+    assert as_dict(built) == model.shards(model.stream(docs), 500, 0.02)
+    chunks = lay.text_chunks(df, 1000).where("source_no = 3").orderBy("chunk_no").collect()
+    assert "".join(c.chunk for c in chunks) == "".join(t for s, _, t in sorted(docs) if s == 3)
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from tokenloom import __main__ as cli
+
+    (tmp_path / "in").mkdir()
+    lines = {1: ["one", "two"], 10: ["ten"], 2: ["zwei", ""]}
+    for n, text in lines.items():
+        (tmp_path / "in" / f"input{n}.txt").write_text("".join(t + "\n" for t in text))
+    log = tmp_path / "run.log"
+    log.write_text("step 1: loss 2.0, grad_norm 0.1, lr 6.00e-04, dt 5.00ms, tok/sec 9.00\nother\n")
+    for command in (
+        f"build {tmp_path}/in {tmp_path}/root --text --shard-size 8 --val-ratio 0.2",
+        f"build {tmp_path}/in {tmp_path}/root --text --shard-size 8 --val-ratio 0.2",
+        f"batches {tmp_path}/root {tmp_path}/batches --rows 1 --length 3",
+        f"decode {tmp_path}/root {tmp_path}/text",
+        f"runlog {log} {tmp_path}/steps",
+    ):
+        monkeypatch.setattr("sys.argv", ["tokenloom", *command.split()])
+        cli.main()
+    docs = [(n, i, t + "\n") for n, text in lines.items() for i, t in enumerate(text)]
+    expected = model.shards(model.stream(docs), 8, 0.2)
+    texts = {(r.split, r.shard): r.text for r in spark.read.parquet(str(tmp_path / "text")).collect()}
+    assert texts == {k: "".join("<|endoftext|>" if t == model.EOS else chr(t) for t in v) for k, v in expected.items()}
+    batches = spark.read.parquet(str(tmp_path / "batches")).count()
+    assert batches == sum((len(v) - 1) // 3 for (split, _), v in expected.items() if split == "train")
+    assert spark.read.parquet(str(tmp_path / "steps")).first().loss == 2.0

@@ -1,11 +1,11 @@
 """Running sums over a global order, without a task that sees all rows.
 
-Rows are ordered by ``(majors..., minor)``.  ``minor`` is cut into blocks of 4,096 values and
-blocks into groups of 65,536, so the sum before a row is
+Rows are ordered by ``(majors..., minor)``.  ``minor`` is cut into blocks of 1,024 values and
+blocks into groups of 262,144, so the sum before a row is
 
     (sum before its group) + (sum before its block in the group) + (sum before it in the block)
 
-Only the last term touches the full rows, in windows of at most 4,096 of them, however many rows
+Only the last term touches the full rows, in windows of at most 1,024 of them, however many rows
 one source holds.  The other two run over one thin row per block and per group; a group spans
 2**28 order values, so the single un-partitioned window sees a few rows per source.
 """
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-BLOCK_BITS = 12
-GROUP_BITS = 16
+BLOCK_BITS = 10
+GROUP_BITS = 18
 
 _BLOCK = "__block"
 _GROUP = "__group"
