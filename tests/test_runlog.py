@@ -74,3 +74,32 @@ def test_checkpoint_numbers_compare_as_numbers(spark):
     paths = spark.createDataFrame([("c/step_950",), ("c/step_1000",), ("c/final",)], "path string")
     assert tuple(rl.latest_named(paths, CHECKPOINT_PATTERN).first()) == ("c/step_1000", 1000)
     assert rl.latest_named(paths.where("path = 'c/final'"), CHECKPOINT_PATTERN).count() == 0
+
+
+def test_lines_read_back(spark):
+    rows = spark.createDataFrame(
+        [(3, 2.123456789, 0.5, 6e-4, 40000.25, 13107.04), (4, 1e-7, 0.25, 5.9e-4, 1.0, 2.0)],
+        "step bigint, loss double, grad_norm double, lr double, dt_ms double, tok_per_sec double",
+    )
+    lines = rows.select(rl.step_line(*(F.col(c) for c in rows.columns)).alias("line"))
+    assert sorted(map(tuple, rl.step_lines(lines).collect())) == sorted(map(tuple, rows.collect()))
+    assert lines.first().line.startswith("step 3: loss 2.123456789, grad_norm 0.500000, lr 6.00e-04, dt 40000.25ms")
+    val = rows.select(rl.val_line(F.col("step"), F.col("loss")).alias("line"))
+    assert rl.val_lines(val).count() == 2 and rl.step_lines(val).count() == 0
+
+
+def test_saved_cursors(spark, tmp_path):
+    from tests import model
+    from tests.test_batches import LENGTHS, SHAPE, in_order, shards_of
+    from tokenloom.plans.cursors import Cursors
+
+    cursors = Cursors(spark, str(tmp_path / "cursors"))
+    assert cursors.latest("v1") is None
+    shards = shards_of(spark, LENGTHS)
+    assert in_order(cursors.resume(shards, "v1", SHAPE))[0] == (0, 0)
+    cursors.save("v1", 950, 0, 256)
+    cursors.save("v1", 1000, 4, 512)
+    cursors.save("v2", 2000, 5, 0)
+    assert tuple(cursors.latest("v1")) == (1000, 4, 512)
+    got = in_order(cursors.resume(shards, "v1", SHAPE))
+    assert got == model.read_order(LENGTHS, SHAPE.tokens, 4, 512, reads=len(got))

@@ -44,6 +44,16 @@ def val_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     )
 
 
+def step_line(step: Column, loss: Column, grad_norm: Column, lr: Column, dt_ms: Column, tok_per_sec: Column) -> Column:
+    """The log line of a step; ``step_lines`` reads it back."""
+    metrics = F.format_string(", grad_norm %.6f, lr %.2e, dt %.2fms, tok/sec %.2f", grad_norm, lr, dt_ms, tok_per_sec)
+    return F.concat(F.lit("step "), step.cast("string"), F.lit(": loss "), loss.cast("string"), metrics)
+
+
+def val_line(step: Column, val_loss: Column) -> Column:
+    return F.concat(F.lit("step "), step.cast("string"), F.lit(": validation loss "), val_loss.cast("string"))
+
+
 def line_time(line: Column) -> Column:
     """The time stamp of a log line, NULL where it has none."""
     text = F.concat(F.regexp_extract(line, LINE_TIME, 1), F.lit("."), F.regexp_extract(line, LINE_TIME, 2))

@@ -82,7 +82,7 @@ CURSOR = """
 SELECT event_id AS step,
        CAST(floor(event_id * 128 / 244) AS BIGINT) AS data_shard,
        ((event_id * 128) % 244) * 4096 AS data_position
-FROM {events} WHERE event_id % 50 = 0
+FROM {events}
 """
 
 CHECKPOINT_PATHS = """
