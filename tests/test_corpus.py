@@ -218,3 +218,23 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     batches = spark.read.parquet(str(tmp_path / "batches")).count()
     assert batches == sum((len(v) - 1) // 3 for (split, _), v in expected.items() if split == "train")
     assert spark.read.parquet(str(tmp_path / "steps")).first().loss == 2.0
+
+
+def test_chunks_can_be_what_the_tokenizer_sees(spark):
+    public = pytest.importorskip("public_tokenizers")
+    bpe = tk.rank_file_bpe(public.path("byte_bpe_multi_50k.tiktoken"), public.PATTERN)
+    docs = [(s, i, f"word {i} of source {s}\n") for s in (1, 2) for i in range(40)]
+    df = spark.createDataFrame(docs, DOCS)
+    rows = lay.tokenize(lay.chunked_docs(df, 100), bpe).orderBy("source_no", "doc_ord").collect()
+    import base64
+
+    import tiktoken
+
+    with open(public.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+    direct = tiktoken.Encoding("direct", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    expected = []
+    for source in (1, 2):
+        whole = "".join(t for s, _, t in docs if s == source)
+        expected += [direct.encode_ordinary(whole[i : i + 100]) for i in range(0, len(whole), 100)]
+    assert [r.tokens for r in rows] == expected

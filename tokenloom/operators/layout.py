@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.names import ceil_div, int_div
 from tokenloom.operators.ordering import RunningSums, running_sums
 from tokenloom.operators.tokenizers import Tokenizer
-from tokenloom.session import more_partitions, spread
+from tokenloom.session import more_partitions, scratch_dir, spread
 
 EOS_MODES = ("source", "document", "none")
 
@@ -44,6 +44,26 @@ def eos_rows(docs: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     )
 
 
+def _prints() -> list[Column]:
+    """What tells two texts apart: a hash of the document and its size."""
+    return [F.xxhash64("doc_ord", "text").alias("digest"), F.octet_length("text").cast("bigint").alias("bytes")]
+
+
+def stored_tokens(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """``docs`` as a token cache, where lengths are known only after tokenizing.
+
+    Layout and assembly both need the rows; storing them means tokenizing once.  Documents that
+    are a cache already, or can be counted without tokenizing, come back as they are.
+    """
+    if "tokens" in docs.columns or tokenizer.count is not None:
+        return docs
+    path = scratch_dir(docs.sparkSession, "tokens")
+    encoded = spread(docs).select("source_no", "doc_ord", tokenizer.encode(F.col("text")).alias("tokens"), *_prints())
+    rows = encoded.withColumn("n", F.size("tokens").cast("bigint"))
+    rows.write.parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def token_rows(
     docs: DataFrame,
     tokenizer: Tokenizer,
@@ -62,21 +82,16 @@ def token_rows(
     cached = "tokens" in docs.columns
     counted = not cached and tokenizer.count is not None
     if cached:
-        prints = [F.lit(None).cast("bigint").alias(c) for c in ("digest", "bytes")]
-        payload, rows = "tokens", docs.select("source_no", "doc_ord", "n", "tokens", *prints)
-    else:
-        prints = [
-            F.xxhash64("doc_ord", "text").alias("digest"),
-            F.octet_length("text").cast("bigint").alias("bytes"),
+        known = [
+            F.col(c) if c in docs.columns else F.lit(None).cast("bigint").alias(c) for c in ("digest", "bytes")
         ]
-        if counted:
-            payload = "text"
-            rows = docs.select("source_no", "doc_ord", tokenizer.count(F.col("text")).alias("n"), "text", *prints)
-        else:
-            payload, encoded = "tokens", tokenizer.encode(F.col("text")).alias("tokens")
-            rows = spread(docs).select("source_no", "doc_ord", encoded, *prints).withColumn(
-                "n", F.size("tokens").cast("bigint")
-            )
+        payload, rows = "tokens", docs.select("source_no", "doc_ord", "n", "tokens", *known)
+    elif counted:
+        payload = "text"
+        rows = docs.select("source_no", "doc_ord", tokenizer.count(F.col("text")).alias("n"), "text", *_prints())
+    else:
+        payload, encoded = "tokens", tokenizer.encode(F.col("text")).alias("tokens")
+        rows = docs.select("source_no", "doc_ord", encoded, *_prints()).withColumn("n", F.size("tokens").cast("bigint"))
 
     tokens = tokenizer.encode(F.col("text")) if counted else F.col("tokens")
     if eos == "document":
@@ -201,3 +216,10 @@ def text_chunks(docs: DataFrame, chunk_chars: int) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("pieces")
     )
     return gathered.select("source_no", "chunk_no", F.array_join(F.col("pieces.piece"), "").alias("chunk"))
+
+
+def chunked_docs(docs: DataFrame, chunk_chars: int) -> DataFrame:
+    """Chunks as documents, for a tokenizer that is to see ``chunk_chars`` characters at a time."""
+    return text_chunks(docs, chunk_chars).select(
+        "source_no", F.col("chunk_no").alias("doc_ord"), F.col("chunk").alias("text")
+    )

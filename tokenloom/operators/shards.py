@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions.names import ceil_div, shard_name
-from tokenloom.operators.layout import TOKEN_GROWTH, SplitPlan, global_offsets, token_rows
+from tokenloom.operators.layout import TOKEN_GROWTH, SplitPlan, global_offsets, stored_tokens, token_rows
 from tokenloom.operators.tokenizers import Tokenizer
 from tokenloom.session import more_partitions
 
@@ -75,8 +75,8 @@ def build_shards(
     partitions: int | None = None,
 ) -> DataFrame:
     """``shards(split, shard, n_tokens, tokens)`` of documents or of a token cache."""
-    rows, tokens = token_rows(docs, tokenizer, eos, sources)
     partitions = partitions or more_partitions(docs, TOKEN_GROWTH)
+    rows, tokens = token_rows(stored_tokens(docs, tokenizer), tokenizer, eos, sources)
     sums = global_offsets(rows, partitions)
     plan = SplitPlan.over(sums.total("n"), val_ratio, shard_size)
     # tokens are built once per document, below the explode that may repeat the row

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tokenloom import schemas
-from tokenloom.operators.layout import TOKEN_GROWTH, SplitPlan, token_rows
+from tokenloom.operators.layout import TOKEN_GROWTH, SplitPlan, stored_tokens, token_rows
 from tokenloom.operators.ordering import running_sums
 from tokenloom.operators.reports import source_bases
 from tokenloom.operators.shards import (
@@ -34,7 +34,7 @@ from tokenloom.operators.shards import (
     write_shards,
 )
 from tokenloom.operators.tokenizers import Tokenizer
-from tokenloom.session import join_thin, more_partitions, scratch_dir, shared_root, shuffle_partitions_for
+from tokenloom.session import join_thin, more_partitions, shared_root, shuffle_partitions_for
 
 #: Up to this many sources the manifest is broadcast to the cache scan, past it it is joined.
 MAX_BROADCAST_SOURCES = 500_000
@@ -138,13 +138,8 @@ class Corpus:
             sources = sources.join(self.manifest().select("source_no"), "source_no", "left_anti")
         if fresh.isEmpty() and (sources is None or sources.isEmpty()):
             return None
-        rows, tokens = token_rows(fresh, self.tokenizer, self.eos, sources)
-        if "tokens" in rows.columns and "tokens" not in docs.columns:
-            # lengths are known only after tokenizing: do it once, then lay out the stored result
-            staged = scratch_dir(self.spark, "tokens")
-            built = rows.withColumn("tokens", tokens).drop("is_end")
-            built.write.parquet(staged)
-            rows, tokens = self.spark.read.schema(built.schema).parquet(staged), F.col("tokens")
+        # lengths a tokenizer cannot count are known only after tokenizing: do that once
+        rows, tokens = token_rows(stored_tokens(fresh, self.tokenizer), self.tokenizer, self.eos, sources)
         placed = running_sums(
             rows,
             {"n": "s_start"},
