@@ -216,6 +216,7 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     texts = {(r.split, r.shard): r.text for r in spark.read.parquet(str(tmp_path / "text")).collect()}
     assert texts == {k: "".join("<|endoftext|>" if t == model.EOS else chr(t) for t in v) for k, v in expected.items()}
     batches = spark.read.parquet(str(tmp_path / "batches")).count()
+    assert "train: 3 shards" in capsys.readouterr().out
     assert batches == sum((len(v) - 1) // 3 for (split, _), v in expected.items() if split == "train")
     assert spark.read.parquet(str(tmp_path / "steps")).first().loss == 2.0
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenloom.operators import batches as bt
 from tokenloom.operators import runlog, tokenizers
 from tokenloom.operators.decoding import decode
+from tokenloom.operators.reports import shard_counts
 from tokenloom.operators.shards import SHARD_SIZE, VAL_RATIO
 from tokenloom.plans.corpus import Corpus
 from tokenloom.plans.extraction import Extraction
@@ -88,6 +89,8 @@ def main() -> None:
         version = corpus.publish(args.shard_size, args.val_ratio)
         corpus.expire()
         print(f"published {version}")
+        for row in shard_counts(corpus.current()).collect():
+            print(f"  {row.split}: {row.shards} shards, {row.n_tokens:,} tokens")
     elif args.command == "batches":
         shards = Corpus(spark, args.root, _tokenizer(args.tokenizer)).current(args.split)
         bt.batch_rows(shards, bt.BatchShape(args.rows, args.length)).write.parquet(args.out)

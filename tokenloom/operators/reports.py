@@ -60,6 +60,11 @@ def category_sizes(catalog: DataFrame, gb_per_file: float) -> DataFrame:
     )
 
 
+def shard_counts(shards: DataFrame) -> DataFrame:
+    """Shards and tokens written per split; token arrays are not read."""
+    return shards.groupBy("split").agg(F.count("*").alias("shards"), F.sum("n_tokens").alias("n_tokens"))
+
+
 def split_mix(clipped: DataFrame) -> DataFrame:
     """Documents and tokens each source gives to each split."""
     return clipped.groupBy("split", "source_no").agg(

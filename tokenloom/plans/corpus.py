@@ -19,7 +19,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tokenloom import schemas
 from tokenloom.operators.layout import TOKEN_GROWTH, SplitPlan, stored_tokens, token_rows
@@ -34,7 +33,7 @@ from tokenloom.operators.shards import (
     write_shards,
 )
 from tokenloom.operators.tokenizers import Tokenizer
-from tokenloom.session import join_thin, more_partitions, shared_root, shuffle_partitions_for
+from tokenloom.session import join_thin, more_partitions, shared_root, shuffle_partitions_for, table_at
 
 #: Up to this many sources the manifest is broadcast to the cache scan, past it it is joined.
 MAX_BROADCAST_SOURCES = 500_000
@@ -95,14 +94,7 @@ class Corpus:
     # -- cache ---------------------------------------------------------------------------
 
     def _table(self, name: str, schema: T.StructType) -> DataFrame:
-        path = f"{self.root}/{name}"
-        if not self._exists(path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def _exists(self, path: str) -> bool:
-        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+        return table_at(self.spark, f"{self.root}/{name}", schema)
 
     def manifest(self) -> DataFrame:
         """The valid row of every source."""
@@ -228,10 +220,10 @@ class Corpus:
         """Delete all but the newest ``keep`` published versions; returns how many went."""
         if keep < 1:
             raise ValueError("the current version is never deleted")
-        newest_first = F.row_number().over(Window.orderBy(F.desc("seq")))
-        log = self._table("published", _PUBLISHED).withColumn("age", newest_first)
+        log = self._table("published", _PUBLISHED)
+        kept = log.orderBy(F.desc("seq")).limit(keep)
         gone = 0
-        for row in log.where(F.col("age") > keep).select("version").toLocalIterator():
+        for row in log.join(kept, "version", "left_anti").select("version").toLocalIterator():
             hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/shards/version={row.version}")
             fs = hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
             gone += bool(fs.delete(hadoop_path, True))

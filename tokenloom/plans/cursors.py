@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tokenloom import schemas
 from tokenloom.operators import batches as bt
 from tokenloom.operators.runlog import latest_cursor
+from tokenloom.session import table_at
 
 _SAVED = T.StructType([T.StructField("version", T.StringType()), *schemas.CURSOR.fields])
 
@@ -29,10 +30,7 @@ class Cursors:
         self.spark.createDataFrame(row, _SAVED).coalesce(1).write.mode("append").parquet(self.path)
 
     def all(self) -> DataFrame:
-        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop_path):
-            return self.spark.createDataFrame([], _SAVED)
-        return self.spark.read.schema(_SAVED).parquet(self.path)
+        return table_at(self.spark, self.path, _SAVED)
 
     def latest(self, version: str) -> Row | None:
         """The position with the highest step in this version, None where nothing was saved."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tokenloom import schemas
-from tokenloom.session import join_thin
+from tokenloom.session import join_thin, table_at
 from tokenloom.sources import catalog as cat
 from tokenloom.sources import readers, sinks
 
@@ -57,14 +57,8 @@ class Extraction:
         self.spark = spark
         self.out = out.rstrip("/")
 
-    def _read(self, name: str, schema: T.StructType) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.out}/{name}")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.out}/{name}")
-
     def manifest(self) -> DataFrame:
-        return self._read("files", _MANIFEST)
+        return table_at(self.spark, f"{self.out}/files", _MANIFEST)
 
     def docs(self) -> DataFrame:
         """All documents of registered sources.
@@ -72,7 +66,7 @@ class Extraction:
         The manifest is written last, so documents of a run that died are left out by the join.
         """
         known = self.manifest().select("source_no", "run").distinct()
-        docs = self._read("docs", _DOCS)
+        docs = table_at(self.spark, f"{self.out}/docs", _DOCS)
         kept = join_thin(docs, known, ["source_no", "run"], "left_semi", F.col("doc_ord"), MAX_BROADCAST_SOURCES)
         return kept.drop("run")
 

@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Safe on any session, set only where the session says nothing.
 _RUNTIME_DEFAULTS = {
@@ -79,6 +80,14 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
+def table_at(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The Parquet table at ``path``, empty where nothing has been written yet."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
     """Bytes of the tables a DataFrame reads, from the file listing; None where a table's size is not known.
 
