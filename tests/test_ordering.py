@@ -89,11 +89,12 @@ def test_only_an_input_too_small_for_the_cores_is_spread(spark, monkeypatch):
     df = spark.range(10)
     assert session.estimated_bytes(df) == 80
     assert session.estimated_bytes(df.join(spark.range(5), "id")) == 120
-    assert session.spread(df) is not df and session.more_partitions(df, 2.0) is None
+    cores = spark.sparkContext.defaultParallelism
+    assert session.spread(df) is not df and session.row_partitions(df, 2.0) == cores
     unknown = spark.createDataFrame([(1,)], "id int")
-    assert session.spread(unknown) is unknown and session.more_partitions(unknown, 2.0) is None
+    assert session.spread(unknown) is unknown and session.row_partitions(unknown, 2.0) is None
     monkeypatch.setattr(session, "estimated_bytes", lambda _: 1 << 40)
     assert session.spread(df) is df
-    assert session.more_partitions(df, 2.0) == (2 << 40) // session.TARGET_BYTES
+    assert session.row_partitions(df, 2.0) == (2 << 40) // session.TARGET_BYTES
     monkeypatch.setattr(session, "estimated_bytes", lambda _: 1 << 50)
-    assert session.more_partitions(df, 2.0) == session.MAX_PARTITIONS
+    assert session.row_partitions(df, 2.0) == session.MAX_PARTITIONS

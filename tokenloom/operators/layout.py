@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.names import ceil_div, int_div
 from tokenloom.operators.ordering import RunningSums, running_sums
 from tokenloom.operators.tokenizers import Tokenizer
-from tokenloom.session import more_partitions, scratch_dir, spread
+from tokenloom.session import row_partitions, scratch_dir, spread
 
 EOS_MODES = ("source", "document", "none")
 
@@ -188,7 +188,7 @@ def text_chunks(docs: DataFrame, chunk_chars: int) -> DataFrame:
     A source of any size is cut by position, so one task handles one chunk, not one source.
     """
     sized = docs.select("source_no", "doc_ord", "text", F.length("text").cast("bigint").alias("chars"))
-    partitions = more_partitions(docs, TEXT_GROWTH)
+    partitions = row_partitions(docs, TEXT_GROWTH)
     placed = running_sums(
         sized, {"chars": "c_start"}, minor="doc_ord", restart=["source_no"], partitions=partitions
     ).rows

@@ -66,8 +66,8 @@ def running_sums(
     """Add ``values[column] = output``: the sum of ``column`` over all earlier rows.
 
     ``minor`` is a non-negative BIGINT, unique within ``(restart, majors)``; sums start again for
-    every value of ``restart``.  ``partitions`` sets how many the full rows are shuffled into, where the
-    session's number would make them too large.
+    every value of ``restart``.  ``partitions`` sets how many the full rows are shuffled into, where
+    the session's number is not to decide.
     """
     zero = F.lit(0).cast("bigint")
     outer = [*restart, *majors]

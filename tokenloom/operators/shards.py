@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.names import ceil_div, shard_name
 from tokenloom.operators.layout import TOKEN_GROWTH, SplitPlan, global_offsets, stored_tokens, token_rows
 from tokenloom.operators.tokenizers import Tokenizer
-from tokenloom.session import more_partitions
+from tokenloom.session import row_partitions
 
 # The sizes of a full-scale corpus.
 SHARD_SIZE = 1_000_000
@@ -75,7 +75,7 @@ def build_shards(
     partitions: int | None = None,
 ) -> DataFrame:
     """``shards(split, shard, n_tokens, tokens)`` of documents or of a token cache."""
-    partitions = partitions or more_partitions(docs, TOKEN_GROWTH)
+    partitions = partitions or row_partitions(docs, TOKEN_GROWTH)
     rows, tokens = token_rows(stored_tokens(docs, tokenizer), tokenizer, eos, sources)
     sums = global_offsets(rows, partitions)
     plan = SplitPlan.over(sums.total("n"), val_ratio, shard_size)

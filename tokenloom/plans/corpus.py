@@ -33,7 +33,7 @@ from tokenloom.operators.shards import (
     write_shards,
 )
 from tokenloom.operators.tokenizers import Tokenizer
-from tokenloom.session import join_thin, more_partitions, shared_root, shuffle_partitions_for, table_at
+from tokenloom.session import join_thin, row_partitions, shared_root, partitions_for, table_at
 
 #: Up to this many sources the manifest is broadcast to the cache scan, past it it is joined.
 MAX_BROADCAST_SOURCES = 500_000
@@ -137,7 +137,7 @@ class Corpus:
             {"n": "s_start"},
             minor="doc_ord",
             restart=["source_no"],
-            partitions=more_partitions(docs, TOKEN_GROWTH),
+            partitions=row_partitions(docs, TOKEN_GROWTH),
         ).rows
         run = uuid.uuid4().hex
         placed.select("source_no", "doc_ord", "n", tokens.alias("tokens"), "s_start", "digest", "bytes").write.parquet(
@@ -189,7 +189,7 @@ class Corpus:
                 F.col("tokens"), (F.col("skip") + 1).cast("int"), (F.col("p_end") - F.col("p_start")).cast("int")
             ).alias("piece"),
         )
-        return assemble(pieces, shuffle_partitions_for(self.spark, total * 4))
+        return assemble(pieces, partitions_for(self.spark, total * 4))
 
     def publish(self, shard_size: int = SHARD_SIZE, val_ratio: float = VAL_RATIO) -> str:
         """Build shards beside the current ones, then make them current by one appended row."""

@@ -128,23 +128,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size is not None and size < cores * split else df
 
 
-def shuffle_partitions_for(spark: SparkSession, total_bytes: int) -> int:
-    """Partitions of about ``TARGET_BYTES``, never fewer than the session asks for.
+def partitions_for(spark: SparkSession, total_bytes: int) -> int:
+    """Partitions of about ``TARGET_BYTES``, at least one per core.
 
     Past ``MAX_PARTITIONS`` partitions grow instead: the driver tracks every one of them.
     """
-    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(configured, min(-(-total_bytes // TARGET_BYTES), MAX_PARTITIONS))
+    wanted = min(-(-total_bytes // TARGET_BYTES), MAX_PARTITIONS)
+    return max(wanted, spark.sparkContext.defaultParallelism)
 
 
-def more_partitions(df: DataFrame, growth: float) -> int | None:
-    """How many partitions rows of this input need, or None where the session's number will do.
+def row_partitions(df: DataFrame, growth: float) -> int | None:
+    """How many partitions to shuffle whole rows of this input into, None where its size is not known.
 
-    ``growth`` is the size of a shuffled row against its size in the (compressed) input.
+    ``growth`` is the size of a shuffled row against its size in the (compressed) input.  A number that is
+    asked for is not coalesced at run time: what follows the shuffle is work on whole texts, and a few
+    megabytes of them still deserve every core.
     """
     size = estimated_bytes(df)
-    if size is None:
-        return None
-    spark = df.sparkSession
-    wanted = shuffle_partitions_for(spark, int(size * growth))
-    return wanted if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+    return None if size is None else partitions_for(df.sparkSession, int(size * growth))
