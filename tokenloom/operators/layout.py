@@ -134,6 +134,15 @@ class SplitPlan:
         cut = F.floor(total * F.lit(float(val_ratio))).cast("bigint")
         return SplitPlan(total, cut, ceil_div(cut, shard_size), shard_size)
 
+    def attached(self, df: DataFrame) -> tuple[DataFrame, SplitPlan]:
+        """The figures as columns of ``df``, and the plan over those.
+
+        Expressions then name a column where they would each carry the subquery.
+        """
+        names = ("__total", "__cut", "__val_shards")
+        staged = df.withColumns(dict(zip(names, (self.total, self.cut, self.val_shards))))
+        return staged, SplitPlan(*(F.col(n) for n in names), self.shard_size)
+
     def shard_of(self, position: Column) -> Column:
         return F.when(position < self.cut, int_div(position, self.shard_size)).otherwise(
             self.val_shards + int_div(position - self.cut, self.shard_size)

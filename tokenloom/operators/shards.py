@@ -28,9 +28,9 @@ def shard_overlaps(spans: DataFrame, plan: SplitPlan) -> DataFrame:
     and ``skip`` (tokens of the span that lie before the overlap).
     """
     no = F.col("__no")
+    staged, plan = plan.attached(spans.where(F.col("n") > 0))
     return (
-        spans.where(F.col("n") > 0)
-        .withColumn("__no", F.explode(F.sequence(plan.shard_of(F.col("g_start")), plan.shard_of(F.col("g_end") - 1))))
+        staged.withColumn("__no", F.explode(F.sequence(plan.shard_of(F.col("g_start")), plan.shard_of(F.col("g_end") - 1))))
         .withColumns({"__at": plan.shard_start(no), "__to": plan.shard_end(no)})
         .withColumns({"__lo": F.greatest("g_start", "__at"), "__hi": F.least("g_end", "__to")})
         .withColumns(
@@ -43,7 +43,7 @@ def shard_overlaps(spans: DataFrame, plan: SplitPlan) -> DataFrame:
                 "skip": F.col("__lo") - F.col("g_start"),
             }
         )
-        .drop("__no", "__at", "__to", "__lo", "__hi")
+        .drop("__no", "__at", "__to", "__lo", "__hi", "__total", "__cut", "__val_shards")
     )
 
 
