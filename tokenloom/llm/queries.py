@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import bpe, sharding
+from tokenloom.llm import ann, bpe, packing, sharding, token_files, topk
 from tokenloom.llm.registry import query, table, vocabulary
+from tokenloom.session import scratch_dir
 
 
 @query("op1_byte_bpe")
@@ -22,9 +23,35 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_token_orc")
+def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the ids of all documents to ORC files and read them back: doc_id, start, n_tokens, ids_crc32."""
+    path = scratch_dir(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=2)
+    return token_files.digests(spark, path)
+
+
 @query("op3_hash_ring")
 def op3_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of nearly equal bytes: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op4_length_buckets")
+def op4_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in batches of 262,144 byte tokens: doc_id, length, bucket, bound, batch, row, padding."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op5_multi_index")
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest found for every hundredth vector: query_id, rank, vec_id, score."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_impact_topk")
+def op6_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest integer inner products for every hundredth vector: query_id, rank, vec_id, score."""
+    return topk.highest(table(spark, sf_dir, "embeddings"))
