@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import ann, bpe, packing, sharding, token_files, topk
+from tokenloom.llm import ann, bpe, packing, setsketch, sharding, token_files, topk
 from tokenloom.llm.registry import query, table, vocabulary
 from tokenloom.session import scratch_dir
 
@@ -55,3 +55,9 @@ def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 highest integer inner products for every hundredth vector: query_id, rank, vec_id, score."""
     return topk.highest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_setsketch")
+def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all documents: doc_id, n_shingles, component_id, kept."""
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
