@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import ann, bpe, packing, setsketch, sharding, token_files, topk
+from tokenloom.llm import ann, bpe, maxent, packing, setsketch, sharding, token_files, topk
 from tokenloom.llm.registry import query, table, vocabulary
 from tokenloom.session import scratch_dir
 
@@ -61,3 +61,11 @@ def op6_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates among all documents: doc_id, n_shingles, component_id, kept."""
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_maxent")
+def op9_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    docs = table(spark, sf_dir, "documents")
+    scored = maxent.score(docs, maxent.fold(F.col("doc_id"), 5) != 1)
+    return scored.select("doc_id", (maxent.fold(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

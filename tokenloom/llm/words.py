@@ -66,8 +66,11 @@ def _slice_ends(space: np.ndarray, offsets: np.ndarray, start: int) -> int:
     return min(after, bound)
 
 
-def words(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words of all texts in order as numbers, and the n + 1 places in them where the texts begin and end."""
+def words(buffer: np.ndarray, offsets: np.ndarray, suffixes: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts in order as numbers, and the n + 1 places in them where the texts begin and end.
+
+    A list given as ``suffixes`` receives arrays with the last two bytes of each word as one number.
+    """
     space = _SPACE[buffer]
     hashes, starts_at = [], []
     at = 0
@@ -88,6 +91,12 @@ def words(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
             values = _BYTE[bytes_] * powers(int(place.max()) + 1)[place]
             hashes.append(mix(np.add.reduceat(values, starts - starts[0])))
             starts_at.append(starts + at)
+            if suffixes is not None:
+                last = ~gap
+                last[:-1] &= gap[1:] | first[1:]
+                ends = np.flatnonzero(last)
+                before = np.where(ends > starts, _LOWER[buffer[at + ends - 1]], 0).astype(np.uint16)
+                suffixes.append(before << np.uint16(8) | _LOWER[buffer[at + ends]])
         at = end
     if not hashes:
         return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
