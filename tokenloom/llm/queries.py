@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import ann, bpe, maxent, packing, setsketch, sharding, token_files, topk
+from tokenloom.llm import ann, bpe, maxent, packing, quality, setsketch, sharding, token_files, topk, toxicity
 from tokenloom.llm.registry import query, table, vocabulary
 from tokenloom.session import scratch_dir
 
@@ -69,3 +69,25 @@ def op9_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = maxent.score(docs, maxent.fold(F.col("doc_id"), 5) != 1)
     return scored.select("doc_id", (maxent.fold(F.col("doc_id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _scored(docs: DataFrame, threshold: float) -> DataFrame:
+    return docs.select(
+        "doc_id", (maxent.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents: doc_id, held_out, score, predicted."""
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return _scored(toxicity.score(docs.select("doc_id", "text"), lexicon), 0.5)
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents: doc_id, held_out, score, predicted."""
+    docs = table(spark, sf_dir, "documents")
+    voters = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return _scored(quality.score(docs.select("doc_id", "text"), voters), 0.3)
