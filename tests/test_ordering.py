@@ -98,3 +98,14 @@ def test_only_an_input_too_small_for_the_cores_is_spread(spark, monkeypatch):
     assert session.row_partitions(df, 2.0) == (2 << 40) // session.TARGET_BYTES
     monkeypatch.setattr(session, "estimated_bytes", lambda _: 1 << 50)
     assert session.row_partitions(df, 2.0) == session.MAX_PARTITIONS
+
+
+def test_hash_like_orders_meet_no_large_window(spark):
+    rng = random.Random(5)
+    rows = [(b, 1) for b in sorted(rng.sample(range(1 << 62), 3000))]
+    df = spark.createDataFrame(rows, "b bigint, n bigint")
+    sums = running_sums(df, {"n": "before"}, "b")
+    assert [r.before for r in sums.rows.orderBy("b").collect()] == list(range(3000))
+    plan = sums.rows._jdf.queryExecution().executedPlan().toString()
+    tops = [line for line in plan.splitlines() if "Window [" in line and "__group3" in line and "__group2" not in line]
+    assert tops and all("__block" not in line for line in tops)

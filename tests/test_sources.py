@@ -215,3 +215,47 @@ def test_text_files_give_the_documents_back(spark, tmp_path):
     rows = readers.place(lines, files).orderBy("source_no", "doc_ord").collect()
     assert "".join(r.text for r in rows if r.source_no == 1) == "".join(f"{i}\nx\n" for i in range(50))
     assert "".join(r.text for r in rows if r.source_no == 2) == "y\n\n"
+
+
+def test_any_name_of_folders_and_files(spark, tmp_path):
+    root = tmp_path / "new files [1]" / "Ünï+x%20"
+    for name in ("a b", "c[1]", "d{2},e", "ü?", "p+q", "r%20s", "t*"):
+        gz(root / f"qa/site/{name}.jsonl.gz", [record(q=name, a="a")])
+    job = Extraction(spark, str(tmp_path / "out"))
+    assert job.run(str(root), CATEGORIES, ["qa_site"]) == [1]
+    texts = sorted(r.text for r in job.docs().collect())
+    assert texts == sorted(f"問：{n}\n答：a\n\n" for n in ("a b", "c[1]", "d{2},e", "ü?", "p+q", "r%20s", "t*"))
+    assert job.run(str(root), CATEGORIES, ["qa_site"]) == []
+
+
+def test_line_orders_never_repeat(spark, tmp_path):
+    (tmp_path / "blank.txt").write_text("\n" * 4000 + "end")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        lines = readers.text_lines(spark, str(tmp_path / "blank.txt"))
+        assert lines.count() == lines.select("row_in_file").distinct().count() == 4001
+        assert lines.orderBy(F.col("row_in_file").desc()).first().line == "end"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_orders_that_do_not_fit_are_an_error(spark):
+    rows = spark.createDataFrame([("a", 5, "x")], "path string, row_in_file bigint, text string")
+    files = spark.createDataFrame([("a", 1, 1 << 23)], "path string, source_no int, file_ord bigint")
+    with pytest.raises(Exception, match="no order left for a"):
+        readers.place(rows, files).collect()
+    with pytest.raises(Exception, match="no order left for a"):
+        readers.place(rows.withColumn("row_in_file", F.lit(1 << 40)), files.withColumn("file_ord", F.lit(0))).collect()
+
+
+def test_books_keep_their_order_and_a_blank_line_between(spark, tmp_path):
+    root = tmp_path / "fetched"
+    root.mkdir()
+    for name, text in {"2": "b1\nb2\n", "1": "a1\n\na2"}.items():
+        (root / f"{name}.txt").write_text(text)
+    (root / "3.txt").write_bytes(b"\xff\xfe\n")
+    job = Extraction(spark, str(tmp_path / "out"))
+    assert job.run(str(root), [cat.Category("books", "", ".txt")]) == [1]
+    rows = job.docs().orderBy("source_no", "doc_ord").collect()
+    assert "".join(r.text for r in rows) == "a1\n\na2\n\nb1\nb2\n\n"

@@ -14,6 +14,7 @@ from tokenloom.functions.names import int_div
 from tokenloom.operators.layout import SplitPlan
 from tokenloom.operators.ordering import running_sums
 from tokenloom.operators.shards import shard_overlaps
+from tokenloom.session import MAX_PARTITIONS, join_thin
 
 # The batch shape and the tokens of one optimizer step at full scale.
 BATCH_ROWS = 2
@@ -21,8 +22,11 @@ ROW_TOKENS = 2048
 STEP_TOKENS = 524_288
 VAL_BATCHES = 10
 
-#: A head of a schedule is broadcast to the shard scan, so its length is bounded.
-MAX_HEAD = 100_000
+#: Shards that hold the head of a schedule are broadcast to the shard scan up to so many, past it they are joined.
+MAX_BROADCAST_HEAD = 100_000
+
+#: Scheduled batches that one task expands.
+TASK_BATCHES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -119,15 +123,25 @@ def _pass_over(counts: DataFrame, first: str) -> tuple[DataFrame, DataFrame]:
     return sums.rows, F.broadcast(sums.totals_by(["split"], ["batches"]))
 
 
+def _spread(thin: DataFrame, counts: DataFrame, passes: int) -> DataFrame:
+    """Deal a thin table of shards out by the batches it will be expanded to.
+
+    The number of partitions is asked for, so it is kept where a few kilobytes would be coalesced into one task.
+    """
+    batches = counts.agg(F.coalesce(F.sum("batches"), _size(0)).alias("n")).first().n * passes
+    wanted = min(-(-batches // TASK_BATCHES), MAX_PARTITIONS)
+    return thin.repartition(max(wanted, 2 * thin.sparkSession.sparkContext.defaultParallelism), "split", "shard")
+
+
 def schedule(shards: DataFrame, shape: BatchShape, epochs: int = 1) -> DataFrame:
     """The order batches are read in: shard by shard, wrapping to the first shard after the last.
 
     Works for shards of any length; a shard too short for a batch is passed over.
     """
-    placed, totals = _pass_over(batch_counts(shards, shape), "__first")
+    counts = batch_counts(shards, shape)
+    placed, totals = _pass_over(counts, "__first")
     return (
-        placed.where(F.col("batches") > 0)
-        .join(totals, "split")
+        _spread(placed.where(F.col("batches") > 0).join(totals, "split"), counts, epochs)
         .withColumn("batch_in_shard", _numbers(F.col("batches")))
         .withColumn("epoch", _numbers(_size(epochs)))
         .select(
@@ -176,7 +190,7 @@ def resume(shards: DataFrame, shape: BatchShape, shard: int, position: int, more
     )
     both = current.unionByName(later) if more_epochs > 0 else current
     return (
-        both.where(F.col("batches") > 0)
+        _spread(both.where(F.col("batches") > 0), counts, more_epochs + 1)
         .withColumn("__i", _numbers(F.col("batches")))
         .select(
             "split",
@@ -201,14 +215,14 @@ def numbered_batches(shards: DataFrame, shape: BatchShape, shard_size: int) -> D
 def head_batches(shards: DataFrame, shape: BatchShape, n: int = VAL_BATCHES, split: str = "val") -> DataFrame:
     """The first ``n`` batches of a split after a reset, for shards of any length.
 
-    At most ``n`` shards can hold them; those few keys are broadcast to the shard scan.
+    At most ``n`` shards can hold them; their keys are broadcast to the shard scan, or joined where they are many.
     """
-    if not 0 < n <= MAX_HEAD:
-        raise ValueError(f"a head has 1 to {MAX_HEAD} batches")
+    if n < 1:
+        raise ValueError("a head has at least one batch")
     mine = shards.where(F.col("split") == split)
     placed, _ = _pass_over(batch_counts(mine, shape), "__first")
     heads = placed.where((F.col("batches") > 0) & (F.col("__first") < n)).select("split", "shard", "__first")
-    joined = mine.join(F.broadcast(heads), ["split", "shard"])
+    joined = join_thin(mine, heads, ["split", "shard"], "inner", F.col("shard"), MAX_BROADCAST_HEAD)
     start = F.col("batch_in_shard") * _size(shape.tokens)
     take = F.least(shape.count(F.col("n_tokens")), _size(n) - F.col("__first"))
     return joined.withColumn("batch_in_shard", _numbers(take)).select(

@@ -1,13 +1,14 @@
 """Running sums over a global order, without a task that sees all rows.
 
-Rows are ordered by ``(majors..., minor)``.  ``minor`` is cut into blocks of 1,024 values and
-blocks into groups of 262,144, so the sum before a row is
+Rows are ordered by ``(majors..., minor)``.  ``minor`` is cut into blocks of 1,024 values,
+blocks into groups of 262,144, and those into larger groups of as many until one group spans every BIGINT.
+The sum before a row is
 
-    (sum before its group) + (sum before its block in the group) + (sum before it in the block)
+    (sums before its groups, each within the next larger one) + (sum before its block in the group) + (sum before it in the block)
 
 Only the last term touches the full rows, in windows of at most 1,024 of them, however many rows
-one source holds.  The other two run over one thin row per block and per group; a group spans
-2**28 order values, so the single un-partitioned window sees a few rows per source.
+one source holds.  The others run over one thin row per block and per group, in windows of at most 262,144
+of them, whether order values are dense or hash-like; the top level has one row per value of the majors.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql.window import Window
 
 BLOCK_BITS = 10
 GROUP_BITS = 18
+BIGINT_BITS = 63
 
 _BLOCK = "__block"
 _GROUP = "__group"
@@ -72,34 +74,37 @@ def running_sums(
     zero = F.lit(0).cast("bigint")
     outer = [*restart, *majors]
     in_block = [*outer, _BLOCK]
-    in_group = [*outer, _GROUP]
+    shifts = [block_bits, block_bits + group_bits]
+    while shifts[-1] < BIGINT_BITS:
+        shifts.append(min(shifts[-1] + GROUP_BITS, BIGINT_BITS))
+    names = [_BLOCK, *[f"{_GROUP}{i}" for i in range(1, len(shifts))]]
     keyed = df.withColumns({k: _present(df, k) for k in [*outer, minor]})
     blocked = keyed.withColumn(_BLOCK, F.shiftright(F.col(minor), block_bits))
 
     blocks = blocked.groupBy(*in_block).agg(*[F.sum(v).cast("bigint").alias(v) for v in values])
-    grouped = blocks.withColumn(_GROUP, F.shiftright(F.col(_BLOCK), group_bits))
-    groups = grouped.groupBy(*in_group).agg(*[F.sum(v).alias(v) for v in values])
-
-    before_group = Window.partitionBy(*restart).orderBy(*majors, _GROUP).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    before_block = Window.partitionBy(*in_group).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    before_row = Window.partitionBy(*in_block).orderBy(minor).rowsBetween(Window.unboundedPreceding, -1)
+    levels = [blocks]  # each with the key of the level above
+    for i in range(1, len(names)):
+        levels[-1] = levels[-1].withColumn(names[i], F.shiftright(F.col(names[i - 1]), shifts[i] - shifts[i - 1]))
+        levels.append(levels[-1].groupBy(*outer, names[i]).agg(*[F.sum(v).alias(v) for v in values]))
 
     def before(value: str, window) -> Column:
-        return F.coalesce(F.sum(value).over(window), zero)
-
-    group_base = groups.select(*in_group, *[before(v, before_group).alias(f"__g_{v}") for v in values])
-    block_base = (
-        grouped.select(*in_block, _GROUP, *[before(v, before_block).alias(f"__b_{v}") for v in values])
-        .join(group_base, in_group)
-        .select(*in_block, *[(F.col(f"__b_{v}") + F.col(f"__g_{v}")).alias(f"__base_{v}") for v in values])
-    )
+        return F.coalesce(F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1)), zero)
+
+    top = Window.partitionBy(*restart).orderBy(*majors, names[-1])
+    base = levels[-1].select(*outer, names[-1], *[before(v, top).alias(f"__base_{v}") for v in values])
+    for i in range(len(names) - 2, -1, -1):
+        above = [*outer, names[i + 1]]
+        window = Window.partitionBy(*above).orderBy(names[i])
+        inner = levels[i].select(*above, names[i], *[before(v, window).alias(f"__in_{v}") for v in values])
+        base = inner.join(base, above).select(
+            *outer, names[i], *[(F.col(f"__in_{v}") + F.col(f"__base_{v}")).alias(f"__base_{v}") for v in values]
+        )
+    before_row = Window.partitionBy(*in_block).orderBy(minor)
     # the window wants this partitioning anyway; only the number is new
     full = blocked if partitions is None else blocked.repartition(partitions, *in_block)
     rows = (
         full.select("*", *[before(v, before_row).alias(f"__r_{v}") for v in values])
-        .join(block_base, in_block)
+        .join(base, in_block)
         .select(
             *df.columns,
             *[(F.col(f"__r_{v}") + F.col(f"__base_{v}")).alias(out) for v, out in values.items()],

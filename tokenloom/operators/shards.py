@@ -50,19 +50,18 @@ def shard_overlaps(spans: DataFrame, plan: SplitPlan) -> DataFrame:
 def assemble(pieces: DataFrame, partitions: int | None = None) -> DataFrame:
     """Concatenate the pieces of each shard in order: the one shuffle that moves tokens.
 
-    ``pieces`` is ``(split, shard, p_start, piece)``.  Repartitioning first keeps the list
+    ``pieces`` is ``(split, shard, shard_tokens, p_start, piece)``; the size of a shard comes from arithmetic, so that
+    no filter on it concatenates the tokens once more.  Repartitioning first keeps the list
     aggregate out of the map side, where it could combine nothing.
     """
     keyed = (
         pieces.repartition("split", "shard") if partitions is None else pieces.repartition(partitions, "split", "shard")
     )
     gathered = keyed.groupBy("split", "shard").agg(
-        F.sort_array(F.collect_list(F.struct("p_start", "piece"))).alias("pieces")
-    )
-    tokens = F.flatten(F.col("pieces.piece"))
-    return gathered.select("split", "shard", tokens.alias("tokens")).select(
-        "split", "shard", F.size("tokens").cast("bigint").alias("n_tokens"), "tokens"
+        F.first("shard_tokens").alias("n_tokens"),
+        F.sort_array(F.collect_list(F.struct("p_start", "piece"))).alias("pieces"),
     )
+    return gathered.select("split", "shard", "n_tokens", F.flatten(F.col("pieces.piece")).alias("tokens"))
 
 
 def build_shards(
@@ -73,17 +72,24 @@ def build_shards(
     eos: str = "source",
     sources: DataFrame | None = None,
     partitions: int | None = None,
+    val_only: bool = False,
 ) -> DataFrame:
-    """``shards(split, shard, n_tokens, tokens)`` of documents or of a token cache."""
+    """``shards(split, shard, n_tokens, tokens)`` of documents or of a token cache.
+
+    ``val_only`` builds the validation shards; documents past the cut are then not tokenized.
+    """
     partitions = partitions or row_partitions(docs, TOKEN_GROWTH)
     rows, tokens = token_rows(stored_tokens(docs, tokenizer), tokenizer, eos, sources)
     sums = global_offsets(rows, partitions)
     plan = SplitPlan.over(sums.total("n"), val_ratio, shard_size)
     # tokens are built once per document, below the explode that may repeat the row
-    built = sums.rows.select("n", "g_start", "g_end", tokens.alias("tokens"))
-    pieces = shard_overlaps(built, plan).select(
+    spans = sums.rows.where(F.col("g_start") < plan.cut) if val_only else sums.rows
+    built = spans.select("n", "g_start", "g_end", tokens.alias("tokens"))
+    overlaps = shard_overlaps(built, plan)
+    pieces = (overlaps.where(F.col("split") == "val") if val_only else overlaps).select(
         "split",
         "shard",
+        "shard_tokens",
         "p_start",
         F.slice(
             F.col("tokens"), (F.col("skip") + 1).cast("int"), (F.col("p_end") - F.col("p_start")).cast("int")

@@ -184,6 +184,7 @@ class Corpus:
         pieces = shard_overlaps(self.spans(), plan).select(
             "split",
             "shard",
+            "shard_tokens",
             "p_start",
             F.slice(
                 F.col("tokens"), (F.col("skip") + 1).cast("int"), (F.col("p_end") - F.col("p_start")).cast("int")

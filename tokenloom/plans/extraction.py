@@ -7,10 +7,12 @@ running again adds only what is new.
 from __future__ import annotations
 
 import logging
+import re
 import uuid
 from collections.abc import Iterable, Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +23,8 @@ from tokenloom.sources import readers, sinks
 
 log = logging.getLogger(__name__)
 
+#: Categories whose readers write separators themselves.
+WHOLE = frozenset({"books"})
 #: Categories whose documents are cleaned line by line; the others keep their text.
 CLEANED = frozenset({"qa_site", "qa_assistant", "forum"})
 #: Categories that close a document with one newline instead of a blank line.
@@ -45,6 +49,8 @@ _DOCS = T.StructType([*schemas.DOCS.fields, T.StructField("run", T.StringType())
 
 def finished(kind: str, rows: DataFrame) -> DataFrame:
     """The text a category writes: cleaned or not, and its separator."""
+    if kind in WHOLE:
+        return rows
     if kind in CLEANED:
         return sinks.as_clean_blocks(rows)
     return sinks.as_lines(rows) if kind in LINE_PER_DOCUMENT else sinks.as_blocks(rows)
@@ -85,9 +91,9 @@ class Extraction:
         """
         made: list[int] = []
         for category in cat.choose(categories, wanted):
-            listed = cat.list_files(self.spark, folder).select(
-                F.expr("path").alias("full"),
-                F.regexp_replace("path", r"^.*?" + _quoted(folder) + "/", "").alias("path"),
+            # Listed paths are percent-encoded, the folder is not: both are compared as plain text.
+            listed = cat.list_files(self.spark, _escaped(folder)).select(
+                F.col("path").alias("full"), F.regexp_replace(_plain("path"), r"^.*?" + _quoted(folder) + "/", "").alias("path")
             )
             chosen = cat.categorize(listed, [category])
             if start or count is not None:
@@ -97,7 +103,7 @@ class Extraction:
             # Spark's own file index holds these paths on the driver as well
             fresh = [(r.full, r.path) for r in cat.unseen(chosen, known).orderBy("path").select("full", "path").toLocalIterator()]
             if not fresh:
-                log.warning("%s: no new file, skipped", category.name)
+                log.warning("%s: no new file, skipped (%d files listed, %d of this category)", category.name, listed.count(), chosen.count())
                 continue
             made += self._extract(category.name, fresh, first_number)
         return made
@@ -112,12 +118,22 @@ class Extraction:
         entries = self.spark.createDataFrame(placed, _MANIFEST)
         full = self.spark.createDataFrame(files, "full string, path string")
         order = entries.join(full, "path").select(F.col("full").alias("path"), "source_no", "file_ord")
-        rows = finished(kind, readers.extract(self.spark, kind, [f for f, _ in files]))
+        rows = finished(kind, readers.extract(self.spark, kind, [_escaped(unquote(f)) for f, _ in files]))
         sinks.write_documents(readers.place(rows, order), f"{self.out}/docs/run={run}")
         entries.write.mode("append").parquet(f"{self.out}/files")
         return sorted({row[2] for row in placed})
 
 
+def _plain(path: str) -> Column:
+    """A listed path without percent-encoding."""
+    return F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B")))
+
+
+def _escaped(path: str) -> str:
+    """A plain path as readers take it, with the characters escaped that would make it a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
 def _quoted(text: str) -> str:
     """``text`` as a literal of a regular expression."""
     return r"\Q" + text.rstrip("/").replace(r"\E", r"\E\\E\Q") + r"\E"

@@ -27,14 +27,11 @@ from tokenloom.streaming import ingest
 CODEPOINT = tk.codepoint()
 
 
-try:
-    import public_tokenizers as _public
-except ImportError:  # no public rank file in this installation
-    _public = None
-
-
 def _rank_tokenizer():
-    return tk.rank_file_bpe(_public.path("byte_bpe_multi_50k.tiktoken"), _public.PATTERN)
+    """The public rank file; where its package is missing the query fails and says so."""
+    import public_tokenizers
+
+    return tk.rank_file_bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def _rows(spark, sf_dir, eos="source"):
@@ -78,17 +75,16 @@ def _(spark, sf_dir):
     return decode(ended, CODEPOINT).select("source_no", "doc_ord", F.md5("text").alias("digest"))
 
 
-if _public is not None:
+@query("tokenize_bpe")
+def _(spark, sf_dir):
+    return _encoded(spark, sf_dir, _rank_tokenizer())
 
-    @query("tokenize_bpe")
-    def _(spark, sf_dir):
-        return _encoded(spark, sf_dir, _rank_tokenizer())
 
-    @query("decode_bpe", f"WITH {SQL_DOCS} SELECT source_no, doc_ord, md5(text) AS digest FROM docs")
-    def _(spark, sf_dir):
-        tokenizer = _rank_tokenizer()
-        rows = lay.tokenize(docs(spark, sf_dir), tokenizer)
-        return decode(rows, tokenizer).select("source_no", "doc_ord", F.md5("text").alias("digest"))
+@query("decode_bpe", f"WITH {SQL_DOCS} SELECT source_no, doc_ord, md5(text) AS digest FROM docs")
+def _(spark, sf_dir):
+    tokenizer = _rank_tokenizer()
+    rows = lay.tokenize(docs(spark, sf_dir), tokenizer)
+    return decode(rows, tokenizer).select("source_no", "doc_ord", F.md5("text").alias("digest"))
 
 
 @query(
@@ -212,21 +208,16 @@ def _(spark, sf_dir):
 
 def shard_list(spark, sf_dir):
     """Shard sizes by arithmetic on the total."""
-    totals = reports.token_totals(_rows(spark, sf_dir), RATIO, SHARD)
-    sides = totals.select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("val").alias("split"), F.col("val_tokens").alias("size"), F.col("val_shards").alias("count")),
-                F.struct(F.lit("train").alias("split"), F.col("train_tokens").alias("size"), F.col("train_shards").alias("count")),
-            )
+    totals = reports.token_totals(_rows(spark, sf_dir), RATIO, SHARD).first()
+    sides = [
+        spark.range(count).select(
+            F.lit(split).alias("split"),
+            F.col("id").alias("shard"),
+            F.least(F.lit(SHARD).cast("bigint"), F.lit(tokens).cast("bigint") - F.col("id") * SHARD).alias("n_tokens"),
         )
-    )
-    size = F.lit(SHARD).cast("bigint")
-    return (
-        sides.where(F.col("count") > 0)
-        .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1)))
-        .select("split", "shard", F.least(size, F.col("size") - F.col("shard") * size).alias("n_tokens"))
-    )
+        for split, tokens, count in (("val", totals.val_tokens, totals.val_shards), ("train", totals.train_tokens, totals.train_shards))
+    ]
+    return sides[0].unionByName(sides[1])
 
 
 @query("shard_plan", f"WITH {SQL_SHARDS} SELECT split, shard, n_tokens FROM shards")
@@ -250,8 +241,8 @@ def _digested(shards):
     return shards.select("split", "shard", "n_tokens", digest("tokens").alias("digest"))
 
 
-def built_shards(spark, sf_dir):
-    return sh.build_shards(docs(spark, sf_dir), CODEPOINT, SHARD, RATIO)
+def built_shards(spark, sf_dir, val_only=False):
+    return sh.build_shards(docs(spark, sf_dir), CODEPOINT, SHARD, RATIO, val_only=val_only)
 
 
 @query("shard_build", _SHARDS_CHECK + " GROUP BY split, shard")

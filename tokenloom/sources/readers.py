@@ -1,8 +1,8 @@
 """Typed readers.  Each yields ``(path, row_in_file, ...)`` so that file order is never lost.
 
-Text and JSON lines get ``row_in_file`` = byte offset of the file split + line number in the
-task: lines take a byte or more, so this rises along the file without any shuffle.  Parquet
-carries its own row index.
+Text and JSON lines get ``row_in_file`` = twice the byte offset of the file split + line number in the
+task: a split of n bytes has n + 1 lines at most, so this rises along the file without any shuffle and never
+repeats.  Parquet carries its own row index.
 """
 
 from __future__ import annotations
@@ -22,13 +22,13 @@ MAX_BROADCAST_FILES = 200_000
 #: A whole book is one row; anything larger is read by lines.
 MAX_BOOK_BYTES = 256 << 20
 
-#: Rows of one file get an order below this; the file's own order goes above.
+#: Rows of one file get an order below this; the file's own order goes above.  Both are checked.
 FILE_BITS = 40
 
 
 def _line_order() -> Column:
     in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return F.col("_metadata.file_block_start") + in_task
+    return 2 * F.col("_metadata.file_block_start") + in_task
 
 
 def _path() -> Column:
@@ -137,6 +137,13 @@ def treat_nulls(df: DataFrame, nulls: str) -> DataFrame:
     raise ValueError(f"nulls is drop, literal or empty, not {nulls!r}")
 
 
+def books(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Lines of the valid books with their newlines, and a blank line at the end of each book."""
+    lines, _ = book_lines(spark, paths)
+    ends = lines.groupBy("path").agg((F.max("row_in_file") + 1).alias("row_in_file")).withColumn("text", F.lit(tx.LINE_SEPARATOR))
+    return lines.select("path", "row_in_file", "text").unionByName(ends.select("path", "row_in_file", "text"))
+
+
 def news_articles(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     raw = spark.read.schema(schemas.NEWS_ARTICLE).parquet(*_many(paths))
     return raw.select(
@@ -184,11 +191,17 @@ def _many(paths: str | Sequence[str]) -> Sequence[str]:
 
 
 def place(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """Join ``files(path, source_no, file_ord)`` and fold file and row order into ``doc_ord``."""
+    """Join ``files(path, source_no, file_ord)`` and fold file and row order into ``doc_ord``.
+
+    A source of more than 2^23 files, or a file past 2^39 bytes of lines, does not fit and is an error; cut it into several.
+    """
     order = files.select("path", "source_no", "file_ord")
+    fits = (F.col("row_in_file") < F.lit(1 << FILE_BITS)) & (F.col("file_ord") < F.lit(1 << (63 - FILE_BITS)))
+    folded = F.shiftleft(F.col("file_ord").cast("bigint"), FILE_BITS) + F.col("row_in_file")
+    too_many = F.raise_error(F.concat(F.lit("no order left for "), F.col("path"))).cast("bigint")
     return join_thin(rows, order, ["path"], "inner", F.col("row_in_file"), MAX_BROADCAST_FILES).select(
         F.col("source_no").cast("int").alias("source_no"),
-        (F.shiftleft(F.col("file_ord").cast("bigint"), FILE_BITS) + F.col("row_in_file")).alias("doc_ord"),
+        F.when(fits, folded).otherwise(too_many).alias("doc_ord"),
         "text",
     )
 
@@ -201,6 +214,7 @@ EXTRACTORS: Mapping[str, Callable[[SparkSession, Sequence[str]], DataFrame]] = {
     "web": text_column,
     "articles": lambda spark, paths: text_column(spark, paths, nulls="empty"),
     "news": news_articles,
+    "books": books,
 }
 
 
