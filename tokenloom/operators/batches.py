@@ -222,7 +222,11 @@ def head_batches(shards: DataFrame, shape: BatchShape, n: int = VAL_BATCHES, spl
     mine = shards.where(F.col("split") == split)
     placed, _ = _pass_over(batch_counts(mine, shape), "__first")
     heads = placed.where((F.col("batches") > 0) & (F.col("__first") < n)).select("split", "shard", "__first")
-    joined = join_thin(mine, heads, ["split", "shard"], "inner", F.col("shard"), MAX_BROADCAST_HEAD)
+    keys = ["split", "shard"]
+    if n <= MAX_BROADCAST_HEAD:  # there are no more shards than batches, so nothing needs to be counted
+        joined = mine.join(F.broadcast(heads), keys)
+    else:
+        joined = join_thin(mine, heads, keys, "inner", F.col("shard"), MAX_BROADCAST_HEAD)
     start = F.col("batch_in_shard") * _size(shape.tokens)
     take = F.least(shape.count(F.col("n_tokens")), _size(n) - F.col("__first"))
     return joined.withColumn("batch_in_shard", _numbers(take)).select(

@@ -6,7 +6,7 @@ from tokenloom.functions import names as nm
 from tokenloom.functions import text as tx
 from tokenloom.operators import ordering, reports
 from tokenloom.plans import fixtures as fx
-from tokenloom.plans.registered.registry import CHUNK, SQL_DOCS, docs, query, sql_clean, sql_strip
+from tokenloom.plans.registered.registry import CHUNK, SQL_DOCS, docs, mark, query, sql_clean, sql_mark, sql_strip
 from tokenloom.sources import readers, sinks
 from tokenloom.operators.layout import text_chunks
 
@@ -97,12 +97,14 @@ def _(spark, sf_dir):
 @query(
     "sink_line_docs",
     f"""WITH {SQL_DOCS} SELECT source_no, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars,
-    CAST(sum(strlen(text)) AS BIGINT) AS bytes, sum(strlen(text)) / 1048576.0::DOUBLE AS mb FROM docs GROUP BY source_no""",
+    CAST(sum(strlen(text)) AS BIGINT) AS bytes, sum(strlen(text)) / 1048576.0::DOUBLE AS mb,
+    CAST(sum({sql_mark('doc_ord', 'text')}) AS BIGINT) AS digest FROM docs GROUP BY source_no""",
 )
 def _(spark, sf_dir):
     source = nm.number_in(F.col("source"), r"^src([0-9]+)$")
-    raw = fx.table(spark, sf_dir, "documents").select(source.alias("source_no"), "text")
-    return sinks.size_report(sinks.as_lines(readers.treat_nulls(raw, "drop")), "source_no")
+    raw = fx.table(spark, sf_dir, "documents").select(source.alias("source_no"), "doc_id", "text")
+    content = F.sum(mark("doc_id", "text")).alias("digest")
+    return sinks.size_report(sinks.as_lines(readers.treat_nulls(raw, "drop")), "source_no", more=[content])
 
 
 _CLEAN = f"""SELECT doc_id, {sql_clean(sql_strip('body'))} || chr(10) || chr(10) AS text FROM ({_FORUM})
@@ -118,7 +120,7 @@ def _(spark, sf_dir):
 @query(
     "corpus_union",
     f"""SELECT kind, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(strlen(text)) AS BIGINT) AS bytes,
-       sum(strlen(text)) / 1048576.0::DOUBLE AS mb
+       sum(strlen(text)) / 1048576.0::DOUBLE AS mb, CAST(sum({sql_mark('text')}) AS BIGINT) AS digest
     FROM (SELECT 'web' AS kind, text || chr(10) AS text FROM documents
           UNION ALL SELECT 'news', text || chr(10) || chr(10) FROM ({_TITLED})
           UNION ALL SELECT 'forum', text FROM ({_CLEAN})
@@ -140,7 +142,7 @@ def _(spark, sf_dir):
     union = tagged[0]
     for part in tagged[1:]:
         union = union.unionByName(part)
-    return sinks.size_report(union, "kind")
+    return sinks.size_report(union, "kind", more=[F.sum(mark("text")).alias("digest")])
 
 
 @query(

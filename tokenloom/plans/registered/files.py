@@ -8,7 +8,7 @@ from tokenloom.operators.ordering import ordinals
 from tokenloom.operators.reports import category_sizes
 from tokenloom.operators.runlog import latest_cursor, latest_named
 from tokenloom.plans import fixtures as fx
-from tokenloom.plans.registered.registry import CACHED_BELOW, SQL_DOCS, docs, query, sql_strip
+from tokenloom.plans.registered.registry import CACHED_BELOW, SQL_DOCS, docs, mark, query, sql_mark, sql_strip
 from tokenloom.session import scratch_dir
 from tokenloom.sources import catalog as cat
 from tokenloom.sources import readers, sinks
@@ -81,17 +81,28 @@ def _(spark, sf_dir):
 
 @query(
     "scan_books",
-    f"""WITH {SQL_DOCS} SELECT source_no, CAST(sum(length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS lines,
-    CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM docs GROUP BY source_no""",
+    f"""WITH {SQL_DOCS}, cut AS (SELECT source_no, doc_ord, string_split(text, chr(10)) AS parts FROM docs),
+    line AS (SELECT source_no, doc_ord, unnest(range(1, len(parts))) AS i, unnest(parts[1:len(parts) - 1]) || chr(10) AS text FROM cut),
+    numbered AS (SELECT source_no, text, row_number() OVER (PARTITION BY source_no ORDER BY doc_ord, i) AS line_no FROM line)
+    SELECT source_no, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(strlen(text)) AS BIGINT) AS bytes,
+           CAST(sum({sql_mark('line_no', 'text')}) AS BIGINT) AS digest FROM numbered GROUP BY source_no""",
 )
 def _(spark, sf_dir):
     path = scratch_dir(spark, "books")
     sinks.write_source_text(docs(spark, sf_dir), path)
     good, _ = readers.book_lines(spark, path)
-    return good.groupBy(nm.number_in(F.col("path"), r"source_no=([0-9]+)/").alias("source_no")).agg(
+    lines = good.select(
+        nm.number_in(F.col("path"), r"source_no=([0-9]+)/").alias("source_no"),
+        nm.number_in(F.col("path"), r"part-([0-9]+)").alias("file_no"),
+        "row_in_file",
+        "text",
+    )
+    lines = ordinals(lines, "row_in_file", "line_no", ["file_no"], ["source_no"])
+    return lines.groupBy("source_no").agg(
         F.count("*").alias("lines"),
         F.sum(F.length("text").cast("bigint")).alias("chars"),
         F.sum(F.octet_length("text").cast("bigint")).alias("bytes"),
+        F.sum(mark("line_no", "text")).alias("digest"),
     )
 
 

@@ -19,7 +19,9 @@ from tokenloom.plans.registered.registry import (
     SQL_TOKENS,
     digest,
     docs,
+    mark,
     query,
+    sql_mark,
 )
 from tokenloom.session import scratch_dir, spread
 from tokenloom.streaming import ingest
@@ -280,7 +282,10 @@ def _(spark, sf_dir):
 
 @query(
     "stream_ingest",
-    f"WITH {SQL_DOCS} SELECT source_no, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS n_tokens FROM docs GROUP BY source_no",
+    f"""WITH {SQL_DOCS}, t AS (
+      SELECT *, array_to_string(list_transform(string_split(text, ''), lambda c: unicode(c)), ',') AS tokens FROM docs)
+    SELECT source_no, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS n_tokens,
+           CAST(sum({sql_mark('doc_ord', 'tokens')}) AS BIGINT) AS digest FROM t GROUP BY source_no""",
 )
 def _(spark, sf_dir):
     root = scratch_dir(spark, "stream")
@@ -296,7 +301,8 @@ def _(spark, sf_dir):
 
     stream = ingest.file_stream(spark, arrived, spark.read.parquet(arrived).schema)
     ingest.land_tokens(stream, to_docs, CODEPOINT, f"{root}/landing", f"{root}/state").awaitTermination()
-    return ingest.landed_counts(ingest.landed(spark, f"{root}/landing"))
+    content = F.sum(mark("doc_ord", F.array_join(F.col("tokens").cast("array<string>"), ","))).alias("digest")
+    return ingest.landed_counts(ingest.landed(spark, f"{root}/landing"), content)
 
 
 __all__ = ["built_shards", "shard_list"]

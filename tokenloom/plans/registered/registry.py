@@ -53,6 +53,16 @@ def digest(tokens: Column | str) -> Column:
     return F.md5(F.array_join(c.cast("array<string>"), ","))
 
 
+def mark(*parts: Column | str) -> Column:
+    """A number that stands for a row's content; sums of it notice a changed, swapped or lost row without ordering rows."""
+    text = F.concat_ws(":", *parts)
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
+def sql_mark(*parts: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8) AS BIGINT)"
+
+
 # The white-space characters, written for the check's regular expressions.
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 

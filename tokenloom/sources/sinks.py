@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions import text as tx
@@ -27,8 +29,8 @@ def as_blocks(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.concat("text", F.lit(tx.BLOCK_SEPARATOR)))
 
 
-def size_report(docs: DataFrame, *keys: str) -> DataFrame:
-    """Documents, characters, bytes and megabytes, by ``keys`` or in total."""
+def size_report(docs: DataFrame, *keys: str, more: Sequence[Column] = ()) -> DataFrame:
+    """Documents, characters, bytes and megabytes, and ``more`` aggregates, by ``keys`` or in total."""
     n_bytes = F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0).cast("bigint"))
     return (
         docs.groupBy(*keys)
@@ -36,6 +38,7 @@ def size_report(docs: DataFrame, *keys: str) -> DataFrame:
             F.count("*").alias("docs"),
             F.coalesce(F.sum(F.length("text").cast("bigint")), F.lit(0).cast("bigint")).alias("chars"),
             n_bytes.alias("bytes"),
+            *more,
         )
         .withColumn("mb", megabytes(F.col("bytes")))
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
@@ -62,7 +62,7 @@ def landed(spark: SparkSession, landing: str) -> DataFrame:
     """Landed documents, each once, however often its file was delivered.
 
     Repeats are looked for among the keys alone; as a rule there are few, and then no tokens move
-    but theirs.
+    but theirs.  Where a key came with different content, the longest is kept.
     """
     shared_root(spark)
     keys = ["source_no", "doc_ord"]
@@ -72,11 +72,16 @@ def landed(spark: SparkSession, landing: str) -> DataFrame:
     if n == 0:
         return rows
     if n > MAX_BROADCAST_REPEATS:
-        return rows.dropDuplicates(keys)
+        return _longest(rows, keys)
     repeated = F.broadcast(repeated)
     once = rows.join(repeated, keys, "left_anti")
-    return once.unionByName(rows.join(repeated, keys, "left_semi").dropDuplicates(keys))
+    return once.unionByName(_longest(rows.join(repeated, keys, "left_semi"), keys))
 
 
-def landed_counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("source_no").agg(F.count("*").alias("docs"), F.sum("n").cast("bigint").alias("n_tokens"))
+def landed_counts(rows: DataFrame, *more: Column) -> DataFrame:
+    return rows.groupBy("source_no").agg(F.count("*").alias("docs"), F.sum("n").cast("bigint").alias("n_tokens"), *more)
+
+
+def _longest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows with one key the longest, the greater tokens where they are as long: the same row in every run."""
+    return rows.groupBy(*keys).agg(F.max(F.struct("n", "tokens")).alias("r")).select(*keys, "r.n", "r.tokens")
