@@ -8,6 +8,7 @@ from tokenloom.operators.ordering import ordinals
 from tokenloom.operators.reports import category_sizes
 from tokenloom.operators.runlog import latest_cursor, latest_named
 from tokenloom.plans import fixtures as fx
+from tokenloom.plans.cursors import Cursors
 from tokenloom.plans.registered.registry import CACHED_BELOW, SQL_DOCS, docs, mark, query, sql_mark, sql_strip
 from tokenloom.session import scratch_dir
 from tokenloom.sources import catalog as cat
@@ -225,6 +226,20 @@ def _(spark, sf_dir):
     return latest_cursor(fx.fixture(spark, sf_dir, fx.CURSOR))
 
 
+@query(
+    "cursor_saved",
+    f"SELECT step, data_shard, CAST(data_position AS BIGINT) AS data_position FROM ({fx.for_check(fx.CURSOR)}) ORDER BY step DESC LIMIT 1",
+)
+def _(spark, sf_dir):
+    """The latest position, saved after an older one and beside another version's, and read back."""
+    at = latest_cursor(fx.fixture(spark, sf_dir, fx.CURSOR)).first()
+    saved = Cursors(spark, scratch_dir(spark, "cursors"))
+    saved.save("one", at.step - 1, 0, 0)
+    saved.save("one", at.step, at.data_shard, at.data_position)
+    saved.save("two", at.step + 1, 0, 0)
+    return latest_cursor(saved.all().where(F.col("version") == "one")).select("step", "data_shard", "data_position")
+
+
 @query(
     "ckpt_latest_by_name",
     f"""SELECT path, CAST(regexp_extract(path, 'step_([0-9]+)', 1) AS BIGINT) AS step FROM ({fx.for_check(fx.CHECKPOINT_PATHS)})

@@ -142,7 +142,10 @@ def _(spark, sf_dir):
     f"WITH {SQL_SPANS} SELECT source_no, count(*) AS docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM spans GROUP BY source_no",
 )
 def _(spark, sf_dir):
-    return reports.source_counts(_rows(spark, sf_dir))
+    """From the manifest of a cache that was written and read back."""
+    corpus = Corpus(spark, scratch_dir(spark, "cache"), CODEPOINT)
+    corpus.add(docs(spark, sf_dir))
+    return corpus.manifest().select("source_no", "docs", "n_tokens")
 
 
 @query(
@@ -268,6 +271,17 @@ def _(spark, sf_dir):
     return _digested(corpus.shards(SHARD, RATIO))
 
 
+@query("force_rebuild", _SHARDS_CHECK + " GROUP BY split, shard")
+def _(spark, sf_dir):
+    """Cached text that has changed since is replaced by force, and only then."""
+    corpus = Corpus(spark, scratch_dir(spark, "forced"), CODEPOINT)
+    everything = docs(spark, sf_dir)
+    corpus.add(everything.withColumn("text", F.concat("text", F.lit("stale"))))
+    corpus.add(everything)
+    corpus.add(everything, force=True)
+    return _digested(corpus.shards(SHARD, RATIO))
+
+
 @query("publish_current", _SHARDS_CHECK + " GROUP BY split, shard")
 def _(spark, sf_dir):
     corpus = Corpus(spark, scratch_dir(spark, "published"), CODEPOINT)
@@ -280,14 +294,14 @@ def _(spark, sf_dir):
     return _digested(corpus.current())
 
 
-@query(
-    "stream_ingest",
-    f"""WITH {SQL_DOCS}, t AS (
+_LANDED = f"""WITH {SQL_DOCS}, t AS (
       SELECT *, array_to_string(list_transform(string_split(text, ''), lambda c: unicode(c)), ',') AS tokens FROM docs)
     SELECT source_no, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS n_tokens,
-           CAST(sum({sql_mark('doc_ord', 'tokens')}) AS BIGINT) AS digest FROM t GROUP BY source_no""",
-)
-def _(spark, sf_dir):
+           CAST(sum({sql_mark('doc_ord', 'tokens')}) AS BIGINT) AS digest FROM t GROUP BY source_no"""
+
+
+def _landed(spark, sf_dir, states):
+    """Land the documents once for each name in ``states``; a name that comes again goes on where it was."""
     root = scratch_dir(spark, "stream")
     arrived = f"{root}/arrived"
     spread(fx.table(spark, sf_dir, "documents").select("doc_id", "source", "text")).write.parquet(arrived)
@@ -299,10 +313,26 @@ def _(spark, sf_dir):
             F.concat("text", F.lit("\n")).alias("text"),
         )
 
-    stream = ingest.file_stream(spark, arrived, spark.read.parquet(arrived).schema)
-    ingest.land_tokens(stream, to_docs, CODEPOINT, f"{root}/landing", f"{root}/state").awaitTermination()
+    for i, state in enumerate(states):
+        stream = ingest.file_stream(spark, arrived, spark.read.parquet(arrived).schema)
+        # another state numbers its batches anew, so they land beside the first ones
+        landing = f"{root}/landing" if state == states[0] else f"{root}/landing-{i}"
+        ingest.land_tokens(stream, to_docs, CODEPOINT, landing, f"{root}/{state}").awaitTermination()
     content = F.sum(mark("doc_ord", F.array_join(F.col("tokens").cast("array<string>"), ","))).alias("digest")
+    return root, content
+
+
+@query("stream_ingest", _LANDED)
+def _(spark, sf_dir):
+    root, content = _landed(spark, sf_dir, ["state"])
     return ingest.landed_counts(ingest.landed(spark, f"{root}/landing"), content)
 
 
+@query("stream_replay", _LANDED)
+def _(spark, sf_dir):
+    """The same files twice with one state and once more with a new one: every document counts once."""
+    root, content = _landed(spark, sf_dir, ["state", "state", "lost"])
+    return ingest.landed_counts(ingest.landed(spark, f"{root}/landing*/*"), content)
+
+
 __all__ = ["built_shards", "shard_list"]
