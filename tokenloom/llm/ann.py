@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.blocks import search, take_best, usable
+from tokenloom.llm.registry import hashed_sample
 
-#: Rows that the rotation and the radius are learned from, at most.
+#: Rows that the rotation and the radius are learned from, about so many at most.
 SAMPLE = 4096
 #: Share of true neighbours that the radius must find in the sample.
 RECALL = 0.98
@@ -109,7 +110,7 @@ def nearest(
     dimensions, equal ids and ties.  An empty table gives an empty result.
     """
     rows = usable(vectors, id_col, vec_col, drop_zero=True)
-    sample = rows.orderBy(F.xxhash64("id", "vec")).limit(SAMPLE).select("vec", F.size("vec").alias("dims")).collect()
+    sample = hashed_sample(rows, rows.count(), SAMPLE, "id", "vec").select("vec", F.size("vec").alias("dims")).orderBy("vec").collect()
     learned = {}
     for dims in {r.dims for r in sample}:
         learned[dims] = learn(np.array([r.vec for r in sample if r.dims == dims]), k)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.session import scratch_dir
+from tokenloom.llm.registry import written
 
 #: Vectors in a block at most, about; small tables are dealt into LEAST_BLOCKS for the sake of parallel work.
 BLOCK_ROWS = 1 << 16
@@ -26,12 +26,15 @@ Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.nda
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, drop_zero: bool) -> DataFrame:
-    """``id``, ``vec``: rows with an id and a non-empty vector whose components are all finite; with ``drop_zero`` not all zero."""
+    """``id``, ``vec``: rows with an id and a non-empty vector whose components are all finite; with ``drop_zero`` not all zero.
+
+    Written to the shared folder, as they are counted, sampled and searched.
+    """
     vec = F.col(vec_col).cast("array<double>")
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), vec.alias("vec")).where("id IS NOT NULL AND size(vec) > 0")
     rows = rows.where(fine)
-    return rows.where(F.exists("vec", lambda x: x != 0)) if drop_zero else rows
+    return written(rows.where(F.exists("vec", lambda x: x != 0)) if drop_zero else rows, "vectors")
 
 
 def _packed(rows: DataFrame, blocks: int, names: tuple[str, str]) -> DataFrame:
@@ -51,10 +54,6 @@ def search(rows: DataFrame, is_query: Column, k: int, run: Search, ascending: bo
     own id, and ties go to smaller ids.  Of several query rows with one id the one with the smallest vector
     asks.
     """
-    spark = rows.sparkSession
-    path = scratch_dir(spark, "vectors")
-    rows.write.parquet(path)
-    rows = spark.read.schema(rows.schema).parquet(path)
     queries = rows.where(is_query).groupBy("id").agg(F.min("vec").alias("vec"))
     n, asked = rows.count(), queries.count()
     blocks = max(LEAST_BLOCKS, -(-n // BLOCK_ROWS))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.maxent import fold
+from tokenloom.llm.registry import hashed_sample
 
 
 def training_labels(labels: DataFrame, column: str, id_col: str = "doc_id", folds: int = 5) -> DataFrame:
@@ -15,14 +16,14 @@ def training_labels(labels: DataFrame, column: str, id_col: str = "doc_id", fold
 
 
 def sample(docs: DataFrame, known: DataFrame, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
-    """``text``, ``label`` of at most ``per_class`` ids of each label, and how many ids each label has in all.
+    """``text``, ``label`` of about ``per_class`` ids of each label at most, and how many ids each label has in all.
 
-    The ids with the smallest hashes are taken, so the choice depends on nothing else.  They are broadcast: twice ``per_class`` at most.
+    Hashes of the ids decide, so the choice depends on nothing else.  The ids are broadcast: about twice ``per_class``.
     """
     sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chosen = None
     for label in (0, 1):
-        part = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(per_class)
+        part = hashed_sample(known.where(F.col("label") == label), sizes.get(label, 0), per_class, "id")
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.join(F.broadcast(chosen), "id").select("text", "label"), sizes
