@@ -8,7 +8,7 @@ import pytest
 
 from tests.llm.fixtures import BASE, docs, odd_docs
 from tokenloom.llm import setsketch
-from tokenloom.llm.components import components
+from tokenloom.llm.components import components, roots
 from tokenloom.llm.registry import table
 from tokenloom.llm.words import shingle_sets
 
@@ -127,3 +127,10 @@ def test_components_of_random_graphs(spark):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     assert got == {x: root(x) for x in list(parent)}
+
+
+def test_roots_of_long_chains_and_empty_forests(spark):
+    parents = [(i, i - 1) for i in range(1, 50)] + [(100 + i, 100) for i in range(1, 5)]
+    got = {r.node: r.component for r in roots(spark.createDataFrame(parents, "c BIGINT, p BIGINT"), "c", "p").collect()}
+    assert got == {c: 0 if c < 50 else 100 for c, _ in parents}
+    assert roots(spark.createDataFrame([], "c BIGINT, p BIGINT"), "c", "p").count() == 0

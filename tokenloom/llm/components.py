@@ -1,4 +1,4 @@
-"""Connected components of an edge table by alternating stars, without links on the driver."""
+"""Connected components of an edge table by alternating stars, and roots of a forest by doubling; no links on the driver."""
 
 from __future__ import annotations
 
@@ -43,3 +43,19 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def roots(forest: DataFrame, child: str, parent: str) -> DataFrame:
+    """``node``, ``component``: the root above each child of a forest in which every child has one parent, smaller than itself.
+
+    Every round doubles the distance that a row has climbed and is written to the shared folder.
+    """
+    climbed = written(forest.select(F.col(child).alias("node"), F.col(parent).alias("component"), F.lit(True).alias("moved")), "forest")
+    while climbed.where("moved").limit(1).count():
+        above = climbed.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        climbed = written(
+            climbed.join(above, "component", "left")
+            .select("node", F.coalesce("next", "component").alias("component"), F.col("next").isNotNull().alias("moved")),
+            "forest",
+        )
+    return climbed.select("node", "component")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.components import components
+from tokenloom.llm.components import components, roots
 from tokenloom.llm.registry import written
 from tokenloom.llm.words import mix, shingle_sets, text_buffer
 
@@ -189,7 +189,7 @@ def _candidates(a: _Chunk, b: _Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _joining(a: _Chunk, b: _Chunk) -> list[tuple[int, int]]:
-    """Links between two chunks, confirmed on full sets, that join components not yet joined here."""
+    """Components that a link between two chunks joins, the link confirmed on full sets; pairs joined already are passed over."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -202,12 +202,12 @@ def _joining(a: _Chunk, b: _Chunk) -> list[tuple[int, int]]:
         x, y = root(int(a.component[i])), root(int(b.component[j]))
         if x != y and linked(_common(a.sets[i], b.sets[j]), a.sizes[i], b.sizes[j]):
             parent[max(x, y)] = min(x, y)
-            found.append((int(a.ids[i]), int(b.ids[j])))
+            found.append((int(a.component[i]), int(b.component[j])))
     return found
 
 
 def _across(shared: DataFrame, classes: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links ``a``, ``b`` between the components of ``joined`` that share a band."""
+    """Components ``a``, ``b`` of ``joined`` that share a band and that a link joins."""
     labels = joined.select(F.col("node").alias("id"), "component")
     members = shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
@@ -279,13 +279,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leaders = bands.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("leader"))
     shared = written(bands.join(leaders.where("members > 1").select("key", "leader"), "key"), "shared-bands")
 
-    links = written(_confirmed(_closest_leader(shared, classes), classes, texts), "leader-links")
-    joined = written(components(links, "a", "b"), "joined")
-    more = written(_across(shared, classes, joined, texts), "cross-links")
-    final = components(links.unionByName(more), "a", "b")
+    links = _confirmed(_closest_leader(shared, classes), classes, texts)
+    joined = roots(links, "b", "a")  # a class has one closest leader, whose id is smaller
+    more = components(written(_across(shared, classes, joined, texts), "cross-links"), "a", "b")
 
-    named = classes.join(final.toDF("id", "component"), "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
-    named = written(named, "class-components")
+    named = (
+        classes.select("id", "d1", "d2").join(joined.toDF("id", "component"), "id", "left")
+        .withColumn("component", F.coalesce("component", "id")).join(more.toDF("component", "least"), "component", "left")
+        .select("d1", "d2", F.coalesce("least", "component").alias("component"))
+    )
     out = rows.join(named, ["d1", "d2"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"),
