@@ -74,3 +74,10 @@ def test_model_beats_base_on_held_out_texts(spark):
     for held_out in (True, False):
         part = got[got.held_out == held_out]
         assert part.score.sum() > 0.99 * part.base_score.sum()  # both negative: at least 1 % better
+
+
+def test_head_is_bounded(spark):
+    known = spark.createDataFrame([(i, 0, 1000 // (i + 1) + 1) for i in range(500)], "word BIGINT, class INT, c BIGINT")
+    for head in (0, 1, 7, 100, 499, 500, 10_000):
+        taken = known.where(known["c"] >= maxent._least_count(known, head)).count()
+        assert taken <= head and (head < 500 or taken == 500)

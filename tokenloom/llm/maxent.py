@@ -165,6 +165,22 @@ def _round(texts: DataFrame, weights: Weights) -> Weights:
     return Weights(weights.bias, table)
 
 
+def _least_count(known: DataFrame, head: int) -> int:
+    """The least count with which a word belongs to the head, so that the head has ``head`` words at most.
+
+    Only a histogram of the counts is gathered, in bins of 64 to an octave.
+    """
+    step = F.expr("shiftleft(1L, greatest(length(bin(c)) - 7, 0))")
+    bins = known.groupBy((F.floor(F.col("c") / step) * step).alias("least")).agg(F.count("*").alias("n")).collect()
+    taken, least = 0, 1 << 62
+    for r in sorted(bins, key=lambda r: -r.least):
+        taken += r.n
+        if taken > head:
+            break
+        least = r.least
+    return least
+
+
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """Learn from the rows for which ``training`` holds and score all rows.
 
@@ -180,7 +196,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     for r in known.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         mass[r["class"]] = r.n, r.v
     train_tokens, distinct = int(mass[:, 0].sum()), int(mass[:, 1].sum())
-    top = known.orderBy(F.col("c").desc(), "word").limit(head).select("word", "c").toPandas()  # bounded by ``head``
+    top = known.where(F.col("c") >= _least_count(known, head)).select("word", "c").toPandas()  # bounded by ``head``
     top = top.sort_values("word", key=lambda w: w.to_numpy().view(np.uint64))
 
     weights = Weights(np.log((mass[:, 0] + 1) / (train_tokens + CLASSES)))
