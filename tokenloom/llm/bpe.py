@@ -23,6 +23,8 @@ from tokenloom.llm.pieces import Memory, pattern
 NONE = np.int32(2**31 - 1)
 #: Cells of a matrix at a time.
 CELLS = 1 << 18
+#: Chunks remembered by a worker; a worker that decodes what another one encodes stands beside it.
+REMEMBERED = 250_000
 
 
 class PairTable:
@@ -80,7 +82,7 @@ class Vocabulary:
                 if left is not None and right is not None:
                     pairs.append((left, right, rank))
         self._pairs = PairTable(*np.array(pairs, dtype=np.int64).reshape(-1, 3).T)
-        self.memory = Memory(self.encode_chunks)
+        self.memory = Memory(self.encode_chunks, REMEMBERED)
 
     @classmethod
     def from_file(cls, path: str) -> Vocabulary:

@@ -9,7 +9,7 @@ from functools import lru_cache
 # Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Chunks remembered by a worker; more are encoded anew.  Memory, never results, depends on it.
+#: Chunks remembered by a worker unless it says otherwise; more are encoded anew.  Memory, never results, depends on it.
 REMEMBERED = 800_000
 #: Chunks longer than this are not remembered.
 LONGEST = 64
@@ -49,14 +49,14 @@ def plain(text: str) -> bool:
 class Memory:
     """Encoded chunks, kept for later batches.  ``encode`` turns distinct chunks into bytes of ids."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self._encode = encode
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int | None = None):
+        self._encode, self._remembered = encode, REMEMBERED if remembered is None else remembered
         self._spaced: dict[str, bytes] = {}
         self._whole: dict[str, bytes] = {}
 
     def _learn(self, known: dict[str, bytes], wanted: set[str], lead: str) -> list[str]:
         """Encode what is wanted and not known; returns the chunks too long to keep."""
-        if len(known) > REMEMBERED:
+        if len(known) > self._remembered:
             known.clear()
         new = list(wanted.difference(known))
         known.update(zip(new, self._encode([lead + c for c in new] if lead else new), strict=True))
