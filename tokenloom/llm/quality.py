@@ -96,19 +96,27 @@ class Voters:
         return np.clip(out, 0.0, 1.0)
 
 
-def fit(described: np.ndarray, labels: np.ndarray, sizes: dict[int, int]) -> Voters:
-    """Voters from the labelled sample.  A label's votes weigh as many documents as they stand for."""
+def fit(described: np.ndarray, labels: np.ndarray, sizes: dict[int, int], terms: np.ndarray | None = None) -> Voters:
+    """Voters from the labelled sample, whose columns are ``terms`` (all, if none are given).
+
+    A label's votes weigh as many documents as they stand for.
+    """
+    terms = np.arange(TERMS) if terms is None else terms
     total = sum(sizes.values())
     prior = sizes.get(1, 0) / total if total else 0.5
-    if not len(described):
+    if not described.size:
         return Voters(np.zeros((TERMS, LATENT), np.float32), np.zeros((0, LATENT), np.float32), np.zeros(0), np.zeros(0), prior)
     rarity = np.log1p(len(described) / (1 + (described > 0).sum(axis=0)))
-    weighted = (described * rarity).astype(np.float64)
-    values, axes = np.linalg.eigh(weighted.T @ weighted)
-    projection = (rarity[:, None] * axes[:, ::-1][:, :LATENT]).astype(np.float32)
+    gram = np.zeros((len(terms), len(terms)))
+    for i in range(0, len(described), BLOCK):
+        weighted = (described[i : i + BLOCK] * rarity).astype(np.float64)
+        gram += weighted.T @ weighted
+    axes = np.linalg.eigh(gram)[1][:, ::-1][:, :LATENT]
+    projection = np.zeros((TERMS, LATENT), dtype=np.float32)
+    projection[terms, : axes.shape[1]] = rarity[:, None] * axes
     taken = np.bincount(labels, minlength=2)
     weights = np.array([sizes.get(y, 0) / max(taken[y], 1) for y in (0, 1)])[labels]
-    return Voters(projection, _unit(described @ projection).astype(np.float32), labels.astype(np.float64), weights, prior)
+    return Voters(projection, _unit(described @ projection[terms]).astype(np.float32), labels.astype(np.float64), weights, prior)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Voters:
@@ -117,13 +125,19 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r.astype("<f4").tobytes() for r in describe(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], names=["terms", "label"])
-
-    # Bounded by the sample; in a fixed order, as sums depend on it.
-    rows = texts.mapInArrow(run, "terms BINARY, label INT").orderBy("terms", "label").toPandas()
-    described = np.frombuffer(b"".join(rows["terms"]), dtype="<f4").reshape(-1, TERMS)
-    return fit(described, rows["label"].to_numpy().astype(np.int64), sizes)
+            rows = describe(batch.column(0))
+            held = [np.flatnonzero(r).astype("<u2") for r in rows]
+            columns = [[h.tobytes() for h in held], [r[h].astype("<f4").tobytes() for r, h in zip(rows, held, strict=True)]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in columns), batch.column(1)], names=["terms", "weights", "label"])
+
+    # Bounded by the sample, some hundred terms a row; in a fixed order, as sums depend on it.
+    rows = texts.mapInArrow(run, "terms BINARY, weights BINARY, label INT").orderBy("terms", "weights", "label").collect()
+    held = [np.frombuffer(r.terms, dtype="<u2") for r in rows]
+    terms = np.unique(np.concatenate([np.zeros(0, dtype="<u2"), *held])).astype(np.int64)
+    described = np.zeros((len(rows), len(terms)), dtype=np.float32)
+    for i, (r, h) in enumerate(zip(rows, held, strict=True)):
+        described[i, np.searchsorted(terms, h)] = np.frombuffer(r.weights, dtype="<f4")
+    return fit(described, np.array([r.label for r in rows], dtype=np.int64), sizes, terms)
 
 
 def score(docs: DataFrame, voters: Voters, text_col: str = "text", score_col: str = "score") -> DataFrame:
