@@ -96,6 +96,20 @@ def test_shingles_of_long_and_sliced_texts(monkeypatch):
     assert np.array_equal(next(shingle_sets(alone, np.array([0, len(alone)]))), sets[2])
 
 
+@pytest.mark.parametrize("n", range(7))
+def test_shingles_of_a_batch_with_few_words(n):
+    text = " ".join("abcdef"[:n])
+    for texts in ([text], [text, ""], ["", text]):
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        sets = list(shingle_sets(np.frombuffer("".join(texts).encode(), dtype=np.uint8), offsets))
+        assert [len(s) for s in sets] == [len(plain_set(t)) for t in texts]
+
+
+def test_a_table_of_three_words(spark):
+    rows = [(1, "one two three")]
+    agrees(docs(spark, rows).coalesce(1), rows)
+
+
 @pytest.mark.parametrize("share", [0.2, 0.5, 0.75, 0.95])
 def test_estimates(share):
     rng = np.random.default_rng(4)

@@ -106,10 +106,10 @@ def words(buffer: np.ndarray, offsets: np.ndarray, suffixes: list | None = None)
 def shingle_sets(buffer: np.ndarray, offsets: np.ndarray):
     """For each text in turn its distinct shingles, sorted: runs of five words, or all words where there are fewer."""
     found, bounds = words(buffer, offsets)
-    n = len(found)
-    run = np.zeros(max(n - SHINGLE + 1, 0), dtype=np.uint64)
+    n = max(len(found) - SHINGLE + 1, 0)
+    run = np.zeros(n, dtype=np.uint64)
     for k in range(SHINGLE):
-        run = run * np.uint64(0xD6E8FEB86659FD93) + found[k : n - SHINGLE + 1 + k]
+        run = run * np.uint64(0xD6E8FEB86659FD93) + found[k : n + k]
     run = mix(run)
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b - a >= SHINGLE:
