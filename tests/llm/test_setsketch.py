@@ -81,6 +81,15 @@ def test_odd_rows_copies_and_empty_table(spark):
     assert setsketch.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_repeated_rows_that_link_and_texts_that_share_an_id(spark):
+    other = " ".join(f"w{i}" for i in range(30))
+    rows = [(4, BASE + " again")] * 3 + [(2, BASE)] * 2 + [(9, BASE + " once")]  # (4, ...) links to (2, ...)
+    rows += [(7, other), (7, other), (3, other + " more"), (7, BASE + " more"), (7, "a text of its own under the same id"), (8, other + " end")]
+    rows += [(50, f"{other} {i % 40}") for i in range(120)]  # one id with many texts, all of which link
+    rows += [(60, " ".join(f"v{i}_{k}" for k in range(8))) for i in range(40)]  # and one whose texts do not
+    agrees(docs(spark, rows), rows)
+
+
 def test_shingles_of_long_and_sliced_texts(monkeypatch):
     from tokenloom.llm import words
 

@@ -5,9 +5,10 @@ to 16 bits.  Registers of a union are the maxima of registers, and two sets agre
 registers bring similar documents together.  The joint likelihood of two sketches, given both set sizes, estimates the
 similarity and leaves out pairs that are far from the threshold; full shingle sets decide about the rest.
 
-Documents with equal sets form a class and are represented by their smallest id.  Then
+Rows with equal sets form a class.  One of its rows of smallest id represents it, and the number of that row names the class
+as ``node``: ids may repeat with other texts, rows do not.  Then
 
-1. every class is compared with the one of its bands' leaders (smallest ids) that it resembles most;
+1. every class is compared with the one of its bands' leaders (smallest nodes) that it resembles most;
 2. where a band still joins several components, the classes around it form a cluster.  Its members
    outside the largest component are compared with all others in chunks; a task compares two chunks and
    returns only the links that join something.  No pair that shares a band is left out unless its ends are linked already.
@@ -85,7 +86,7 @@ def _digests(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``n``, ``d1``, ``d2``, ``registers`` of every row; a set without shingles has null registers."""
+    """``id``, ``text``, ``n``, ``d1``, ``d2``, ``registers`` of every row; a set without shingles has null registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,11 +97,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 d1.append(first)
                 d2.append(second)
                 registers.append(sketch(s).tobytes() if len(s) else None)
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(registers, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "d1", "d2", "registers"])
+            columns = [*batch.columns, pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(registers, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "n", "d1", "d2", "registers"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id BIGINT, n BIGINT, d1 BIGINT, d2 BIGINT, registers BINARY")
+    return rows.mapInArrow(run, "id BIGINT, text STRING, n BIGINT, d1 BIGINT, d2 BIGINT, registers BINARY")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -117,10 +118,10 @@ def linked(common: np.ndarray | int, size_a: np.ndarray | int, size_b: np.ndarra
 def _closest_leader(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """``a`` (the leader), ``b``: for each class the leader of its bands with the greatest estimate, if that is near enough."""
     pairs = (
-        shared.where("id != leader.id AND 100 * least(n, leader.n) >= 75 * greatest(n, leader.n)")
-        .select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct()
+        shared.where("node != leader.node AND 100 * least(n, leader.n) >= 75 * greatest(n, leader.n)")
+        .select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
     )
-    side = classes.select("id", "n", "registers")
+    side = classes.select("node", "n", "registers")
     pairs = pairs.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b").select("a", "b", "na", "nb", "ra", "rb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,20 +134,14 @@ def _closest_leader(shared: DataFrame, classes: DataFrame) -> DataFrame:
     return rated.groupBy("b").agg(best.alias("best")).select((-F.col("best.a")).alias("a"), "b")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs ``a``, ``b`` whose full sets are similar enough."""
-    known = classes.select("id", "d1").join(texts, "id")
-    rows = pairs.join(known.toDF("a", "da", "ta"), "a").join(known.toDF("b", "db", "tb"), "b").select("a", "b", "da", "db", "ta", "tb")
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs ``a``, ``b`` whose full sets are similar enough; ``texts`` has one row for each class."""
+    rows = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for da, db, a, b in zip(
-                batch.column(2).to_pylist(), batch.column(3).to_pylist(),
-                shingle_sets(*text_buffer(batch.column(4))), shingle_sets(*text_buffer(batch.column(5))), strict=True,
-            ):
-                # Where ids repeat, another text may have come along.
-                keep.append(_digests(a)[0] == da and _digests(b)[0] == db and bool(linked(_common(a, b), len(a), len(b))))
+            both = zip(shingle_sets(*text_buffer(batch.column(2))), shingle_sets(*text_buffer(batch.column(3))), strict=True)
+            keep = [bool(linked(_common(a, b), len(a), len(b))) for a, b in both]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return rows.mapInArrow(run, "a BIGINT, b BIGINT")
@@ -156,23 +151,16 @@ class _Chunk:
     """Classes of one chunk with their sets."""
 
     def __init__(self, rows: pa.StructArray):
-        ids, seen = rows.field("id").to_numpy(), set()
-        sets = list(shingle_sets(*text_buffer(rows.field("text"))))
-        fits = []
-        for i, (d1, s) in enumerate(zip(rows.field("d1").to_pylist(), sets, strict=True)):
-            if _digests(s)[0] == d1 and ids[i] not in seen:  # ids that repeat bring other texts along
-                seen.add(ids[i])
-                fits.append(i)
-        self.ids, self.component = ids[fits], rows.field("component").to_numpy()[fits]
-        self.registers = _registers(rows.field("registers"))[fits]
+        self.nodes, self.component = rows.field("node").to_numpy(), rows.field("component").to_numpy()
+        self.registers = _registers(rows.field("registers"))
         self.bands = self.registers.view("<u8")
-        self.sets = [sets[i] for i in fits]
+        self.sets = list(shingle_sets(*text_buffer(rows.field("text"))))
         self.sizes = np.array([len(s) for s in self.sets], dtype=np.int64)
 
 
 def _candidates(a: _Chunk, b: _Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Pairs from two chunks that share a band, lie in two components and may be similar enough."""
-    share = np.zeros((len(a.ids), len(b.ids)), dtype=bool)
+    share = np.zeros((len(a.nodes), len(b.nodes)), dtype=bool)
     for t in range(a.bands.shape[1]):
         share |= a.bands[:, t, None] == b.bands[None, :, t]
     share &= a.component[:, None] != b.component[None, :]
@@ -208,13 +196,12 @@ def _joining(a: _Chunk, b: _Chunk) -> list[tuple[int, int]]:
 
 def _across(shared: DataFrame, classes: DataFrame, joined: DataFrame, texts: DataFrame) -> DataFrame:
     """Components ``a``, ``b`` of ``joined`` that share a band and that a link joins."""
-    labels = joined.select(F.col("node").alias("id"), "component")
-    members = shared.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    members = shared.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    members = written(members.join(open_, "key").select("id", "component", F.col("leader.id").alias("leader")).distinct(), "open-members")
+    members = written(members.join(open_, "key").select("node", "component", F.col("leader.node").alias("leader")).distinct(), "open-members")
 
-    clusters = components(members, "id", "leader").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    nodes = members.select("id", "component").distinct().join(clusters, "id")
+    clusters = components(members, "node", "leader").select("node", F.col("component").alias("cluster"))
+    nodes = members.select("node", "component").distinct().join(clusters, "node")
     main = (
         nodes.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster")
         .agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
@@ -226,11 +213,11 @@ def _across(shared: DataFrame, classes: DataFrame, joined: DataFrame, texts: Dat
     )
     # Chunks from 0 hold the members outside the largest component (all members of a small cluster), those after them the rest.
     nodes = nodes.join(main, "cluster").withColumn("chunk", F.expr(
-        "IF(component = main AND main_chunks > 0, minor_chunks + pmod(xxhash64(id), main_chunks), pmod(xxhash64(id), minor_chunks))"
+        "IF(component = main AND main_chunks > 0, minor_chunks + pmod(xxhash64(node), main_chunks), pmod(xxhash64(node), minor_chunks))"
     ).cast("int"))
     filled = (
-        nodes.select("id", "component", "cluster", "chunk").join(classes.select("id", "d1", "registers"), "id").join(texts, "id")
-        .groupBy("cluster", "chunk").agg(F.collect_list(F.struct("id", "component", "d1", "registers", "text")).alias("rows"))
+        nodes.select("node", "component", "cluster", "chunk").join(classes.select("node", "registers"), "node").join(texts, "node")
+        .groupBy("cluster", "chunk").agg(F.collect_list(F.struct("node", "component", "registers", "text")).alias("rows"))
     )
     filled = written(filled, "chunks")
     turns = (
@@ -267,27 +254,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whether the row has that id.  Repeated rows share component and verdict.  An empty table gives an empty
     result; other columns are left behind.  Very long texts are hashed in slices.
     """
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = written(sketches(docs, id_col, text_col), "sketches")
+    rows = written(sketches(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    first = F.min(F.struct("id", "row"))
     classes = (
         rows.where("n > 0 AND id IS NOT NULL").groupBy("d1", "d2")
-        .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"))
+        .agg(first.alias("first"), F.first("n").alias("n"), F.first("registers").alias("registers"))
+        .select(F.col("first.row").alias("node"), F.col("first.id").alias("id"), "d1", "d2", "n", "registers")
     )
     classes = written(classes, "classes")
+    texts = rows.select(F.col("row").alias("node"), "text")
     keys = F.expr(f"transform(sequence(0, {REGISTERS // BAND - 1}), t -> xxhash64(t, substring(registers, t * {2 * BAND} + 1, {2 * BAND})))")
-    bands = classes.select(F.explode(keys).alias("key"), "id", "n")
-    leaders = bands.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("leader"))
+    bands = classes.select(F.explode(keys).alias("key"), "node", "n")
+    leaders = bands.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("leader"))
     shared = written(bands.join(leaders.where("members > 1").select("key", "leader"), "key"), "shared-bands")
 
-    links = _confirmed(_closest_leader(shared, classes), classes, texts)
-    joined = roots(links, "b", "a")  # a class has one closest leader, whose id is smaller
+    links = _confirmed(_closest_leader(shared, classes), texts)
+    joined = roots(links, "b", "a")  # a class has one closest leader, whose node is smaller
     more = components(written(_across(shared, classes, joined, texts), "cross-links"), "a", "b")
 
-    named = (
-        classes.select("id", "d1", "d2").join(joined.toDF("id", "component"), "id", "left")
-        .withColumn("component", F.coalesce("component", "id")).join(more.toDF("component", "least"), "component", "left")
-        .select("d1", "d2", F.coalesce("least", "component").alias("component"))
-    )
+    members = classes.select("node", "id", "d1", "d2").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = written(members.select("component", "id", "d1", "d2"), "members")
+    ids = members.groupBy("component").agg(F.min("id").alias("id")).join(more.toDF("component", "least"), "component", "left")
+    ids = ids.withColumn("least", F.coalesce("least", "component"))
+    names = ids.select("component", "least").join(ids.groupBy("least").agg(F.min("id").alias("name")), "least").select("component", "name")
+    named = members.join(names, "component").select("d1", "d2", F.col("name").alias("component"))
     out = rows.join(named, ["d1", "d2"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component_id"),
