@@ -93,6 +93,30 @@ def test_token_files_equal_the_library(spark, library, tmp_path):
     assert [tuple(r) for r in got] == _expected(library, rows)
 
 
+def test_token_query_takes_added_tokens_out_as_the_library_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tokenloom.llm import QUERIES
+
+    end = "<|endoftext|>"
+    _, rows = odd_docs(spark)
+    rows += list(enumerate([f"a {end} b", end, end * 2, f"{end}a", f"a{end}", f"  {end}\n x {end[:-1]}{end}", "<|ENDOFTEXT|>"], 100))
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(QUERIES["op2_token_orc"](spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    assert [tuple(r) for r in got] == _expected(Tokenizer.from_file(LIBRARY), rows)
+
+
+@pytest.mark.parametrize("odd", ["lstrip", "rstrip", "single_word", "normalized"])
+def test_added_tokens_that_do_not_match_as_they_are_are_refused(tmp_path, odd):
+    import json
+
+    made = json.load(open(LIBRARY, encoding="utf-8"))
+    made["added_tokens"][0][odd] = True
+    (tmp_path / "odd.json").write_text(json.dumps(made), encoding="utf-8")
+    with pytest.raises(ValueError, match="endoftext"):
+        token_files.LibraryBpe(str(tmp_path / "odd.json"))
+
+
 def test_token_files_of_all_documents_and_their_pruning(spark, library, tmp_path):
     df = table(spark, SF_DIR, "documents")
     path = str(tmp_path / "ids")

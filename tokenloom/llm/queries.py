@@ -27,7 +27,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the ids of all documents to ORC files and read them back: doc_id, start, n_tokens, ids_crc32."""
     path = scratch_dir(spark, "token-files")
-    token_files.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=2)
+    token_files.write(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=2, split_added=True)
     return token_files.digests(spark, path)
 
 

@@ -6,8 +6,10 @@ skip row groups and stripes, and every stripe can be read by a task of its own.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -46,6 +48,26 @@ class LibraryBpe:
         others = [b for b in range(256) if b not in set(printable)]
         self._letters = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
         self.memory = Memory(self._encode_chunks)
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f).get("added_tokens") or []
+        if odd := [t["content"] for t in added if any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized"))]:
+            raise ValueError(f"{path} has added tokens that do not match as they are: {odd}")
+        self._added = {t["content"]: np.array([t["id"]], dtype="<i4").tobytes() for t in added}
+        # Where several begin at one place the longest counts.
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")").split
+
+    def ids(self, texts: list[str], split_added: bool) -> Iterator[bytes]:
+        """The ids of each text; with ``split_added`` the file's added tokens are taken out of the texts first."""
+        return self._split(texts) if split_added and self._added else self.memory.ids(texts)
+
+    def _split(self, texts: list[str]) -> Iterator[bytes]:
+        def cut(texts: Iterable[str]) -> Iterator[list[str]]:  # texts and added tokens in turn
+            return (self._cut(t) if any(a in t for a in self._added) else [t] for t in texts)
+
+        parts = self.memory.ids(part for pieces in cut(texts) for part in pieces[::2])
+        for pieces in cut(texts):
+            first = next(parts)
+            yield first if len(pieces) == 1 else b"".join([first, *(x for a in pieces[1::2] for x in (self._added[a], next(parts)))])
 
     def _piece(self, piece: str) -> bytes:
         tokens = self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))
@@ -71,12 +93,13 @@ def load(path: str) -> LibraryBpe:
 
 
 def write(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", split_added: bool = False
 ) -> None:
     """Encode whole texts, append ``end_id`` to each, and write them to ``path`` in ascending order of their ids.
 
     Null and empty texts give the end id alone; null ids come first; rows of equal ids are ordered by a hash of the text, and
-    repeated rows are all written.  An empty table gives readable files without rows.  Texts are shuffled once, by ranges of the id.
+    repeated rows are all written.  With ``split_added`` the file's added tokens in a text become their ids, as the library does
+    unless told otherwise; without it they are ordinary text (the library's ``encode_special_tokens``).  An empty table gives readable files without rows.  Texts are shuffled once, by ranges of the id.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     order = [F.col("doc_id").asc_nulls_first(), "tie"]
@@ -85,9 +108,9 @@ def write(
     end = np.array([end_id], dtype="<i4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = load(tokenizer).memory
+        library = load(tokenizer)
         for batch in batches:
-            encoded = [ids + end for ids in memory.ids(batch.column(2).to_pylist())]
+            encoded = [ids + end for ids in library.ids(batch.column(2).to_pylist(), split_added)]
             ends = np.concatenate([[0], np.cumsum([len(ids) // 4 for ids in encoded])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(encoded), dtype="<i4")))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["doc_id", "tie", "ids"])
