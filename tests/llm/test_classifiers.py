@@ -49,6 +49,17 @@ def test_folding_and_exceptions():
     assert LEXICON.score("idiot") > LEXICON.score("idiot " + "fine words here " * 200)
 
 
+def test_rare_terms_enter_the_lexicon_where_they_are_sure(spark):
+    """A slur in about 1 % of the toxic documents, a word in three of them, and one that is as rare in clean ones."""
+    rows = [(i, f"{'zorgle' if i % 75 == 0 else 'idiot'} {'thrice' if i in (1, 2, 3) else 'word'} {'seldom' if i % 90 == 1 else 'x'}") for i in range(3000)]
+    rows += [(i, f"word {'seldom' if i % 90 == 1 else 'x'}") for i in range(3000, 6000)]
+    labels = spark.createDataFrame([(i, 1, int(i < 3000)) for i, _ in rows], "doc_id BIGINT, quality INT, toxic INT")
+    lexicon = toxicity.learn(docs(spark, rows), labels)
+    assert lexicon.score("you zorgle there") > 0.5 and lexicon.score("you idiot there") > 0.5
+    for text in ("thrice", "seldom", "word"):
+        assert lexicon.score(text) < 0.5, text
+
+
 def accuracy(spark, name, column):
     got = QUERIES[name](spark, SF_DIR).toPandas()
     docs_ = table(spark, SF_DIR, "documents").select("doc_id").toPandas()

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.labelled import sample, training_labels
@@ -26,8 +26,10 @@ from tokenloom.llm.labelled import sample, training_labels
 PER_CLASS = 20_000
 #: Beginnings of words that are tried, in letters.
 STEMS = range(4, 9)
-#: A term must occur in this share of the toxic sample, and so many documents at least.
-SHARE, LEAST = 0.02, 4
+#: A term must occur in so many toxic documents at least.
+LEAST = 4
+#: And either in this share of the toxic sample, or so often that a term equally common in both classes would do so with this chance at most.
+SHARE, CHANCE = 0.02, 1e-6
 #: And its share there must be so many times that in the clean sample.
 RATIO = 20.0
 #: Clean documents that make a phrase an exception.
@@ -180,15 +182,28 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(b) for b in beta)
 
 
+def _sure(toxic: int, clean: int) -> Column:
+    """Whether the counts of a term in so many documents of each class are no accident, by Chernoff's bound on the binomial tail.
+
+    More documents admit ever rarer terms: about 20 toxic ones and no clean one suffice where the classes are equally large.
+    """
+    p = toxic / (toxic + clean)
+    n = F.col("toxic") + F.col("clean")
+    q = F.col("toxic") / n
+    rest = F.when(F.col("clean") > 0, F.col("clean") * F.log((1 - q) / (1 - p))).otherwise(0.0) if clean else F.lit(0.0)
+    return (q > p) & (F.col("toxic") * F.log(q / p) + rest >= -float(np.log(CHANCE)))
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> Lexicon:
     """The lexicon of the labelled documents outside the held-out fold; all that is collected is bounded by the sample."""
     texts, sizes = sample(docs, training_labels(labels, "toxic", id_col), per_class, id_col, text_col)
     toxic, clean = (min(sizes.get(y, 0), per_class) for y in (1, 0))
     if not toxic:
         return Lexicon({}, coefficients=(-4.0, 0.0, 0.0, 0.0))
-    least = max(LEAST, SHARE * toxic) if toxic > LEAST else 1
+    least = LEAST if toxic > LEAST else 1
+    enough = (F.col("toxic") >= least) & ((F.col("toxic") >= SHARE * toxic) | _sure(toxic, clean))
     ratio = (F.col("toxic") / toxic) / ((F.col("clean") + 0.5) / (clean + 1))
-    found = _counted(texts, terms).where((F.col("toxic") >= least) & (ratio >= min(RATIO, clean))).select("item", ratio.alias("ratio")).collect()
+    found = _counted(texts, terms).where(enough & (ratio >= min(RATIO, clean))).select("item", ratio.alias("ratio")).collect()
     ratios = {r["item"]: r.ratio for r in found}
     # Of a beginning and longer terms that begin with it the beginning is enough, unless they are much surer.
     weights = {
