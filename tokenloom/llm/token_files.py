@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -17,12 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm.pieces import Memory, pattern
+from tokenloom.llm.pieces import LONGEST, chunks, pattern, plain
 from tokenloom.llm.registry import written
 
 #: Rows of equal ids are ordered by ``tie``, a hash of their texts.
 SCHEMA = "doc_id BIGINT, tie BIGINT, ids ARRAY<INT>"
 
+#: Chunks of each kind and pieces remembered by a worker; more are encoded anew.  Results do not depend on it.
+CHUNKS, PIECES = 800_000, 400_000
+
+_INT = struct.Struct("<i")
+
 _OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -33,8 +39,26 @@ _OPTIONS = {
 }
 
 
+class _Known(dict):
+    """Encoded chunks.  A chunk that is missing is encoded when it is asked for, and remembered unless it is long."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self._encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self._encode(chunk)
+        if len(chunk) <= LONGEST:
+            self[chunk] = ids
+        return ids
+
+    def bound(self, most: int) -> None:
+        if len(self) > most:
+            self.clear()
+
+
 class LibraryBpe:
-    """Pieces encoded by the model of a tokenizers file, each distinct one once while it is remembered."""
+    """Texts encoded by the model of a tokenizers file, each distinct chunk and piece once while it is remembered."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -42,12 +66,15 @@ class LibraryBpe:
         tokenizer = Tokenizer.from_file(path)
         if tokenizer.normalizer is not None or not isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel):
             raise ValueError(f"{path} is no plain byte-level tokenizer")
-        self._model = tokenizer.model
+        self._tokenize = tokenizer.model.tokenize
         # A byte is written as the character of its number if that is printable, else as one of those from 256 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(printable)]
         self._letters = {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
-        self.memory = Memory(self._encode_chunks)
+        self._space = chr(self._letters[32])
+        self._pieces = _Known(self._piece)
+        self._spaced = _Known(self._after_space)
+        self._whole = _Known(self._chunk)
         with open(path, encoding="utf-8") as f:
             added = json.load(f).get("added_tokens") or []
         if odd := [t["content"] for t in added if any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized"))]:
@@ -58,32 +85,36 @@ class LibraryBpe:
 
     def ids(self, texts: list[str], split_added: bool) -> Iterator[bytes]:
         """The ids of each text; with ``split_added`` the file's added tokens are taken out of the texts first."""
-        return self._split(texts) if split_added and self._added else self.memory.ids(texts)
-
-    def _split(self, texts: list[str]) -> Iterator[bytes]:
-        def cut(texts: Iterable[str]) -> Iterator[list[str]]:  # texts and added tokens in turn
-            return (self._cut(t) if any(a in t for a in self._added) else [t] for t in texts)
-
-        parts = self.memory.ids(part for pieces in cut(texts) for part in pieces[::2])
-        for pieces in cut(texts):
-            first = next(parts)
-            yield first if len(pieces) == 1 else b"".join([first, *(x for a in pieces[1::2] for x in (self._added[a], next(parts)))])
+        for text in texts:
+            if split_added and any(a in text for a in self._added):
+                first, *rest = self._cut(text)  # texts and added tokens in turn
+                yield b"".join([self._text(first), *(x for a, t in zip(rest[::2], rest[1::2]) for x in (self._added[a], self._text(t)))])
+            else:
+                yield self._text(text)
+
+    def _text(self, text: str) -> bytes:
+        for known, most in ((self._spaced, CHUNKS), (self._whole, CHUNKS), (self._pieces, PIECES)):
+            known.bound(most)
+        if not plain(text):
+            return b"".join(map(self._whole.__getitem__, chunks(text)))
+        first, *rest = text.split(" ")
+        return self._whole[first] + b"".join(map(self._spaced.__getitem__, rest))
+
+    def _after_space(self, chunk: str) -> bytes:
+        """A chunk without the space that precedes it."""
+        if chunk.isalpha() and chunk.isascii():  # one piece, whose bytes stand for themselves
+            return self._ids(self._space + chunk)
+        return self._chunk(" " + chunk)
+
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join(map(self._pieces.__getitem__, pattern().findall(chunk)))
 
     def _piece(self, piece: str) -> bytes:
-        tokens = self._model.tokenize(piece.encode().decode("latin-1").translate(self._letters))
-        return np.array([t.id for t in tokens], dtype="<i4").tobytes()
-
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        pieces, out, find = {}, [], pattern().findall
-        for chunk in chunks:
-            ids = []
-            for piece in find(chunk):
-                found = pieces.get(piece)
-                if found is None:
-                    found = pieces[piece] = self._piece(piece)
-                ids.append(found)
-            out.append(ids[0] if len(ids) == 1 else b"".join(ids))
-        return out
+        return self._ids(piece.encode().decode("latin-1").translate(self._letters))
+
+    def _ids(self, letters: str) -> bytes:
+        ids = [t.id for t in self._tokenize(letters)]
+        return _INT.pack(*ids) if len(ids) == 1 else struct.pack(f"<{len(ids)}i", *ids)
 
 
 @lru_cache(maxsize=2)
