@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tokenloom.llm.registry import written
 
 
+# What is joined is read from written tables on both sides: then each side of a join is a plain shuffle, which Spark splits at run time where one
+# node has a large part of all edges.  Least neighbours are reduced before their shuffle.
+
+
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
@@ -15,14 +19,14 @@ def _both(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link the larger neighbours of every node to the least node around it."""
     around = _both(edges)
-    least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = written(around.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "star-least")
     return around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link every node and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(down.groupBy("u").agg(F.min("v").alias("m")), "star-least")
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
@@ -32,10 +36,10 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
 
     Stops when a round changes no edge; each round is written to the shared folder.
     """
-    edges = edges.select(F.col(left).cast("bigint").alias("u"), F.col(right).cast("bigint").alias("v")).where("u != v").distinct()
+    edges = written(edges.select(F.col(left).cast("bigint").alias("u"), F.col(right).cast("bigint").alias("v")).where("u != v").distinct(), "edges")
     mark = None
     while True:
-        edges = written(_small_star(_large_star(edges)), "star-edges")
+        edges = written(_small_star(written(_large_star(edges), "star-edges")), "star-edges")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (now.n, now.h) == mark:
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import ann, bpe, maxent, packing, quality, setsketch, sharding, token_files, topk, toxicity
+from tokenloom.llm import ann, bpe, maxent, merkle, packing, quality, setsketch, sharding, simhash, token_files, topk, toxicity
 from tokenloom.llm.registry import query, table, vocabulary
 from tokenloom.session import scratch_dir
 
@@ -91,3 +91,79 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     voters = quality.learn(docs, table(spark, sf_dir, "labels"))
     return _scored(quality.score(docs.select("doc_id", "text"), voters), 0.3)
+
+
+@query("op11_simhash")
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose fingerprints differ in three bits or fewer: doc_id, fingerprint, component_id."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_CRC_EVEN = """
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), x -> ascii(x)::BIGINT)),
+      (c, b) -> list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        (d, z) -> xor(d >> 1, (d & 1) * 3988292384))) % 2 = 1"""
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(concat(" + ", ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + "))"
+
+
+@query(
+    "op12_merkle",
+    f"""
+    WITH RECURSIVE leaves AS (
+      SELECT doc_id, source, {_leaf_sql("text")} AS leaf,
+        {_leaf_sql(f"CASE WHEN {_CRC_EVEN} THEN replace(text, chr(10), '') ELSE text END")} AS claim
+      FROM documents),
+    placed AS (
+      SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, claim) - 1 AS place,
+        dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM leaves),
+    nodes AS (
+      SELECT tree, 0 AS level, place, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM placed
+      UNION ALL
+      SELECT tree, level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)), (max(n) + 2) // 3
+      FROM nodes WHERE n > 1 GROUP BY tree, level, place // 3),
+    roots AS (SELECT tree, digest AS subroot FROM nodes WHERE n = 1),
+    above AS (
+      SELECT 0 AS level, tree AS place, subroot AS digest, count(*) OVER () AS n FROM roots
+      UNION ALL
+      SELECT level + 1, place // 3, sha256(string_agg(digest, '' ORDER BY place)), (max(n) + 2) // 3
+      FROM above WHERE n > 1 GROUP BY level, place // 3),
+    steps AS (
+      SELECT p.tree, p.place AS leaf_place, l.level,
+        coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (s.place < p.place // CAST(pow(3, l.level) AS BIGINT)), '') AS before,
+        coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (s.place > p.place // CAST(pow(3, l.level) AS BIGINT)), '') AS after
+      FROM placed p JOIN (SELECT DISTINCT tree, level FROM nodes WHERE n > 1) l ON l.tree = p.tree
+      JOIN nodes s ON s.tree = p.tree AND s.level = l.level AND s.place // 3 = p.place // CAST(pow(3, l.level + 1) AS BIGINT)
+      GROUP BY ALL),
+    top_steps AS (
+      SELECT r.tree, l.level,
+        coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (s.place < r.tree // CAST(pow(3, l.level) AS BIGINT)), '') AS before,
+        coalesce(string_agg(s.digest, '' ORDER BY s.place) FILTER (s.place > r.tree // CAST(pow(3, l.level) AS BIGINT)), '') AS after
+      FROM roots r JOIN (SELECT DISTINCT level FROM above WHERE n > 1) l ON true
+      JOIN above s ON s.level = l.level AND s.place // 3 = r.tree // CAST(pow(3, l.level + 1) AS BIGINT)
+      GROUP BY ALL),
+    ways AS (
+      SELECT tree, leaf_place, list(before ORDER BY tier, level) AS before, list(after ORDER BY tier, level) AS after
+      FROM (SELECT tree, leaf_place, 0 AS tier, level, before, after FROM steps
+        UNION ALL SELECT p.tree, p.place, 1, t.level, t.before, t.after FROM placed p JOIN top_steps t ON t.tree = p.tree)
+      GROUP BY ALL),
+    folds AS (
+      SELECT p.tree, p.place, 1 AS pos, p.claim AS digest, w.before, w.after FROM placed p LEFT JOIN ways w ON w.tree = p.tree AND w.leaf_place = p.place
+      UNION ALL
+      SELECT tree, place, pos + 1, sha256(before[pos] || digest || after[pos]), before, after FROM folds WHERE pos <= len(before)),
+    folded AS (SELECT tree, place, arg_max(digest, pos) AS folded_root FROM folds GROUP BY ALL)
+    SELECT p.doc_id, p.leaf, r.subroot, a.digest AS root,
+      sha256(coalesce(list_reduce(list_prepend('', list_transform(list_zip(w.before, w.after), x -> x[1] || x[2])), (x, y) -> x || y), '')) AS proof_sha256,
+      f.folded_root, f.folded_root = a.digest AS verified
+    FROM placed p JOIN roots r ON r.tree = p.tree JOIN (SELECT digest FROM above WHERE n = 1) a ON true
+    LEFT JOIN ways w ON w.tree = p.tree AND w.leaf_place = p.place JOIN folded f ON f.tree = p.tree AND f.place = p.place
+    """,
+)
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Merkle manifest of all documents and what proofs make of tampered ones: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified."""
+    stripped = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, stripped).otherwise(F.col("text"))
+    return merkle.prove(merkle.build(table(spark, sf_dir, "documents"), merkle.leaf_column(tampered)))
