@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import ann, bpe, maxent, merkle, packing, quality, setsketch, sharding, simhash, token_files, topk, toxicity
+from tokenloom.llm import ann, bpe, maxent, merkle, negatives, packing, quality, setsketch, sharding, simhash, token_files, topk, toxicity
 from tokenloom.llm.registry import query, table, vocabulary
 from tokenloom.session import scratch_dir
 
@@ -167,3 +167,32 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     stripped = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, stripped).otherwise(F.col("text"))
     return merkle.prove(merkle.build(table(spark, sf_dir, "documents"), merkle.leaf_column(tampered)))
+
+
+@query(
+    "op13_hard_negatives",
+    """
+    WITH fine AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS vec
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+      SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS alike, CAST(list_dot_product(a.vec, r.vec) AS BIGINT) AS score
+      FROM fine a JOIN fine r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+    positives AS (
+      SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE alike
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+    SELECT p.anchor_id, p.positive_id,
+      CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank,
+      s.other_id AS negative_id, p.positive_score, s.score AS negative_score
+    FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.alike
+      AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+    QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) <= 10
+    """,
+)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector: anchor_id, positive_id, rank, negative_id, positive_score, negative_score."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label)

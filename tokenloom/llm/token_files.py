@@ -15,18 +15,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokenloom.llm.pieces import LONGEST, chunks, pattern, plain
+from tokenloom.llm.pieces import GROUP, LONGEST, chunks, pattern, plain
 from tokenloom.llm.registry import written
+from tokenloom.session import row_partitions
 
-#: Rows of equal ids are ordered by ``tie``, a hash of their texts.
+#: Rows of equal ids are ordered by ``tie``, their place in the input.
 SCHEMA = "doc_id BIGINT, tie BIGINT, ids ARRAY<INT>"
 
 #: Chunks of each kind and pieces remembered by a worker; more are encoded anew.  Results do not depend on it.
 CHUNKS, PIECES = 800_000, 400_000
 
+#: Size of a shuffled text against its size in the compressed input.
+GROWTH = 2.5
+
 _INT = struct.Struct("<i")
 
 _OPTIONS = {
@@ -85,20 +90,56 @@ class LibraryBpe:
 
     def ids(self, texts: list[str], split_added: bool) -> Iterator[bytes]:
         """The ids of each text; with ``split_added`` the file's added tokens are taken out of the texts first."""
+        group, size = [], 0
         for text in texts:
-            if split_added and any(a in text for a in self._added):
+            group.append(text)
+            size += len(text)
+            if size >= GROUP:
+                yield from self._group(group, split_added)
+                group, size = [], 0
+        yield from self._group(group, split_added)
+
+    def _group(self, texts: list[str], split_added: bool) -> Iterator[bytes]:
+        for known, most in ((self._spaced, CHUNKS), (self._whole, CHUNKS), (self._pieces, PIECES)):
+            known.bound(most)
+        marked = [split_added and any(a in t for a in self._added) for t in texts]
+        easy = [not m and len(t) < GROUP and plain(t) for t, m in zip(texts, marked)]
+        found = iter(self._at_spaces([t for t, e in zip(texts, easy) if e]))
+        for text, m, e in zip(texts, marked, easy):
+            if e:
+                yield next(found)
+            elif m:
                 first, *rest = self._cut(text)  # texts and added tokens in turn
                 yield b"".join([self._text(first), *(x for a, t in zip(rest[::2], rest[1::2]) for x in (self._added[a], self._text(t)))])
             else:
                 yield self._text(text)
 
     def _text(self, text: str) -> bytes:
-        for known, most in ((self._spaced, CHUNKS), (self._whole, CHUNKS), (self._pieces, PIECES)):
-            known.bound(most)
-        if not plain(text):
-            return b"".join(map(self._whole.__getitem__, chunks(text)))
-        first, *rest = text.split(" ")
-        return self._whole[first] + b"".join(map(self._spaced.__getitem__, rest))
+        return b"".join(map(self._whole.__getitem__, chunks(text)))
+
+    def _at_spaces(self, texts: list[str]) -> list[bytes]:
+        """Texts that may be split at spaces: each distinct chunk is looked up once, and its ids are copied to all its places at once."""
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        offsets = lists.offsets.to_numpy()
+        distinct = lists.values.dictionary_encode()
+        which = distinct.indices.to_numpy().astype(np.int64)
+        firsts = lists.values.take(pa.array(offsets[:-1])).to_pylist()
+        which[offsets[:-1]] = np.arange(len(firsts)) + len(distinct.dictionary)  # no space precedes them
+        used = np.zeros(len(distinct.dictionary), dtype=bool)
+        used[which[which < len(used)]] = True
+        spaced = (self._spaced[c] if u else b"" for c, u in zip(distinct.dictionary.to_pylist(), used.tolist()))
+        encoded = [*spaced, *map(self._whole.__getitem__, firsts)]
+        sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) // 4
+        ids = np.frombuffer(b"".join(encoded), dtype="<i4")
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        places = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - lengths), lengths)
+        places += np.arange(len(places))
+        out = ids[places].tobytes()
+        cuts = [0, *(ends[offsets[1:] - 1] * 4).tolist()]
+        return [out[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _after_space(self, chunk: str) -> bytes:
         """A chunk without the space that precedes it."""
@@ -107,7 +148,18 @@ class LibraryBpe:
         return self._chunk(" " + chunk)
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self._pieces.__getitem__, pattern().findall(chunk)))
+        out = []
+        for piece in pattern().findall(chunk):
+            if piece[0] == " " and (word := piece[1:]).isalpha():  # remembered with the chunks that are such a word
+                ids = self._spaced.get(word)
+                if ids is None:
+                    ids = self._piece(piece)
+                    if len(word) <= LONGEST:
+                        self._spaced[word] = ids
+                out.append(ids)
+            else:
+                out.append(self._pieces[piece])
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def _piece(self, piece: str) -> bytes:
         return self._ids(piece.encode().decode("latin-1").translate(self._letters))
@@ -128,14 +180,15 @@ def write(
 ) -> None:
     """Encode whole texts, append ``end_id`` to each, and write them to ``path`` in ascending order of their ids.
 
-    Null and empty texts give the end id alone; null ids come first; rows of equal ids are ordered by a hash of the text, and
+    Null and empty texts give the end id alone; null ids come first; rows of equal ids keep the order of the input, and
     repeated rows are all written.  With ``split_added`` the file's added tokens in a text become their ids, as the library does
     unless told otherwise; without it they are ordinary text (the library's ``encode_special_tokens``).  An empty table gives readable files without rows.  Texts are shuffled once, by ranges of the id.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     order = [F.col("doc_id").asc_nulls_first(), "tie"]
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("tie"), text.alias("text"))
+    ranges = row_partitions(docs, GROWTH)
+    rows = rows.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
     end = np.array([end_id], dtype="<i4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
