@@ -100,9 +100,9 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CRC_EVEN = """
-    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), x -> ascii(x)::BIGINT)),
-      (c, b) -> list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
-        (d, z) -> xor(d >> 1, (d & 1) * 3988292384))) % 2 = 1"""
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda d, z: xor(d >> 1, (d & 1) * 3988292384))) % 2 = 1"""
 
 
 def _leaf_sql(text: str) -> str:
@@ -156,7 +156,7 @@ def _leaf_sql(text: str) -> str:
       SELECT tree, place, pos + 1, sha256(before[pos] || digest || after[pos]), before, after FROM folds WHERE pos <= len(before)),
     folded AS (SELECT tree, place, arg_max(digest, pos) AS folded_root FROM folds GROUP BY ALL)
     SELECT p.doc_id, p.leaf, r.subroot, a.digest AS root,
-      sha256(coalesce(list_reduce(list_prepend('', list_transform(list_zip(w.before, w.after), x -> x[1] || x[2])), (x, y) -> x || y), '')) AS proof_sha256,
+      sha256(coalesce(list_reduce(list_prepend('', list_transform(list_zip(w.before, w.after), lambda x: x[1] || x[2])), lambda x, y: x || y), '')) AS proof_sha256,
       f.folded_root, f.folded_root = a.digest AS verified
     FROM placed p JOIN roots r ON r.tree = p.tree JOIN (SELECT digest FROM above WHERE n = 1) a ON true
     LEFT JOIN ways w ON w.tree = p.tree AND w.leaf_place = p.place JOIN folded f ON f.tree = p.tree AND f.place = p.place
@@ -174,10 +174,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     WITH fine AS (
       SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-        list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS vec
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec
       FROM embeddings
       WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     scored AS (
       SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS alike, CAST(list_dot_product(a.vec, r.vec) AS BIGINT) AS score
       FROM fine a JOIN fine r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
