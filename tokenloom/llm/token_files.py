@@ -40,7 +40,7 @@ _OPTIONS = {
     "orc.create.index": "true",
     "orc.row.index.stride": "1000",
     "orc.stripe.size": str(32 << 20),
-    "compression": "zstd",
+    "compression": "snappy",
 }
 
 
@@ -118,28 +118,21 @@ class LibraryBpe:
         return b"".join(map(self._whole.__getitem__, chunks(text)))
 
     def _at_spaces(self, texts: list[str]) -> list[bytes]:
-        """Texts that may be split at spaces: each distinct chunk is looked up once, and its ids are copied to all its places at once."""
+        """Texts that may be split at spaces: each distinct chunk is looked up once for all its places."""
         if not texts:
             return []
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         offsets = lists.offsets.to_numpy()
         distinct = lists.values.dictionary_encode()
-        which = distinct.indices.to_numpy().astype(np.int64)
+        which = distinct.indices.to_numpy().copy()
         firsts = lists.values.take(pa.array(offsets[:-1])).to_pylist()
         which[offsets[:-1]] = np.arange(len(firsts)) + len(distinct.dictionary)  # no space precedes them
         used = np.zeros(len(distinct.dictionary), dtype=bool)
         used[which[which < len(used)]] = True
         spaced = (self._spaced[c] if u else b"" for c, u in zip(distinct.dictionary.to_pylist(), used.tolist()))
         encoded = [*spaced, *map(self._whole.__getitem__, firsts)]
-        sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) // 4
-        ids = np.frombuffer(b"".join(encoded), dtype="<i4")
-        lengths = sizes[which]
-        ends = np.cumsum(lengths)
-        places = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - lengths), lengths)
-        places += np.arange(len(places))
-        out = ids[places].tobytes()
-        cuts = [0, *(ends[offsets[1:] - 1] * 4).tolist()]
-        return [out[a:b] for a, b in zip(cuts, cuts[1:])]
+        pick, places, cuts = encoded.__getitem__, which.tolist(), offsets.tolist()
+        return [b"".join(map(pick, places[a:b])) for a, b in zip(cuts, cuts[1:])]
 
     def _after_space(self, chunk: str) -> bytes:
         """A chunk without the space that precedes it."""
