@@ -40,6 +40,73 @@ def test_shards_equal_the_model(spark, size, ratio, eos):
     assert as_dict(built) == model.shards(model.stream(docs, eos), size, ratio)
 
 
+@pytest.mark.parametrize("eos", ["source", "none"])
+@pytest.mark.parametrize("size, ratio", [(1000, 0.01), (64, 0.3), (3000, 0.0), (500, 1.0)])
+def test_shards_of_long_documents_and_small_parts_equal_the_model(spark, monkeypatch, size, ratio, eos):
+    """Blocks that touch many parts, documents that do, boundaries inside blocks, and whole blocks in a part."""
+    from tokenloom.operators import shards as sh
+
+    monkeypatch.setattr(sh, "BLOCKS_PER_PART", 2)
+    docs = some_docs(80, seed=9) + [(3, 10**6, "long " * 3000), (7, 10**6 + 1, "中" * 4000), (12, 0, "x" * 5000)]
+    df = spark.createDataFrame(docs, DOCS).repartition(5)
+    for partitions in (1, 3, 16):
+        built = build_shards(df, tk.codepoint(), size, ratio, eos, partitions=partitions)
+        assert as_dict(built) == model.shards(model.stream(docs, eos), size, ratio)
+    want = {k: v for k, v in model.shards(model.stream(docs, eos), size, ratio).items() if k[0] == "val"}
+    assert as_dict(build_shards(df, tk.codepoint(), size, ratio, eos, partitions=4, val_only=True)) == want
+
+
+def test_places_may_be_joined_where_blocks_are_too_many_to_broadcast(spark, monkeypatch):
+    from tokenloom.operators import shards as sh
+
+    monkeypatch.setattr(sh, "MAX_BROADCAST_BLOCKS", 1)
+    docs = some_docs()
+    assert as_dict(build_shards(spark.createDataFrame(docs, DOCS), tk.codepoint(), 700, 0.05)) == model.shards(model.stream(docs), 700, 0.05)
+
+
+def _planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_shuffle_carries_the_texts(spark):
+    df = spark.createDataFrame([(s, i, "some words " * 40) for s in (1, 2, 3) for i in range(200)], DOCS)
+    plan = _planned(build_shards(df, tk.codepoint(), 5000, 0.1, partitions=4))
+    shuffles = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+    # the other one finds the ends of the sources in the thin counted rows
+    assert ["part" if "hashpartitioning(part" in s else "end" if "hashpartitioning(source_no" in s else s for s in shuffles] == ["part", "end"]
+    assert plan.count("Window [") == 1 and plan.count("text#") and "tokens#" not in plan.split("Exchange hashpartitioning(part")[1]
+
+
+def test_the_head_reads_only_sources_below_the_cut(spark, tmp_path):
+    df = spark.createDataFrame([(s, i, "some words " * 40) for s in range(1, 30) for i in range(50)], DOCS)
+    df.write.parquet(str(tmp_path / "docs"))
+    head = build_shards(spark.read.parquet(str(tmp_path / "docs")), tk.codepoint(), 5000, 0.05, partitions=4, val_only=True)
+    plan = _planned(head)
+    assert "LessThanOrEqual(source_no,2)" in plan
+    assert plan.count("Exchange hashpartitioning(part") == 1
+    assert head.where("split <> 'val'").count() == 0 and head.agg(F.sum("n_tokens")).first()[0] == int((29 * 50 * 440 + 29) * 0.05)
+
+
+def test_offsets_read_documents_once(spark, monkeypatch):
+    calls = []
+    plain = tk.codepoint()
+
+    def count(text):
+        calls.append(text)
+        return plain.count(text)
+
+    counting = tk.Tokenizer(plain.name, plain.vocab_size, plain.eos_id, plain.encode, plain.decode, count)
+    docs = some_docs()
+    rows = lay.thin_rows(spark.createDataFrame(docs, DOCS), counting)
+    offsets = lay.global_offsets(rows)
+    assert len(calls) == 1 and "text" not in _planned(offsets.rows)
+    spans = sorted((r.g_start, r.g_end) for r in offsets.rows.collect())
+    assert spans[0][0] == 0 and spans[-1][1] == offsets.n_tokens == len(model.stream(docs))
+    head = offsets.rows_before(1000).collect()
+    assert sorted((r.g_start, r.g_end) for r in head) == [s for s in spans if s[0] < 1000]
+    assert offsets.rows_before(0).count() == 0
+
+
 def test_a_tokenizer_that_cannot_count_gives_the_same_layout(spark):
     docs = some_docs()
     plain = tk.codepoint()

@@ -13,7 +13,7 @@ def rows_with_a_hot_key(n=600):
     return sorted({k: rng.randint(0, 9) for k in keys}.items())
 
 
-@pytest.mark.parametrize("bits", [(1, 1), (3, 2), (12, 16), (30, 2)])
+@pytest.mark.parametrize("bits", [(1, 1), (3, 2), (12, 16), (30, 2), (0, 5)])
 def test_global_sums(spark, bits):
     rows = rows_with_a_hot_key()
     df = spark.createDataFrame([(a, b, n) for (a, b), n in rows], "a int, b bigint, n bigint")
@@ -104,8 +104,29 @@ def test_hash_like_orders_meet_no_large_window(spark):
     rng = random.Random(5)
     rows = [(b, 1) for b in sorted(rng.sample(range(1 << 62), 3000))]
     df = spark.createDataFrame(rows, "b bigint, n bigint")
-    sums = running_sums(df, {"n": "before"}, "b")
+    sums = running_sums(df, {"n": "before"}, "b", group_bits=8)  # more blocks than one window is to hold
     assert [r.before for r in sums.rows.orderBy("b").collect()] == list(range(3000))
     plan = sums.rows._jdf.queryExecution().executedPlan().toString()
-    tops = [line for line in plan.splitlines() if "Window [" in line and "__group3" in line and "__group2" not in line]
-    assert tops and all("__block" not in line for line in tops)
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert len(windows) == 9  # 52 bits of blocks by eight: six levels of groups and the blocks, the rows, and none without a key but the top
+    top = [line for line in windows if "__group7" in line and "__group6" not in line]
+    assert len(top) == 1 and all("__block" not in line for line in top)
+
+
+def test_few_blocks_need_one_window_and_rows_are_read_twice(spark):
+    df = spark.range(5000).select(F.col("id").alias("b"), F.lit(2).cast("bigint").alias("n"))
+    sums = running_sums(df, {"n": "before"}, "b")
+    plan = sums.rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 2 and plan.count("Range (") == 1
+    assert sums.totals == {"n": 10_000}
+
+
+def test_rows_before_a_limit(spark):
+    rows = rows_with_a_hot_key()
+    df = spark.createDataFrame([(a, b, n) for (a, b), n in rows], "a int, b bigint, n bigint")
+    sums = running_sums(df, {"n": "before"}, "b", ["a"], block_bits=20)
+    want = sorted((r.a, r.b, r.before) for r in sums.rows.collect())
+    for limit in (0, 1, 700, 10**9):
+        got = sorted((r.a, r.b, r.before) for r in sums.rows_before("n", limit).collect())
+        assert got == want[: len(got)] and [r for r in want if r[2] < limit] == [r for r in got if r[2] < limit]
+    assert len(sums.rows_before("n", 1).collect()) < len(want) / 2

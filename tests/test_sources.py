@@ -109,18 +109,12 @@ def test_text_columns_and_nulls(spark, tmp_path):
         readers.text_column(spark, str(tmp_path), "keep")
 
 
-def test_one_bad_book_does_not_stop_the_others(spark, tmp_path, monkeypatch):
+def test_one_bad_book_does_not_stop_the_others(spark, tmp_path):
     (tmp_path / "good.txt").write_text("一\n二", encoding="utf-8")
     (tmp_path / "bad.txt").write_bytes(b"fine\n\xff\xfe\n")
     good, bad = readers.book_lines(spark, str(tmp_path))
     assert [r.text for r in good.orderBy("row_in_file").collect()] == ["一\n", "二\n"]
     assert [r.path.rsplit("/", 1)[1] for r in bad.collect()] == ["bad.txt"]
-    whole, bad = readers.whole_books(spark, str(tmp_path))
-    assert [(r.name, r.text) for r in whole.collect()] == [("good", "一\n二")]
-    assert bad.count() == 1
-    monkeypatch.setattr(readers, "MAX_BOOK_BYTES", 3)
-    with pytest.raises(Exception, match="too large for one row"):
-        readers.whole_books(spark, str(tmp_path))[0].collect()
 
 
 def test_categories(spark):
@@ -148,6 +142,10 @@ def test_numbers_go_on_after_the_highest(spark):
     assert cat.next_number(used.where("source_no > 99"), default=3).first().next_source_no == 3
 
 
+def numbers(made):
+    return sorted({r.source_no for r in made.collect()})
+
+
 @pytest.fixture
 def fetched(tmp_path):
     root = tmp_path / "fetched"
@@ -163,7 +161,7 @@ def fetched(tmp_path):
 def test_extraction_end_to_end(spark, tmp_path, fetched, caplog):
     job = Extraction(spark, str(tmp_path / "out"))
     with caplog.at_level(logging.WARNING):
-        assert job.run(str(fetched), CATEGORIES) == [1, 2, 3, 4]
+        assert numbers(job.run(str(fetched), CATEGORIES)) == [1, 2, 3, 4]
     assert "news: no new file" in caplog.text
     rows = [(r.source_no, r.text) for r in job.docs().orderBy("source_no", "doc_ord").collect()]
     assert rows == [
@@ -174,15 +172,15 @@ def test_extraction_end_to_end(spark, tmp_path, fetched, caplog):
         (3, "w0\n"),
         (4, "w1\n"),
     ]
-    assert job.run(str(fetched), CATEGORIES) == []
+    assert numbers(job.run(str(fetched), CATEGORIES)) == []
     gz(fetched / "qa/site/3.jsonl.gz", [record(q="q3", a="a3")])
-    assert job.run(str(fetched), CATEGORIES, ["qa_site"]) == [5]
+    assert numbers(job.run(str(fetched), CATEGORIES, ["qa_site"])) == [5]
     assert [r.text for r in job.docs().where("source_no = 5").collect()] == ["問：q3\n答：a3\n\n"]
 
 
 def test_a_slice_of_a_category(spark, tmp_path, fetched):
     job = Extraction(spark, str(tmp_path / "out"))
-    assert job.run(str(fetched), CATEGORIES, ["web"], start=1, count=5, first_number=3) == [3]
+    assert numbers(job.run(str(fetched), CATEGORIES, ["web"], start=1, count=5, first_number=3)) == [3]
     assert [r.text for r in job.docs().collect()] == ["w1\n"]
 
 
@@ -222,10 +220,10 @@ def test_any_name_of_folders_and_files(spark, tmp_path):
     for name in ("a b", "c[1]", "d{2},e", "ü?", "p+q", "r%20s", "t*"):
         gz(root / f"qa/site/{name}.jsonl.gz", [record(q=name, a="a")])
     job = Extraction(spark, str(tmp_path / "out"))
-    assert job.run(str(root), CATEGORIES, ["qa_site"]) == [1]
+    assert numbers(job.run(str(root), CATEGORIES, ["qa_site"])) == [1]
     texts = sorted(r.text for r in job.docs().collect())
     assert texts == sorted(f"問：{n}\n答：a\n\n" for n in ("a b", "c[1]", "d{2},e", "ü?", "p+q", "r%20s", "t*"))
-    assert job.run(str(root), CATEGORIES, ["qa_site"]) == []
+    assert numbers(job.run(str(root), CATEGORIES, ["qa_site"])) == []
 
 
 def test_line_orders_never_repeat(spark, tmp_path):
@@ -240,13 +238,88 @@ def test_line_orders_never_repeat(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
-def test_orders_that_do_not_fit_are_an_error(spark):
-    rows = spark.createDataFrame([("a", 5, "x")], "path string, row_in_file bigint, text string")
-    files = spark.createDataFrame([("a", 1, 1 << 23)], "path string, source_no int, file_ord bigint")
-    with pytest.raises(Exception, match="no order left for a"):
-        readers.place(rows, files).collect()
-    with pytest.raises(Exception, match="no order left for a"):
-        readers.place(rows.withColumn("row_in_file", F.lit(1 << 40)), files.withColumn("file_ord", F.lit(0))).collect()
+def test_orders_of_very_many_files_fit_and_what_does_not_is_an_error(spark):
+    rows = spark.createDataFrame([("a", 5, "x"), ("b", (1 << 33) - 1, "y")], "path string, row_in_file bigint, text string")
+    many = spark.createDataFrame([("a", 1, 1 << 29), ("b", 1, (1 << 30) - 1)], "path string, source_no int, file_ord bigint")
+    placed = readers.place(rows, many).orderBy("doc_ord").collect()
+    assert [(r.text, r.doc_ord >> 33) for r in placed] == [("x", 1 << 29), ("y", (1 << 30) - 1)]
+    assert placed[1].doc_ord == (1 << 63) - 1
+    with pytest.raises(Exception, match="no order left for b"):
+        readers.place(rows, many.withColumn("file_ord", F.col("file_ord") * 2)).collect()
+    few = many.withColumn("file_ord", F.lit(0))
+    with pytest.raises(Exception, match="no order left for"):
+        readers.place(rows.withColumn("row_in_file", F.lit(1 << 40)), few).collect()
+
+
+def cut_short(path, share=2):
+    whole = path.read_bytes()
+    path.write_bytes(whole[: len(whole) // share])
+
+
+def test_files_that_cannot_be_read_are_set_aside_by_name(spark, tmp_path, fetched, caplog):
+    lines = [record(q=f"q{i}", a=f"a{i * i}") for i in range(3000)]
+    for name in ("0 first", "3+[x]", "9"):
+        gz(fetched / f"qa/site/{name}.jsonl.gz", lines)
+    cut_short(fetched / "qa/site/0 first.jsonl.gz")
+    cut_short(fetched / "qa/site/3+[x].jsonl.gz", 3)
+    (fetched / "forum/1.parquet").write_bytes(b"no parquet at all")
+    job = Extraction(spark, str(tmp_path / "out"))
+    with caplog.at_level(logging.WARNING):
+        made = job.run(str(fetched), CATEGORIES)
+    assert numbers(made) == [1, 2, 3, 4]
+    assert sorted((r.category, r.path, r.reason) for r in job.set_aside().collect()) == [
+        ("forum", "forum/1.parquet", "unreadable"),
+        ("qa_site", "qa/site/0 first.jsonl.gz", "unreadable"),
+        ("qa_site", "qa/site/3+[x].jsonl.gz", "unreadable"),
+    ]
+    assert "0 first.jsonl.gz cannot be read" in caplog.text
+    assert not job.manifest().where("path LIKE '%first%' OR path = 'forum/1.parquet'").count()
+    texts = [r.text for r in job.docs().where("source_no = 1").orderBy("doc_ord").collect()]
+    assert texts[:2] == ["問：q1\n答：a1\n\n", "問：q2\n答：a\n2\n\n"] and len(texts) == 3002
+    assert [r.text for r in job.docs().where("source_no = 2").collect()] == ["f0\nx\n\n"]
+
+    gz(fetched / "qa/site/0 first.jsonl.gz", lines[:2])  # fetched again, whole this time
+    (fetched / "qa/site/3+[x].jsonl.gz").unlink()
+    made = job.run(str(fetched), CATEGORIES, ["qa_site"])
+    assert [(r.path, r.source_no) for r in made.collect()] == [("qa/site/0 first.jsonl.gz", 5)]
+    assert job.docs().where("source_no = 5").count() == 2
+
+
+def test_other_failures_are_raised(spark, tmp_path, fetched, monkeypatch):
+    def failing(*_, **__):
+        raise RuntimeError("disk full")
+
+    monkeypatch.setattr(sinks, "write_documents", failing)
+    job = Extraction(spark, str(tmp_path / "out"))
+    with pytest.raises(RuntimeError, match="disk full"):
+        job.run(str(fetched), CATEGORIES)
+    assert job.manifest().count() == 0 and job.set_aside().count() == 0
+
+
+def test_strict_extraction_drops_files_and_nulls_may_be_literal(spark, tmp_path, fetched):
+    job = Extraction(spark, str(tmp_path / "out"))
+    assert numbers(job.run(str(fetched), CATEGORIES, ["qa_site", "web"], strict=True, nulls="literal")) == [1, 2, 3]
+    assert [(r.path, r.reason) for r in job.set_aside().collect()] == [("qa/site/1.jsonl.gz", "invalid records")]
+    rows = [(r.source_no, r.text) for r in job.docs().orderBy("source_no", "doc_ord").collect()]
+    assert rows == [(1, "問：q2\n答：a\n2\n\n"), (2, "w0\n"), (2, "None\n"), (3, "w1\n"), (3, "None\n")]
+
+
+def test_the_scan_is_bounded_by_paths_and_time_and_names_no_file(spark, tmp_path, fetched, monkeypatch):
+    import os
+
+    from pyspark.sql import SparkSession
+
+    job = Extraction(spark, str(tmp_path / "out"))
+    job.run(str(fetched), CATEGORIES, ["qa_site"])
+    for name in "12":
+        cut_short(fetched / f"qa/site/{name}.jsonl.gz")
+        os.utime(fetched / f"qa/site/{name}.jsonl.gz", (1e9, 1e9))
+    gz(fetched / "qa/site/0.jsonl.gz", [record(q="q0", a="a0")])
+    made = []
+    create = SparkSession.createDataFrame
+    monkeypatch.setattr(SparkSession, "createDataFrame", lambda self, data, *a, **k: made.extend(data) or create(self, data, *a, **k))
+    assert numbers(job.run(str(fetched), CATEGORIES, ["qa_site"])) == [2]
+    assert made == [] and job.set_aside().count() == 0  # the files of the first run are not opened, nor are paths sent out
 
 
 def test_books_keep_their_order_and_a_blank_line_between(spark, tmp_path):
@@ -256,6 +329,6 @@ def test_books_keep_their_order_and_a_blank_line_between(spark, tmp_path):
         (root / f"{name}.txt").write_text(text)
     (root / "3.txt").write_bytes(b"\xff\xfe\n")
     job = Extraction(spark, str(tmp_path / "out"))
-    assert job.run(str(root), [cat.Category("books", "", ".txt")]) == [1]
+    assert numbers(job.run(str(root), [cat.Category("books", "", ".txt")])) == [1]
     rows = job.docs().orderBy("source_no", "doc_ord").collect()
     assert "".join(r.text for r in rows) == "a1\n\na2\n\nb1\nb2\n\n"

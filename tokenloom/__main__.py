@@ -43,6 +43,8 @@ def _arguments() -> argparse.Namespace:
     extract.add_argument("--categories", nargs="+", default=["all"])
     extract.add_argument("--start-from", type=int, default=0)
     extract.add_argument("--num-files", type=int, default=None)
+    extract.add_argument("--strict", action="store_true", help="a bad record drops its whole file")
+    extract.add_argument("--nulls", choices=["drop", "literal", "empty"], default=None, help="missing texts of web and articles")
 
     build = commands.add_parser("build", help="sources to published shards")
     build.add_argument("source", help="an extraction folder, or a folder of numbered text files with --text")
@@ -78,10 +80,15 @@ def main() -> None:
     args = _arguments()
     spark = with_defaults(SparkSession.builder.appName("tokenloom").getOrCreate())
     if args.command == "extract":
-        made = Extraction(spark, args.out).run(
-            args.folder, args.category, args.categories, args.start_from, args.num_files
-        )
-        print(f"new sources: {made}")
+        job = Extraction(spark, args.out)
+        made = job.run(args.folder, args.category, args.categories, args.start_from, args.num_files, strict=args.strict, nulls=args.nulls)
+        for row in made.groupBy("category").agg(F.count_distinct("source_no").alias("sources"), F.count("*").alias("files")).collect():
+            print(f"  {row.category}: {row.sources} new sources of {row.files} files")
+        aside = job.set_aside()
+        if n := aside.count():
+            print(f"{n} files set aside so far, see {args.out}/set_aside; first:")
+            for row in aside.limit(10).collect():
+                print(f"  {row.category}: {row.path} ({row.reason})")
     elif args.command == "build":
         docs = numbered_text(spark, args.source) if args.text else Extraction(spark, args.source).docs()
         corpus = Corpus(spark, args.root, _tokenizer(args.tokenizer), args.eos)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.names import ceil_div, int_div
 from tokenloom.operators.ordering import RunningSums, running_sums
 from tokenloom.operators.tokenizers import Tokenizer
-from tokenloom.session import row_partitions, scratch_dir, spread
+from tokenloom.session import row_partitions, scratch_dir, spread, written
 
 EOS_MODES = ("source", "document", "none")
 
@@ -19,6 +19,13 @@ TEXT_GROWTH = 4.0
 TOKEN_GROWTH = 12.0
 
 
+def text_or_tokens(docs: DataFrame, tokenizer: Tokenizer, eos: str) -> tuple[str, Column]:
+    """The column of ``docs`` that token rows are made from, and the expression that makes them (before the end of a source)."""
+    payload = "tokens" if "tokens" in docs.columns else "text"
+    tokens = F.col("tokens") if payload == "tokens" else tokenizer.encode(F.col("text"))
+    return payload, F.concat(tokens, F.array(F.lit(tokenizer.eos_id))) if eos == "document" else tokens
+
+
 def _long(value: int) -> Column:
     return F.lit(value).cast("bigint")
 
@@ -108,15 +115,57 @@ def token_rows(
     return rows, F.when(F.col("is_end"), end).otherwise(tokens)
 
 
-def global_offsets(rows: DataFrame, partitions: int | None = None) -> RunningSums:
+def thin_rows(docs: DataFrame, tokenizer: Tokenizer, eos: str = "source", sources: DataFrame | None = None) -> DataFrame:
+    """``source_no``, ``doc_ord``, ``n``, ``is_end`` of ``token_rows``: what offsets need, without texts and tokens.
+
+    Documents are read once, and what they count is written; end rows and offsets come from there.
+    """
+    if eos not in EOS_MODES:
+        raise ValueError(f"eos is one of {EOS_MODES}, not {eos!r}")
+    counted = F.col("n") if "tokens" in docs.columns else None
+    if counted is None:
+        counted = F.size(tokenizer.encode(F.col("text"))).cast("bigint") if tokenizer.count is None else tokenizer.count(F.col("text"))
+    thin = written(docs.select("source_no", "doc_ord", (counted + (1 if eos == "document" else 0)).alias("n")), "counted")
+    rows = thin.withColumn("is_end", F.lit(False))
+    if eos != "source":
+        return rows
+    return rows.unionByName(eos_rows(thin, sources).select("source_no", "doc_ord", _long(1).alias("n"), F.lit(True).alias("is_end")))
+
+
+@dataclass(frozen=True)
+class Offsets:
+    """Spans ``[g_start, g_end)`` in the one global token stream."""
+
+    sums: RunningSums
+
+    @property
+    def n_tokens(self) -> int:
+        return self.sums.totals["n"]
+
+    def total(self, name: str = "n") -> Column:
+        return self.sums.total(name)
+
+    @property
+    def rows(self) -> DataFrame:
+        return self._ended(self.sums.rows)
+
+    def rows_before(self, position: int) -> DataFrame:
+        """The rows that begin before ``position``; blocks beyond it are not read further."""
+        return self._ended(self.sums.rows_before("n", position)).where(F.col("g_start") < position)
+
+    @staticmethod
+    def _ended(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("g_end", F.col("g_start") + F.col("n"))
+
+
+def global_offsets(rows: DataFrame, partitions: int | None = None) -> Offsets:
     """Half-open span ``[g_start, g_end)`` of every row in the one global token stream."""
-    sums = running_sums(rows, {"n": "g_start"}, minor="doc_ord", majors=["source_no"], partitions=partitions)
-    return RunningSums(sums.rows.withColumn("g_end", F.col("g_start") + F.col("n")), sums.blocks)
+    return Offsets(running_sums(rows, {"n": "g_start"}, minor="doc_ord", majors=["source_no"], partitions=partitions))
 
 
 @dataclass(frozen=True)
 class SplitPlan:
-    """Total, validation cut-off and shard numbering as columns over one scalar subquery.
+    """Total, validation cut-off and shard numbering as columns.
 
     Validation is the head of the stream, ``[0, cut)``; training is the rest.
     Shards are numbered through: validation first, then training.

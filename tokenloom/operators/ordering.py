@@ -1,14 +1,13 @@
 """Running sums over a global order, without a task that sees all rows.
 
-Rows are ordered by ``(majors..., minor)``.  ``minor`` is cut into blocks of 1,024 values,
-blocks into groups of 262,144, and those into larger groups of as many until one group spans every BIGINT.
-The sum before a row is
+Rows are ordered by ``(majors..., minor)``.  ``minor`` is cut into blocks of 1,024 values.  The sum before a row is
 
-    (sums before its groups, each within the next larger one) + (sum before its block in the group) + (sum before it in the block)
+    (sum before its block) + (sum before it in the block)
 
-Only the last term touches the full rows, in windows of at most 1,024 of them, however many rows
-one source holds.  The others run over one thin row per block and per group, in windows of at most 262,144
-of them, whether order values are dense or hash-like; the top level has one row per value of the majors.
+The blocks' own sums, one thin row for each, are written once; the full rows are read once for them and once for the result.  Up to
+262,144 blocks are summed in one window.  More of them are cut into groups of as many, those into larger groups, until one
+group holds all, and every window stays that small, whether order values are dense or hash-like; the top level has one row
+per value of the majors.  Only the last term touches the full rows, in windows of at most 1,024 of them, however many rows one source holds.
 """
 
 from __future__ import annotations
@@ -21,9 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tokenloom.session import written
+
 BLOCK_BITS = 10
 GROUP_BITS = 18
-BIGINT_BITS = 63
 
 _BLOCK = "__block"
 _GROUP = "__group"
@@ -31,25 +31,68 @@ _GROUP = "__group"
 
 @dataclass(frozen=True)
 class RunningSums:
-    """``rows`` carries the exclusive running sums; ``blocks`` is the thin table they came from."""
+    """Exclusive running sums: ``blocks`` is the written thin table of the blocks' sums, ``base`` has the sums before each block."""
 
-    rows: DataFrame
     blocks: DataFrame
+    base: DataFrame
+    totals: Mapping[str, int]
+    _blocked: DataFrame
+    _columns: Sequence[str]
+    _values: Mapping[str, str]
+    _outer: Sequence[str]
+    _minor: str
+    _partitions: int | None
+
+    @property
+    def rows(self) -> DataFrame:
+        """All rows with their sums."""
+        return self._summed(self._blocked, self._partitions)
+
+    def rows_before(self, value: str, limit: int) -> DataFrame:
+        """The rows of the blocks that begin before ``limit`` in the sum of ``value``; the others are left out where they are read.
+
+        Only without ``restart``: the blocks are then those up to one place in the order.
+        """
+        first = self.base.where(F.col(f"__base_{value}") < limit)
+        order = [*self._outer, _BLOCK]
+        last = first.agg(F.max(F.struct(*order)).alias("last")).first().last
+        if last is None:
+            return self._summed(self._blocked.where(F.lit(False)), None)
+        within, same = F.lit(False), F.lit(True)
+        for name in order:
+            within = within | (same & (F.col(name) < F.lit(last[name])))
+            same = same & (F.col(name) == F.lit(last[name]))
+        # The leading key alone as well: a plain bound reaches the scan.
+        return self._summed(self._blocked.where(F.col(order[0]) <= F.lit(last[order[0]])).where(within | same), None)
+
+    def _summed(self, blocked: DataFrame, partitions: int | None) -> DataFrame:
+        in_block = [*self._outer, _BLOCK]
+        before_row = Window.partitionBy(*in_block).orderBy(self._minor)
+        # the window wants this partitioning anyway; only the number is new
+        full = blocked if partitions is None else blocked.repartition(partitions, *in_block)
+        return (
+            full.select("*", *[_before(v, before_row).alias(f"__r_{v}") for v in self._values])
+            .join(self.base, in_block)
+            .select(
+                *self._columns,
+                *[(F.col(f"__r_{v}") + F.col(f"__base_{v}")).alias(out) for v, out in self._values.items()],
+            )
+        )
 
     def total(self, name: str) -> Column:
-        """The sum over all rows as a scalar subquery (it reuses the shuffle behind ``blocks``)."""
-        return self.blocks.agg(F.coalesce(F.sum(name), F.lit(0).cast("bigint"))).scalar()
+        """The sum over all rows, known since the blocks were written."""
+        return F.lit(self.totals[name]).cast("bigint")
 
     def totals_by(self, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
         return self.blocks.groupBy(*keys).agg(*[F.sum(n).alias(f"total_{n}") for n in names])
 
 
-def _present(df: DataFrame, name: str) -> Column:
-    """The key itself, an error where it is NULL: such a row would have no place and be lost.
+def _before(value: str, window) -> Column:
+    return F.coalesce(F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
 
-    It also makes the key non-nullable, so that no inferred filter tells apart the two uses of the
-    thin table and its shuffle is shared.
-    """
+
+def _present(df: DataFrame, name: str) -> Column:
+    """The key itself, an error where it is NULL: such a row would have no place and be lost."""
     kind = df.schema[name].dataType
     fallback = F.lit("" if isinstance(kind, T.StringType) else -1).cast(kind)
     return F.coalesce(F.col(name), F.raise_error(F.lit(f"order key {name} is NULL")).cast(kind), fallback)
@@ -69,48 +112,36 @@ def running_sums(
 
     ``minor`` is a non-negative BIGINT, unique within ``(restart, majors)``; sums start again for
     every value of ``restart``.  ``partitions`` sets how many the full rows are shuffled into, where
-    the session's number is not to decide.
+    the session's number is not to decide.  Windows over thin rows hold 2^``group_bits`` of them.
     """
-    zero = F.lit(0).cast("bigint")
     outer = [*restart, *majors]
-    in_block = [*outer, _BLOCK]
-    shifts = [block_bits, block_bits + group_bits]
-    while shifts[-1] < BIGINT_BITS:
-        shifts.append(min(shifts[-1] + GROUP_BITS, BIGINT_BITS))
-    names = [_BLOCK, *[f"{_GROUP}{i}" for i in range(1, len(shifts))]]
     keyed = df.withColumns({k: _present(df, k) for k in [*outer, minor]})
     blocked = keyed.withColumn(_BLOCK, F.shiftright(F.col(minor), block_bits))
-
-    blocks = blocked.groupBy(*in_block).agg(*[F.sum(v).cast("bigint").alias(v) for v in values])
-    levels = [blocks]  # each with the key of the level above
-    for i in range(1, len(names)):
-        levels[-1] = levels[-1].withColumn(names[i], F.shiftright(F.col(names[i - 1]), shifts[i] - shifts[i - 1]))
-        levels.append(levels[-1].groupBy(*outer, names[i]).agg(*[F.sum(v).alias(v) for v in values]))
-
-    def before(value: str, window) -> Column:
-        return F.coalesce(F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, -1)), zero)
-
-    top = Window.partitionBy(*restart).orderBy(*majors, names[-1])
-    base = levels[-1].select(*outer, names[-1], *[before(v, top).alias(f"__base_{v}") for v in values])
+    sums = blocked.groupBy(*outer, _BLOCK).agg(*[F.sum(v).cast("bigint").alias(v) for v in values])
+    blocks = written(sums, "blocks")
+    facts = blocks.agg(
+        F.count("*").alias("__n"), F.coalesce(F.max(_BLOCK), F.lit(0)).alias("__top"), *[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in values]
+    ).first()
+
+    levels, names = [blocks], [_BLOCK]  # each level with the key of the one above
+    top = facts["__top"]
+    while facts["__n"] > 1 << group_bits and top > 0:
+        names.append(f"{_GROUP}{len(names)}")
+        top >>= group_bits
+        levels[-1] = levels[-1].withColumn(names[-1], F.shiftright(F.col(names[-2]), group_bits))
+        levels.append(levels[-1].groupBy(*outer, names[-1]).agg(*[F.sum(v).alias(v) for v in values]))
+
+    highest = Window.partitionBy(*restart).orderBy(*majors, names[-1])
+    base = levels[-1].select(*outer, names[-1], *[_before(v, highest).alias(f"__base_{v}") for v in values])
     for i in range(len(names) - 2, -1, -1):
         above = [*outer, names[i + 1]]
         window = Window.partitionBy(*above).orderBy(names[i])
-        inner = levels[i].select(*above, names[i], *[before(v, window).alias(f"__in_{v}") for v in values])
+        inner = levels[i].select(*above, names[i], *[_before(v, window).alias(f"__in_{v}") for v in values])
         base = inner.join(base, above).select(
             *outer, names[i], *[(F.col(f"__in_{v}") + F.col(f"__base_{v}")).alias(f"__base_{v}") for v in values]
         )
-    before_row = Window.partitionBy(*in_block).orderBy(minor)
-    # the window wants this partitioning anyway; only the number is new
-    full = blocked if partitions is None else blocked.repartition(partitions, *in_block)
-    rows = (
-        full.select("*", *[before(v, before_row).alias(f"__r_{v}") for v in values])
-        .join(base, in_block)
-        .select(
-            *df.columns,
-            *[(F.col(f"__r_{v}") + F.col(f"__base_{v}")).alias(out) for v, out in values.items()],
-        )
-    )
-    return RunningSums(rows, blocks)
+    totals = {v: int(facts[v]) for v in values}
+    return RunningSums(blocks, base, totals, blocked, df.columns, dict(values), outer, minor, partitions)
 
 
 def ordinals(df: DataFrame, minor: str, out: str, majors: Sequence[str] = (), restart: Sequence[str] = ()) -> DataFrame:

@@ -117,7 +117,7 @@ def _(spark, sf_dir):
     FROM placed JOIN spans ON greatest(g_end - n, lo) < least(g_end, lo + {BT}) GROUP BY ALL""",
 )
 def _(spark, sf_dir):
-    rows = lay.token_rows(docs(spark, sf_dir), tk.codepoint())[0].select("source_no", "doc_ord", "n")
+    rows = lay.thin_rows(docs(spark, sf_dir), tk.codepoint()).select("source_no", "doc_ord", "n")
     sums = lay.global_offsets(rows)
     plan = lay.SplitPlan.over(sums.total("n"), RATIO, SHARD)
     return bt.step_lineage(sums.rows, plan, SHAPE, STEP_BATCHES)

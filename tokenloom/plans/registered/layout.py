@@ -42,7 +42,7 @@ def _rows(spark, sf_dir, eos="source"):
 
 def _spans(spark, sf_dir):
     """Thin spans: offsets need no tokens and no text."""
-    return lay.global_offsets(_rows(spark, sf_dir).select("source_no", "doc_ord", "n", "is_end"))
+    return lay.global_offsets(lay.thin_rows(docs(spark, sf_dir), CODEPOINT))
 
 
 def _encoded(spark, sf_dir, tokenizer):
@@ -116,7 +116,7 @@ def _(spark, sf_dir):
     CAST(sum(n) OVER (ORDER BY source_no, doc_ord ROWS UNBOUNDED PRECEDING) - n AS BIGINT) AS g_start FROM r""",
 )
 def _(spark, sf_dir):
-    rows = _rows(spark, sf_dir, eos="document").select("source_no", "doc_ord", "n")
+    rows = lay.thin_rows(docs(spark, sf_dir), CODEPOINT, eos="document").select("source_no", "doc_ord", "n")
     return lay.global_offsets(rows).rows.select("source_no", "doc_ord", "n", "g_start")
 
 

@@ -80,6 +80,13 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows of ``df``, written once to the scratch folder and read from there."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table_at(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The Parquet table at ``path``, empty where nothing has been written yet."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

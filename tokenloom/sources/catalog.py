@@ -16,7 +16,7 @@ from tokenloom.session import shared_root
 
 
 def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """``(path, name, n_bytes)`` of every file below ``path``; contents are never read."""
+    """``(path, name, n_bytes, changed)`` of every file below ``path``; contents are never read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
@@ -24,6 +24,7 @@ def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_name").alias("name"),
         F.col("_metadata.file_size").cast("bigint").alias("n_bytes"),
+        F.col("_metadata.file_modification_time").alias("changed"),
     )
 
 

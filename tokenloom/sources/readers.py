@@ -8,9 +8,11 @@ repeats.  Parquet carries its own row index.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenloom import schemas
 from tokenloom.functions import text as tx
@@ -19,13 +21,53 @@ from tokenloom.session import join_thin, shared_root
 #: Up to this many files the file order is broadcast to the scan, past it it is joined.
 MAX_BROADCAST_FILES = 200_000
 
-#: A whole book is one row; anything larger is read by lines.
-MAX_BOOK_BYTES = 256 << 20
-
-#: Rows of one file get an order below this; the file's own order goes above.  Both are checked.
+#: Rows of one file get an order below this, fewer where a source has very many files; the file's own order goes above.  Both are checked.
 FILE_BITS = 40
 
 
+@dataclass(frozen=True)
+class Files:
+    """Files below a folder, found by the scan itself: however many there are, no list of them passes through the driver.
+
+    ``first`` and ``last`` bound the paths, as ``_metadata.file_path`` writes them, and ``since`` (microseconds) the time of change; ``excluded`` names a few that
+    are passed over.  Spark applies all of them to its listing, so files outside are never opened.
+    """
+
+    folder: str
+    name: str = "*"
+    first: str | None = None
+    last: str | None = None
+    since: int | None = None
+    excluded: tuple[str, ...] = ()
+
+    def without(self, path: str) -> Files:
+        return replace(self, excluded=(*self.excluded, path))
+
+    def load(self, spark: SparkSession, kind: str, schema: T.StructType | None = None) -> DataFrame:
+        reader = spark.read.format(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", self.name)
+        rows = (reader if schema is None else reader.schema(schema)).load(self.folder)
+        path, changed = F.col("_metadata.file_path"), F.col("_metadata.file_modification_time")
+        bounds = [
+            None if self.first is None else path >= F.lit(self.first),
+            None if self.last is None else path <= F.lit(self.last),
+            None if self.since is None else changed >= F.timestamp_micros(F.lit(self.since)),
+            ~path.isin(*self.excluded) if self.excluded else None,
+        ]
+        for bound in bounds:
+            rows = rows if bound is None else rows.where(bound)
+        return rows
+
+
+Paths = str | Sequence[str] | Files
+
+
+def _load(spark: SparkSession, paths: Paths, kind: str, schema: T.StructType | None = None) -> DataFrame:
+    if isinstance(paths, Files):
+        return paths.load(spark, kind, schema)
+    reader = spark.read.format(kind)
+    return (reader if schema is None else reader.schema(schema)).load([paths] if isinstance(paths, str) else list(paths))
+
+
 def _line_order() -> Column:
     in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return 2 * F.col("_metadata.file_block_start") + in_task
@@ -35,18 +77,18 @@ def _path() -> Column:
     return F.col("_metadata.file_path").alias("path")
 
 
-def text_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def text_lines(spark: SparkSession, paths: Paths) -> DataFrame:
     """Lines of UTF-8 text, split at LF, CR and CR LF; compression by file extension."""
-    return spark.read.text(paths).select(_path(), _line_order().alias("row_in_file"), F.col("value").alias("line"))
+    return _load(spark, paths, "text").select(_path(), _line_order().alias("row_in_file"), F.col("value").alias("line"))
 
 
-def documents_by_line(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def documents_by_line(spark: SparkSession, paths: Paths) -> DataFrame:
     """Every line with its newline, so that concatenation gives the file back."""
     lines = text_lines(spark, paths)
     return lines.select("path", "row_in_file", F.concat("line", F.lit(tx.LINE_SEPARATOR)).alias("text"))
 
 
-def qa_records(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def qa_records(spark: SparkSession, paths: Paths) -> tuple[DataFrame, DataFrame]:
     """Stripped question/answer pairs of JSON lines, and the lines that did not parse."""
     return checked_records(text_lines(spark, paths))
 
@@ -74,7 +116,7 @@ def qa_documents(records: DataFrame) -> DataFrame:
     )
 
 
-def strict_qa_records(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def strict_qa_records(spark: SparkSession, paths: Paths) -> tuple[DataFrame, DataFrame]:
     """All-or-nothing per file: one bad line, or a field that is present but no string, drops the file.
 
     Returns records of the good files and the dropped paths.
@@ -111,17 +153,17 @@ def strict_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, dropped
 
 
-def forum_blocks(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def forum_blocks(spark: SparkSession, paths: Paths) -> DataFrame:
     """Text blocks; both conditions are pushed to the Parquet scan."""
-    raw = spark.read.schema(schemas.FORUM_BLOCK).parquet(*_many(paths))
+    raw = _load(spark, paths, "parquet", schemas.FORUM_BLOCK)
     return raw.where(tx.is_forum_text(F.col("文本"), F.col("块类型"))).select(
         _path(), F.col("_metadata.row_index").alias("row_in_file"), tx.unicode_strip(F.col("文本")).alias("text")
     )
 
 
-def text_column(spark: SparkSession, paths: str | Sequence[str], nulls: str = "drop") -> DataFrame:
+def text_column(spark: SparkSession, paths: Paths, nulls: str = "drop") -> DataFrame:
     """The ``text`` column of Parquet files; NULL is dropped, or written as a word, or as nothing."""
-    raw = spark.read.schema(schemas.TEXT_ONLY).parquet(*_many(paths)).select(
+    raw = _load(spark, paths, "parquet", schemas.TEXT_ONLY).select(
         _path(), F.col("_metadata.row_index").alias("row_in_file"), "text"
     )
     return treat_nulls(raw, nulls)
@@ -137,15 +179,18 @@ def treat_nulls(df: DataFrame, nulls: str) -> DataFrame:
     raise ValueError(f"nulls is drop, literal or empty, not {nulls!r}")
 
 
-def books(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def books(spark: SparkSession, paths: Paths) -> DataFrame:
     """Lines of the valid books with their newlines, and a blank line at the end of each book."""
-    lines, _ = book_lines(spark, paths)
+    return _closed(book_lines(spark, paths)[0])
+
+
+def _closed(lines: DataFrame) -> DataFrame:
     ends = lines.groupBy("path").agg((F.max("row_in_file") + 1).alias("row_in_file")).withColumn("text", F.lit(tx.LINE_SEPARATOR))
     return lines.select("path", "row_in_file", "text").unionByName(ends.select("path", "row_in_file", "text"))
 
 
-def news_articles(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    raw = spark.read.schema(schemas.NEWS_ARTICLE).parquet(*_many(paths))
+def news_articles(spark: SparkSession, paths: Paths) -> DataFrame:
+    raw = _load(spark, paths, "parquet", schemas.NEWS_ARTICLE)
     return raw.select(
         _path(),
         F.col("_metadata.row_index").alias("row_in_file"),
@@ -153,7 +198,7 @@ def news_articles(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     )
 
 
-def book_lines(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def book_lines(spark: SparkSession, paths: Paths) -> tuple[DataFrame, DataFrame]:
     """Lines of books, and the paths of books that are no valid UTF-8.
 
     A bad book is left out whole, the others are not affected.
@@ -163,51 +208,32 @@ def book_lines(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFra
     return join_thin(lines, bad, ["path"], "left_anti", F.col("row_in_file"), MAX_BROADCAST_FILES), bad
 
 
-def whole_books(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Books of ordinary size as one row ``(path, name, text)`` each, and the paths that are no valid UTF-8.
-
-    A file over ``MAX_BOOK_BYTES`` fails the job by name; read that one with ``book_lines``.
-    """
-    raw = spark.read.format("binaryFile").load(_many(paths)).select(
-        _path(),
-        F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("name"),
-        F.when(
-            F.col("length") > MAX_BOOK_BYTES,
-            F.raise_error(F.concat(F.lit("too large for one row: "), F.col("path"))),
-        ).otherwise(F.try_validate_utf8(F.col("content").cast("string"))).alias("text"),
-    )
-    good = raw.where(F.col("text").isNotNull())
-    return good, raw.where(F.col("text").isNull()).select("path")
-
-
 def _noted(paths: DataFrame) -> DataFrame:
     """Keep a short list of paths, so that neither its size check nor its use reads the files again."""
     shared_root(paths.sparkSession)
     return paths.checkpoint()
 
 
-def _many(paths: str | Sequence[str]) -> Sequence[str]:
-    return [paths] if isinstance(paths, str) else paths
-
-
 def place(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Join ``files(path, source_no, file_ord)`` and fold file and row order into ``doc_ord``.
 
-    A source of more than 2^23 files, or a file past 2^39 bytes of lines, does not fit and is an error; cut it into several.
+    Rows of other files are left out.  A file's rows have 40 bits, or what the number of files of a source leaves: a source of 2^30 files
+    has 33 for each, which are lines of 4 GB.  Where files and rows need more than 63 bits together, that is an error.
     """
     order = files.select("path", "source_no", "file_ord")
-    fits = (F.col("row_in_file") < F.lit(1 << FILE_BITS)) & (F.col("file_ord") < F.lit(1 << (63 - FILE_BITS)))
-    folded = F.shiftleft(F.col("file_ord").cast("bigint"), FILE_BITS) + F.col("row_in_file")
+    most = files.agg(F.coalesce(F.max("file_ord"), F.lit(0)).cast("bigint").alias("most")).first().most
+    bits = min(FILE_BITS, 63 - int(most).bit_length())
+    folded = F.shiftleft(F.col("file_ord").cast("bigint"), bits) + F.col("row_in_file")
     too_many = F.raise_error(F.concat(F.lit("no order left for "), F.col("path"))).cast("bigint")
     return join_thin(rows, order, ["path"], "inner", F.col("row_in_file"), MAX_BROADCAST_FILES).select(
         F.col("source_no").cast("int").alias("source_no"),
-        F.when(fits, folded).otherwise(too_many).alias("doc_ord"),
+        F.when(F.col("row_in_file") < F.lit(1 << bits), folded).otherwise(too_many).alias("doc_ord"),
         "text",
     )
 
 
 #: Category kind → reader of its documents, before cleaning.
-EXTRACTORS: Mapping[str, Callable[[SparkSession, Sequence[str]], DataFrame]] = {
+EXTRACTORS: Mapping[str, Callable[[SparkSession, Paths], DataFrame]] = {
     "qa_site": lambda spark, paths: qa_documents(qa_records(spark, paths)[0]),
     "qa_assistant": lambda spark, paths: qa_documents(qa_records(spark, paths)[0]),
     "forum": forum_blocks,
@@ -217,9 +243,32 @@ EXTRACTORS: Mapping[str, Callable[[SparkSession, Sequence[str]], DataFrame]] = {
     "books": books,
 }
 
+#: Readers that can drop a file for a bad record, and those that let the caller say what becomes of a missing text.
+STRICT = frozenset({"qa_site", "qa_assistant"})
+WITH_NULLS = frozenset({"web", "articles"})
+
 
-def extract(spark: SparkSession, kind: str, paths: Sequence[str]) -> DataFrame:
+def extract(spark: SparkSession, kind: str, paths: Paths) -> DataFrame:
     """Documents of one category by its registered reader."""
     if kind not in EXTRACTORS:
         raise ValueError(f"no reader for {kind!r}; there are {sorted(EXTRACTORS)}")
     return EXTRACTORS[kind](spark, paths)
+
+
+def extract_checked(
+    spark: SparkSession, kind: str, paths: Paths, strict: bool = False, nulls: str | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Documents of one category, and the paths of files that its reader drops whole, where it does such a thing.
+
+    With ``strict`` one bad record drops a file of ``STRICT`` categories; ``nulls`` says what becomes of a missing text
+    in ``WITH_NULLS`` categories.
+    """
+    if strict and kind in STRICT:
+        kept, dropped = strict_qa_records(spark, paths)
+        return qa_documents(kept), dropped
+    if nulls is not None and kind in WITH_NULLS:
+        return text_column(spark, paths, nulls), None
+    if kind == "books":
+        lines, dropped = book_lines(spark, paths)
+        return _closed(lines), dropped
+    return extract(spark, kind, paths), None
