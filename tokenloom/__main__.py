@@ -12,7 +12,7 @@ from tokenloom.operators import runlog, tokenizers
 from tokenloom.operators.decoding import decode
 from tokenloom.operators.reports import shard_counts
 from tokenloom.operators.shards import SHARD_SIZE, VAL_RATIO
-from tokenloom.plans.corpus import Corpus
+from tokenloom.plans.corpus import GRACE, Corpus
 from tokenloom.plans.extraction import Extraction
 from tokenloom.session import with_defaults
 from tokenloom.sources import readers
@@ -55,6 +55,7 @@ def _arguments() -> argparse.Namespace:
     build.add_argument("--eos", choices=["source", "document", "none"], default="source")
     build.add_argument("--shard-size", type=int, default=SHARD_SIZE)
     build.add_argument("--val-ratio", type=float, default=VAL_RATIO)
+    build.add_argument("--grace", type=float, default=GRACE, help="seconds for which replaced shards and cache runs stay")
 
     batches = commands.add_parser("batches", help="write the batches of a split")
     batches.add_argument("root")
@@ -94,7 +95,8 @@ def main() -> None:
         corpus = Corpus(spark, args.root, _tokenizer(args.tokenizer), args.eos)
         corpus.add(docs, force=args.force, detect=args.detect)
         version = corpus.publish(args.shard_size, args.val_ratio)
-        corpus.expire()
+        corpus.expire(grace=args.grace)
+        corpus.vacuum(grace=args.grace)
         print(f"published {version}")
         for row in shard_counts(corpus.current()).collect():
             print(f"  {row.split}: {row.shards} shards, {row.n_tokens:,} tokens")

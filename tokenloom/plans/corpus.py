@@ -3,45 +3,43 @@
 Layout below one root folder::
 
     cache/run=<n>/      tokenized documents of one ingest run, with their place in the source
-    manifest/           one row per source and run; the newest run of a source counts
+    manifest/claim=<n>/ one row per source and run; the newest run of a source counts
     shards/version=<n>/ shards of one build, partitioned by split
-    published/          append-only log of versions; the newest is current
+    published/claim=<n>/ one row per version; the newest is current
+
+    claims/             one empty file per run and version number in use
 
 Data is written before the row that makes it visible, so a job that dies half-way, or loses
-executors, leaves readers where they were.  A source keeps its place-in-source for good, so
-adding sources moves only their bases: a rebuild reads the cache once and shuffles it once.
+executors, leaves readers where they were.  Numbers are claimed by creating a file that must not exist, so writers at the same time never share
+one, nor a folder to write in.  Documents are tokenized where they are read and written without a shuffle; a rebuild counts the cache's thin columns and shuffles its tokens once.
+What a newer run or version replaces is deleted by ``vacuum`` and ``expire`` after a grace period, so that scans begun before may end.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tokenloom import schemas
-from tokenloom.operators.layout import TOKEN_GROWTH, SplitPlan, stored_tokens, token_rows
-from tokenloom.operators.ordering import running_sums
-from tokenloom.operators.reports import source_bases
-from tokenloom.operators.shards import (
-    SHARD_SIZE,
-    VAL_RATIO,
-    assemble,
-    require_both_splits,
-    shard_overlaps,
-    write_shards,
-)
+from tokenloom.operators.layout import Offsets, global_offsets, stored_tokens, token_rows
+from tokenloom.operators.shards import SHARD_SIZE, VAL_RATIO, build_shards, require_both_splits, write_shards
 from tokenloom.operators.tokenizers import Tokenizer
-from tokenloom.session import join_thin, row_partitions, shared_root, partitions_for, table_at
+from tokenloom.session import claim_number, delete_older, join_thin, partitions_for, shared_root, spread, table_at
 
 #: Up to this many sources the manifest is broadcast to the cache scan, past it it is joined.
 MAX_BROADCAST_SOURCES = 500_000
 
+#: Seconds for which replaced data stays, for the sake of scans under way.
+GRACE = 24 * 3600.0
+
 _CACHE = T.StructType(
     [
         *schemas.TOKEN_CACHE.fields,
-        T.StructField("s_start", T.LongType()),
         T.StructField("digest", T.LongType()),
         T.StructField("bytes", T.LongType()),
         T.StructField("run", T.StringType()),
@@ -62,6 +60,7 @@ _PUBLISHED = T.StructType(
         T.StructField("version", T.StringType()),
         T.StructField("seq", T.LongType()),
         T.StructField("total_tokens", T.LongType()),
+        T.StructField("published_at", T.DoubleType()),
     ]
 )
 
@@ -94,7 +93,7 @@ class Corpus:
     # -- cache ---------------------------------------------------------------------------
 
     def _table(self, name: str, schema: T.StructType) -> DataFrame:
-        return table_at(self.spark, f"{self.root}/{name}", schema)
+        return table_at(self.spark, f"{self.root}/{name}", schema, nested=name != "cache")
 
     def manifest(self) -> DataFrame:
         """The valid row of every source."""
@@ -131,24 +130,15 @@ class Corpus:
         if fresh.isEmpty() and (sources is None or sources.isEmpty()):
             return None
         # lengths a tokenizer cannot count are known only after tokenizing: do that once
-        rows, tokens = token_rows(stored_tokens(fresh, self.tokenizer), self.tokenizer, self.eos, sources)
-        placed = running_sums(
-            rows,
-            {"n": "s_start"},
-            minor="doc_ord",
-            restart=["source_no"],
-            partitions=row_partitions(docs, TOKEN_GROWTH),
-        ).rows
+        rows, tokens = token_rows(spread(stored_tokens(fresh, self.tokenizer)), self.tokenizer, self.eos, sources)
         run = uuid.uuid4().hex
-        placed.select("source_no", "doc_ord", "n", tokens.alias("tokens"), "s_start", "digest", "bytes").write.parquet(
-            f"{self.root}/cache/run={run}"
-        )
+        rows.select("source_no", "doc_ord", "n", tokens.alias("tokens"), "digest", "bytes").write.parquet(f"{self.root}/cache/run={run}")
         self._register(run)
         return run
 
     def _register(self, run: str) -> None:
         """One manifest row per source of the run, from the thin columns of what was written."""
-        seq = self._table("manifest", _MANIFEST).agg(F.coalesce(F.max("run_seq") + 1, F.lit(0).cast("bigint"))).scalar()
+        seq = claim_number(self.spark, f"{self.root}/claims/runs", lambda: self._highest("manifest", _MANIFEST, "run_seq"))
         counts = (
             self.spark.read.schema(_CACHE)
             .parquet(f"{self.root}/cache/run={run}")
@@ -156,23 +146,22 @@ class Corpus:
             .agg(F.count("*").alias("docs"), F.sum("n").cast("bigint").alias("n_tokens"), _signature())
         )
         rows = counts.select(
-            "source_no", "docs", "n_tokens", "signature", F.lit(run).alias("run"), seq.cast("bigint").alias("run_seq")
+            "source_no", "docs", "n_tokens", "signature", F.lit(run).alias("run"), F.lit(seq).cast("bigint").alias("run_seq")
         )
-        rows.write.mode("append").parquet(f"{self.root}/manifest")
+        rows.write.parquet(f"{self.root}/manifest/claim={seq}")
 
-    def spans(self) -> DataFrame:
-        """The cache with global spans: source base plus place in source.
+    def _highest(self, table: str, schema: T.StructType, number: str) -> int:
+        return self._table(table, schema).agg(F.coalesce(F.max(number), F.lit(-1)).alias("n")).first().n
 
-        The manifest both picks the valid run and carries the base, so this is one join on a thin table
-        and no window over tokens.
-        """
-        bases = source_bases(self.manifest()).select("source_no", "run", "source_start")
-        cache = self._table("cache", _CACHE)
-        start = F.col("source_start") + F.col("s_start")
-        based = join_thin(cache, bases, ["source_no", "run"], "inner", F.col("doc_ord"), MAX_BROADCAST_SOURCES)
-        return based.select(
-            "source_no", "doc_ord", "n", "tokens", start.alias("g_start"), (start + F.col("n")).alias("g_end")
-        )
+    def cache(self) -> DataFrame:
+        """The valid documents of every source: ``source_no``, ``doc_ord``, ``n``, ``tokens``; an end-of-text id is a row of its own."""
+        valid = self.manifest().select("source_no", "run")
+        rows = join_thin(self._table("cache", _CACHE), valid, ["source_no", "run"], "left_semi", F.col("doc_ord"), MAX_BROADCAST_SOURCES)
+        return rows.select("source_no", "doc_ord", "n", "tokens")
+
+    def offsets(self) -> Offsets:
+        """Global spans of the documents, from the cache's thin columns."""
+        return global_offsets(self.cache().select("source_no", "doc_ord", "n"))
 
     # -- shards --------------------------------------------------------------------------
 
@@ -180,17 +169,8 @@ class Corpus:
         """Shards of the whole corpus, not yet written."""
         total = self.manifest().agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("bigint").alias("n")).first().n
         require_both_splits(total, val_ratio)
-        plan = SplitPlan.over(F.lit(total).cast("bigint"), val_ratio, shard_size)
-        pieces = shard_overlaps(self.spans(), plan).select(
-            "split",
-            "shard",
-            "shard_tokens",
-            "p_start",
-            F.slice(
-                F.col("tokens"), (F.col("skip") + 1).cast("int"), (F.col("p_end") - F.col("p_start")).cast("int")
-            ).alias("piece"),
-        )
-        return assemble(pieces, partitions_for(self.spark, total * 4))
+        # the cache holds the ends already
+        return build_shards(self.cache(), self.tokenizer, shard_size, val_ratio, eos="none", partitions=partitions_for(self.spark, total * 4))
 
     def publish(self, shard_size: int = SHARD_SIZE, val_ratio: float = VAL_RATIO) -> str:
         """Build shards beside the current ones, then make them current by one appended row."""
@@ -198,11 +178,10 @@ class Corpus:
         built = self.shards(shard_size, val_ratio)
         total = self.manifest().agg(F.sum("n_tokens").cast("bigint")).scalar()
         write_shards(built, f"{self.root}/shards/version={version}")
-        log = self._table("published", _PUBLISHED)
-        seq = log.agg(F.coalesce(F.max("seq") + 1, F.lit(0).cast("bigint"))).scalar()
+        seq = claim_number(self.spark, f"{self.root}/claims/versions", lambda: self._highest("published", _PUBLISHED, "seq"))
         self.spark.range(1).select(
-            F.lit(version).alias("version"), seq.cast("bigint").alias("seq"), total.alias("total_tokens")
-        ).write.mode("append").parquet(f"{self.root}/published")
+            F.lit(version).alias("version"), F.lit(seq).cast("bigint").alias("seq"), total.alias("total_tokens"), F.lit(time.time()).alias("published_at")
+        ).write.parquet(f"{self.root}/published/claim={seq}")
         return version
 
     def current_version(self) -> str | None:
@@ -217,18 +196,27 @@ class Corpus:
             raise FileNotFoundError(f"nothing is published under {self.root}")
         return read_shards(self.spark, f"{self.root}/shards/version={version}", split)
 
-    def expire(self, keep: int = 1) -> int:
-        """Delete all but the newest ``keep`` published versions; returns how many went."""
+    def expire(self, keep: int = 1, grace: float = GRACE) -> int:
+        """Delete all but the newest ``keep`` published versions; returns how many went.
+
+        A version stays until ``grace`` seconds after the one that replaced it was published: whoever began to read it has that long to finish.
+        """
         if keep < 1:
             raise ValueError("the current version is never deleted")
         log = self._table("published", _PUBLISHED)
-        kept = log.orderBy(F.desc("seq")).limit(keep)
-        gone = 0
-        for row in log.join(kept, "version", "left_anti").select("version").toLocalIterator():
-            hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/shards/version={row.version}")
-            fs = hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-            gone += bool(fs.delete(hadoop_path, True))
-        return gone
+        replaced = log.select("version", "seq", F.lead("published_at").over(Window.orderBy("seq")).alias("replaced_at"))  # one row per version
+        due = F.coalesce("replaced_at", F.lit(0.0)) <= F.lit(time.time() - grace)
+        old = replaced.join(log.orderBy(F.desc("seq")).limit(keep), "version", "left_anti").where(due)
+        return sum(delete_older(self.spark, f"{self.root}/shards/version={row.version}") for row in old.select("version").toLocalIterator())
+
+    def vacuum(self, grace: float = GRACE) -> int:
+        """Delete the cache runs from which no source is read any more and that are older than ``grace`` seconds; returns how many went.
+
+        Runs that were never registered are left alone: they may be under way.
+        """
+        runs = self._table("manifest", _MANIFEST).select("run").distinct()
+        unused = runs.join(self.manifest().select("run").distinct(), "run", "left_anti")
+        return sum(delete_older(self.spark, f"{self.root}/cache/run={row.run}", grace) for row in unused.toLocalIterator())
 
 
 def read_shards(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:

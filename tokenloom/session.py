@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,12 +89,42 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def table_at(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The Parquet table at ``path``, empty where nothing has been written yet."""
+def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path):
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def claim_number(spark: SparkSession, folder: str, highest: Callable[[], int]) -> int:
+    """A number above ``highest()`` that nobody else gets: its file under ``folder`` is created, and creation fails where it exists."""
+    number = highest() + 1
+    while True:
+        fs, path = _file_system(spark, f"{folder}/{number}")
+        fs.mkdirs(path.getParent())
+        try:
+            fs.create(path, False).close()  # one call: a check before it would leave a gap
+            return number
+        except Py4JJavaError:
+            if not fs.exists(path):
+                raise
+        number += 1
+
+
+def delete_older(spark: SparkSession, path: str, grace: float = 0.0) -> bool:
+    """Delete a folder that was last changed more than ``grace`` seconds ago; whether it went."""
+    fs, hadoop_path = _file_system(spark, path)
+    if not fs.exists(hadoop_path):
+        return False
+    if grace and fs.getFileStatus(hadoop_path).getModificationTime() / 1000 > time.time() - grace:
+        return False
+    return bool(fs.delete(hadoop_path, True))
+
+
+def table_at(spark: SparkSession, path: str, schema: T.StructType, nested: bool = False) -> DataFrame:
+    """The Parquet table at ``path``, empty where nothing has been written yet; ``nested`` looks into all folders below."""
+    fs, hadoop_path = _file_system(spark, path)
+    if not fs.exists(hadoop_path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).option("recursiveFileLookup", str(nested).lower()).parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
