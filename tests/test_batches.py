@@ -85,6 +85,20 @@ def test_head_of_a_split(spark):
         bt.head_batches(shards, SHAPE, 0)
 
 
+def test_head_of_built_shards_by_arithmetic(spark):
+    docs = spark.createDataFrame([(s, i, "abc" * 150) for s in range(1, 9) for i in range(20)], "source_no int, doc_ord bigint, text string")
+    shape = bt.BatchShape(2, 32)
+    for n in (1, 15, 16, 40, 500):
+        whole = bt.head_batches(build_shards(docs, tk.codepoint(), 1000, 0.3), shape, n)
+        holding = -(-n // shape.of_full_shard(1000))
+        built = build_shards(docs, tk.codepoint(), 1000, 0.3, val_only=True, first_shards=holding)
+        head = bt.head_batches(built, shape, n, shard_size=1000)
+        assert sorted(map(tuple, head.collect())) == sorted(map(tuple, whole.collect()))
+    assert bt.head_batches(built, bt.BatchShape(10, 100), 5, shard_size=1000).count() == 0
+    plan = bt.head_batches(built, shape, 5, shard_size=1000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 4 and plan.count("hashpartitioning(part") == 1
+
+
 def test_steps(spark):
     assert bt.BatchShape().per_step() == 128
     with pytest.raises(ValueError, match="no multiple"):

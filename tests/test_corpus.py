@@ -325,6 +325,10 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
         f"batches {tmp_path}/root {tmp_path}/batches --rows 1 --length 3",
         f"decode {tmp_path}/root {tmp_path}/text",
         f"runlog {log} {tmp_path}/steps",
+        f"schedule {tmp_path}/root {tmp_path}/all --rows 1 --length 3 --epochs 1",
+        f"save-position {tmp_path}/root 7 1 3",
+        f"schedule {tmp_path}/root {tmp_path}/rest --rows 1 --length 3 --epochs 0",
+        f"build {tmp_path}/in {tmp_path}/chunked --text --chunk-chars 3 --shard-size 8 --val-ratio 0.2 --eos document",
     ):
         monkeypatch.setattr("sys.argv", ["tokenloom", *command.split()])
         cli.main()
@@ -337,6 +341,19 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert batches == sum((len(v) - 1) // 3 for (split, _), v in expected.items() if split == "train")
     assert spark.read.parquet(str(tmp_path / "steps")).first().loss == 2.0
 
+    lengths = [len(v) for (split, _), v in sorted(expected.items()) if split == "train"]
+    whole = [(i, p * 3) for i, n in enumerate(lengths) for p in range((n - 1) // 3)]
+    order = [(r.shard, r.data_position) for r in spark.read.parquet(str(tmp_path / "all")).orderBy("global_batch").collect()]
+    assert order == whole * 2  # nothing saved: the first pass is whole as well
+    rest = [(r.shard, r.data_position) for r in spark.read.parquet(str(tmp_path / "rest")).orderBy("global_batch").collect()]
+    assert rest == [at for at in whole if at >= (1, 3)]
+
+    # chunks run over the ends of lines, blank lines among them, and are documents of their own
+    texts = {n: "".join(t + "\n" for t in text) for n, text in lines.items()}
+    chunks = [(n, i, whole[i : i + 3]) for n, whole in texts.items() for i in range(0, len(whole), 3)]
+    shards = Corpus(spark, str(tmp_path / "chunked"), tk.codepoint()).current()
+    assert as_dict(shards) == model.shards(model.stream(chunks, "document"), 8, 0.2)
+
 
 def test_chunks_can_be_what_the_tokenizer_sees(spark):
     public = pytest.importorskip("public_tokenizers")

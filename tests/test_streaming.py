@@ -53,3 +53,19 @@ def test_a_batch_run_again_replaces_itself(spark, tmp_path):
         stream = ingest.file_stream(spark, arrived, DOCS)
         ingest.land_tokens(stream, cleaned, tk.codepoint(), landing, str(tmp_path / state)).awaitTermination()
     assert spark.read.parquet(landing).count() == 4
+
+
+def test_changed_content_is_noticed_on_landed_tokens(spark, tmp_path):
+    corpus = Corpus(spark, str(tmp_path / "c"), tk.codepoint())
+    docs = {0: rows_of(0), 1: rows_of(1)}
+    for attempt in range(2):
+        arrived = str(tmp_path / f"arrived-{attempt}")
+        spark.createDataFrame(docs[0] + docs[1], DOCS).coalesce(1).write.parquet(arrived)
+        landing = str(tmp_path / f"landing-{attempt}")
+        ingest.land_tokens(ingest.file_stream(spark, arrived, DOCS), cleaned, tk.codepoint(), landing, str(tmp_path / f"state-{attempt}")).awaitTermination()
+        landed = ingest.landed(spark, landing)
+        assert corpus.add(landed, detect="content")
+        assert corpus.add(landed, detect="content") is None
+        docs[1] = [(s, o, t.replace("doc", "new")) for s, o, t in docs[1]]
+    runs = {r.source_no: r.run for r in corpus.manifest().collect()}
+    assert len(set(runs.values())) == 2  # only the changed source was read again

@@ -1,4 +1,4 @@
-"""Command line: ``python -m tokenloom extract|build|batches|runlog|decode``."""
+"""Command line: ``python -m tokenloom extract|build|batches|schedule|save-position|runlog|decode``."""
 
 from __future__ import annotations
 
@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from tokenloom.operators import batches as bt
 from tokenloom.operators import runlog, tokenizers
 from tokenloom.operators.decoding import decode
+from tokenloom.operators.layout import chunked_docs
 from tokenloom.operators.reports import shard_counts
 from tokenloom.operators.shards import SHARD_SIZE, VAL_RATIO
 from tokenloom.plans.corpus import GRACE, Corpus
+from tokenloom.plans.cursors import Cursors
 from tokenloom.plans.extraction import Extraction
 from tokenloom.session import with_defaults
 from tokenloom.sources import readers
@@ -50,6 +52,7 @@ def _arguments() -> argparse.Namespace:
     build.add_argument("source", help="an extraction folder, or a folder of numbered text files with --text")
     build.add_argument("root")
     build.add_argument("--text", action="store_true")
+    build.add_argument("--chunk-chars", type=int, default=None, help="tokenize each source in chunks of so many characters, across its lines and documents")
     build.add_argument("--force", action="store_true", help="tokenize everything again")
     build.add_argument("--detect", choices=["number", "content"], default="number")
     build.add_argument("--eos", choices=["source", "document", "none"], default="source")
@@ -64,6 +67,20 @@ def _arguments() -> argparse.Namespace:
     batches.add_argument("--rows", type=int, default=bt.BATCH_ROWS)
     batches.add_argument("--length", type=int, default=bt.ROW_TOKENS)
 
+    plan = commands.add_parser("schedule", help="write the order in which batches are still to be read")
+    plan.add_argument("root")
+    plan.add_argument("out")
+    plan.add_argument("--split", choices=["train", "val"], default="train")
+    plan.add_argument("--rows", type=int, default=bt.BATCH_ROWS)
+    plan.add_argument("--length", type=int, default=bt.ROW_TOKENS)
+    plan.add_argument("--epochs", type=int, default=1, help="whole passes after the rest of the current one")
+
+    save = commands.add_parser("save-position", help="save how far the published shards have been read")
+    save.add_argument("root")
+    save.add_argument("step", type=int)
+    save.add_argument("shard", type=int)
+    save.add_argument("position", type=int)
+
     log = commands.add_parser("runlog", help="write the step metrics of log files")
     log.add_argument("logs")
     log.add_argument("out")
@@ -72,7 +89,7 @@ def _arguments() -> argparse.Namespace:
     text.add_argument("root")
     text.add_argument("out")
 
-    for command in (build, batches, text):
+    for command in (build, batches, text, plan, save):
         command.add_argument("--tokenizer", default="codepoint", help="codepoint, bytes, or a tokenizer.json file")
     return parser.parse_args()
 
@@ -92,6 +109,8 @@ def main() -> None:
                 print(f"  {row.category}: {row.path} ({row.reason})")
     elif args.command == "build":
         docs = numbered_text(spark, args.source) if args.text else Extraction(spark, args.source).docs()
+        if args.chunk_chars is not None:
+            docs = chunked_docs(docs, args.chunk_chars)
         corpus = Corpus(spark, args.root, _tokenizer(args.tokenizer), args.eos)
         corpus.add(docs, force=args.force, detect=args.detect)
         version = corpus.publish(args.shard_size, args.val_ratio)
@@ -103,6 +122,14 @@ def main() -> None:
     elif args.command == "batches":
         shards = Corpus(spark, args.root, _tokenizer(args.tokenizer)).current(args.split)
         bt.batch_rows(shards, bt.BatchShape(args.rows, args.length)).write.parquet(args.out)
+    elif args.command in ("schedule", "save-position"):
+        corpus = Corpus(spark, args.root, _tokenizer(args.tokenizer))
+        version, cursors = corpus.current_version(), Cursors(spark, f"{corpus.root}/positions")
+        if args.command == "save-position":
+            cursors.save(version, args.step, args.shard, args.position)
+        else:
+            sizes = corpus.current(args.split).select("split", "shard", "n_tokens")
+            cursors.resume(sizes, version, bt.BatchShape(args.rows, args.length), args.epochs).write.parquet(args.out)
     elif args.command == "runlog":
         lines = spark.read.text(args.logs).withColumnRenamed("value", "line")
         runlog.step_lines(lines).write.parquet(args.out)

@@ -212,22 +212,33 @@ def numbered_batches(shards: DataFrame, shape: BatchShape, shard_size: int) -> D
     return batch_windows(shards, shape).withColumn("global_batch", F.col("shard") * full + F.col("batch_in_shard"))
 
 
-def head_batches(shards: DataFrame, shape: BatchShape, n: int = VAL_BATCHES, split: str = "val") -> DataFrame:
-    """The first ``n`` batches of a split after a reset, for shards of any length.
-
-    At most ``n`` shards can hold them; their keys are broadcast to the shard scan, or joined where they are many.
+def head_batches(
+    shards: DataFrame, shape: BatchShape, n: int = VAL_BATCHES, split: str = "val", shard_size: int | None = None
+) -> DataFrame:
+    """The first ``n`` batches of a split after a reset.
+
+    For shards made by ``build_shards`` with this ``shard_size`` all but the last are full, and which shards hold the head is arithmetic: they are
+    named in a filter, and nothing is joined.  Without it shards may have any length: at most ``n`` of them can hold the head; their keys are
+    broadcast to the shard scan, or joined where they are many.
     """
     if n < 1:
         raise ValueError("a head has at least one batch")
     mine = shards.where(F.col("split") == split)
-    placed, _ = _pass_over(batch_counts(mine, shape), "__first")
-    heads = placed.where((F.col("batches") > 0) & (F.col("__first") < n)).select("split", "shard", "__first")
-    keys = ["split", "shard"]
-    if n <= MAX_BROADCAST_HEAD:  # there are no more shards than batches, so nothing needs to be counted
-        joined = mine.join(F.broadcast(heads), keys)
-    else:
-        joined = join_thin(mine, heads, keys, "inner", F.col("shard"), MAX_BROADCAST_HEAD)
     start = F.col("batch_in_shard") * _size(shape.tokens)
+    if shard_size is not None:
+        full = shape.of_full_shard(shard_size)
+        # a full shard too short for a batch leaves them all to the last one, which is shorter still
+        holding = mine.where(F.col("shard") < F.lit(-(-n // full))) if full else mine.limit(0)
+        first = F.col("shard") * _size(full)
+        joined = holding.withColumn("__first", first).where((F.col("__first") < n) & (shape.count(F.col("n_tokens")) > 0))
+    else:
+        placed, _ = _pass_over(batch_counts(mine, shape), "__first")
+        heads = placed.where((F.col("batches") > 0) & (F.col("__first") < n)).select("split", "shard", "__first")
+        keys = ["split", "shard"]
+        if n <= MAX_BROADCAST_HEAD:  # there are no more shards than batches, so nothing needs to be counted
+            joined = mine.join(F.broadcast(heads), keys)
+        else:
+            joined = join_thin(mine, heads, keys, "inner", F.col("shard"), MAX_BROADCAST_HEAD)
     take = F.least(shape.count(F.col("n_tokens")), _size(n) - F.col("__first"))
     return joined.withColumn("batch_in_shard", _numbers(take)).select(
         "split",

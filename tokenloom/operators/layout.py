@@ -32,10 +32,17 @@ def _long(value: int) -> Column:
 
 def tokenize(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """``docs`` with ``tokens`` and ``n``, without the text."""
-    tokens = tokenizer.encode(F.col("text"))
-    return spread(docs).select("source_no", "doc_ord", tokens.alias("tokens")).withColumn(
-        "n", F.size("tokens").cast("bigint")
-    )
+    return _encoded(docs, tokenizer)
+
+
+def tokenize_with_prints(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
+    """``tokenize`` with ``digest`` and ``bytes`` of the text, by which changed documents are noticed later."""
+    return _encoded(docs, tokenizer, *_prints())
+
+
+def _encoded(docs: DataFrame, tokenizer: Tokenizer, *more: Column) -> DataFrame:
+    rows = spread(docs).select("source_no", "doc_ord", tokenizer.encode(F.col("text")).alias("tokens"), *more)
+    return rows.withColumn("n", F.size("tokens").cast("bigint"))
 
 
 def eos_rows(docs: DataFrame, sources: DataFrame | None = None) -> DataFrame:
@@ -65,8 +72,7 @@ def stored_tokens(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     if "tokens" in docs.columns or tokenizer.count is not None:
         return docs
     path = scratch_dir(docs.sparkSession, "tokens")
-    encoded = spread(docs).select("source_no", "doc_ord", tokenizer.encode(F.col("text")).alias("tokens"), *_prints())
-    rows = encoded.withColumn("n", F.size("tokens").cast("bigint"))
+    rows = tokenize_with_prints(docs, tokenizer)
     rows.write.parquet(path)
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 

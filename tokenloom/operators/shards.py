@@ -143,6 +143,7 @@ def build_shards(
     sources: DataFrame | None = None,
     partitions: int | None = None,
     val_only: bool = False,
+    first_shards: int | None = None,
 ) -> DataFrame:
     """``shards(split, shard, n_tokens, tokens)`` of documents or of a token cache.
 
@@ -151,7 +152,7 @@ def build_shards(
     tokens.  Documents of a block on a boundary between two parts go to both.  Blocks that touch more parts hold very long documents; those are
     tokenized and cut before the shuffle, so no part grows past its shards.
 
-    ``val_only`` builds the validation shards; documents past the cut are then neither moved nor tokenized.
+    ``val_only`` builds the validation shards, ``first_shards`` of them where that is given; documents past them are then neither moved nor tokenized.
     """
     partitions = partitions or row_partitions(docs, TOKEN_GROWTH) or docs.sparkSession.sparkContext.defaultParallelism
     docs = stored_tokens(docs, tokenizer)
@@ -159,7 +160,8 @@ def build_shards(
     place = Placement.over(thin, shard_size, val_ratio, partitions)
     homes, plan = place.homes, place.plan
     if val_only:
-        homes = homes.where(F.col("base") < plan.cut)
+        edge = plan.cut if first_shards is None else F.least(plan.cut, F.lit(first_shards * shard_size).cast("bigint"))
+        homes = homes.where(F.col("base") < edge)
         last = homes.agg(F.max("source_no")).first()[0]
         bound = F.lit(False) if last is None else F.col("source_no") <= last
         docs, thin = docs.where(bound), thin.where(bound)
@@ -207,6 +209,7 @@ def build_shards(
     mine = overlaps.where(int_div(through, place.shards_in_part) == F.col("part"))
     piece = F.slice("tokens", (F.col("skip") + 1).cast("int"), (F.col("p_end") - F.col("p_start")).cast("int")).alias("piece")
     kept = mine.where(F.col("split") == "val") if val_only else mine
+    kept = kept.where(F.col("shard") < first_shards) if val_only and first_shards is not None else kept
     return _concatenated(kept.select("part", "split", "shard", "shard_tokens", "p_start", piece), "part", "split", "shard")
 
 

@@ -72,11 +72,11 @@ def _signature() -> Column:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """Content signature per source: document count, bytes, and an order-free hash of all documents."""
-    prints = docs.select(
-        "source_no",
-        F.xxhash64("doc_ord", "text").alias("digest"),
-        F.octet_length("text").cast("bigint").alias("bytes"),
-    )
+    if "digest" in docs.columns:  # tokenized documents carry them
+        prints = docs.select("source_no", "digest", "bytes")
+    else:
+        text = [F.xxhash64("doc_ord", "text").alias("digest"), F.octet_length("text").cast("bigint").alias("bytes")]
+        prints = docs.select("source_no", *text)
     return prints.groupBy("source_no").agg(_signature())
 
 

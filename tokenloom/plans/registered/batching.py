@@ -52,7 +52,8 @@ def _(spark, sf_dir):
     _xy(BT, "split, shard, g AS batch_in_shard", f"WHERE split = 'val' AND shard * {(SHARD - 1) // BT} + g < {bt.VAL_BATCHES}"),
 )
 def _(spark, sf_dir):
-    head = bt.head_batches(built_shards(spark, sf_dir, val_only=True), SHAPE)
+    holding = -(-bt.VAL_BATCHES // SHAPE.of_full_shard(SHARD))
+    head = bt.head_batches(built_shards(spark, sf_dir, val_only=True, first_shards=holding), SHAPE, shard_size=SHARD)
     return head.select("split", "shard", "batch_in_shard", digest("x").alias("x"), digest("y").alias("y"))
 
 

@@ -7,7 +7,9 @@ from tokenloom.functions import text as tx
 from tokenloom.operators.ordering import ordinals
 from tokenloom.operators.reports import category_sizes
 from tokenloom.operators.runlog import latest_cursor, latest_named
+from tokenloom.operators import tokenizers as tk
 from tokenloom.plans import fixtures as fx
+from tokenloom.plans.corpus import Corpus
 from tokenloom.plans.cursors import Cursors
 from tokenloom.plans.registered.registry import CACHED_BELOW, SQL_DOCS, docs, mark, query, sql_mark, sql_strip
 from tokenloom.session import scratch_dir
@@ -193,10 +195,17 @@ def _sources(spark, sf_dir):
 _SOURCES = "SELECT DISTINCT CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) AS source_no FROM documents"
 
 
+def _cached(spark, sf_dir):
+    """A corpus that holds some of the sources."""
+    corpus = Corpus(spark, scratch_dir(spark, "cached"), tk.codepoint())
+    corpus.add(docs(spark, sf_dir).where(F.col("source_no") < CACHED_BELOW))
+    return corpus
+
+
 @query("new_sources_anti", f"SELECT source_no FROM ({_SOURCES}) WHERE source_no >= {CACHED_BELOW}")
 def _(spark, sf_dir):
-    cached = _sources(spark, sf_dir).where(F.col("source_no") < CACHED_BELOW)
-    return cat.unseen(_sources(spark, sf_dir), cached, ["source_no"])
+    """Sources that the manifest of a corpus does not know."""
+    return cat.unseen(_sources(spark, sf_dir), _cached(spark, sf_dir).manifest(), ["source_no"])
 
 
 @query(
@@ -204,9 +213,8 @@ def _(spark, sf_dir):
     f"""WITH {SQL_DOCS} SELECT source_no, count(*) AS docs FROM docs WHERE source_no < {CACHED_BELOW} GROUP BY source_no""",
 )
 def _(spark, sf_dir):
-    cached = _sources(spark, sf_dir).where(F.col("source_no") < CACHED_BELOW)
     per_source = docs(spark, sf_dir).groupBy("source_no").agg(F.count("*").alias("docs"))
-    return cat.seen(per_source, cached, ["source_no"])
+    return cat.seen(per_source, _cached(spark, sf_dir).manifest(), ["source_no"])
 
 
 @query(

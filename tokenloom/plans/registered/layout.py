@@ -246,8 +246,8 @@ def _digested(shards):
     return shards.select("split", "shard", "n_tokens", digest("tokens").alias("digest"))
 
 
-def built_shards(spark, sf_dir, val_only=False):
-    return sh.build_shards(docs(spark, sf_dir), CODEPOINT, SHARD, RATIO, val_only=val_only)
+def built_shards(spark, sf_dir, **head):
+    return sh.build_shards(docs(spark, sf_dir), CODEPOINT, SHARD, RATIO, **head)
 
 
 @query("shard_build", _SHARDS_CHECK + " GROUP BY split, shard")

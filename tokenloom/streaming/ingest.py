@@ -2,7 +2,8 @@
 
 The stream does the per-document work and writes every micro-batch to its own folder, so a
 batch that is run again replaces itself.  Places are global, so they are given
-afterwards, by ``Corpus.add`` over the landed tokens.
+afterwards, by ``Corpus.add`` over the landed tokens.  Landed documents keep the digest and the size of their texts,
+so ``Corpus.add`` can tell by content which sources have changed.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tokenloom import schemas
-from tokenloom.operators.layout import tokenize
+from tokenloom.operators.layout import tokenize_with_prints
 from tokenloom.operators.tokenizers import Tokenizer
 from tokenloom.session import shared_root
 
 
+LANDED = T.StructType([*schemas.TOKEN_CACHE.fields, T.StructField("digest", T.LongType()), T.StructField("bytes", T.LongType())])
+
 #: Up to this many repeated documents are broadcast by key, past it all rows are shuffled.
 MAX_BROADCAST_REPEATS = 1_000_000
 
@@ -45,7 +48,7 @@ def land_tokens(
 
     ``to_docs`` maps the raw columns to ``(source_no, doc_ord, text)``.
     """
-    tokens = tokenize(to_docs(stream), tokenizer)
+    tokens = tokenize_with_prints(to_docs(stream), tokenizer)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{landing}/batch_id={batch_id}")
@@ -66,7 +69,7 @@ def landed(spark: SparkSession, landing: str) -> DataFrame:
     """
     shared_root(spark)
     keys = ["source_no", "doc_ord"]
-    rows = spark.read.schema(schemas.TOKEN_CACHE).parquet(landing).select(*keys, "n", "tokens")
+    rows = spark.read.schema(LANDED).parquet(landing).select(LANDED.names)
     repeated = rows.groupBy(*keys).count().where(F.col("count") > 1).select(*keys).checkpoint()
     n = repeated.limit(MAX_BROADCAST_REPEATS + 1).count()
     if n == 0:
@@ -84,4 +87,7 @@ def landed_counts(rows: DataFrame, *more: Column) -> DataFrame:
 
 def _longest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Of rows with one key the longest, the greater tokens where they are as long: the same row in every run."""
-    return rows.groupBy(*keys).agg(F.max(F.struct("n", "tokens")).alias("r")).select(*keys, "r.n", "r.tokens")
+    more = [c for c in rows.columns if c not in keys]
+    first = [c for c in ("n", "tokens") if c in more]
+    best = F.max(F.struct(*first, *[c for c in more if c not in first])).alias("r")
+    return rows.groupBy(*keys).agg(best).select(*keys, "r.*").select(rows.columns)
