@@ -68,6 +68,38 @@ def test_tiny_vocabulary_merges_leftmost_least_rank():
     assert ids(b"abcd" * 3) == [258, 100] * 3
 
 
+def test_long_runs_equal_the_library_in_little_time(reference_encoding):
+    import time
+
+    rng = np.random.default_rng(5)
+    vocabulary_ = bpe.load(RANKS)
+    runs = [
+        "".join(map(chr, rng.integers(97, 123, 30_000))), "a" * 20_001, "ab" * 7000 + "a", "the" * 5000, "".join(rng.choice(["tion", "in", "re", "q"], 9000)),
+        "é中" * 3000, "0" * 5000, "!?" * 4000, "x" * (bpe.LONG + 1),
+    ]
+    for run in runs:
+        got = np.frombuffer(b"".join(vocabulary_.memory.ids([run])), "<u4").tolist()
+        assert got == reference_encoding.encode_ordinary(run)
+    million = "".join(map(chr, rng.integers(97, 123, 1_000_000)))
+    started = time.process_time()
+    got = np.frombuffer(b"".join(vocabulary_.memory.ids([million])), "<u4").tolist()
+    assert time.process_time() - started < 30  # about 5 on an idle machine
+    assert got == reference_encoding.encode_ordinary(million)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_long_rows_merge_as_short_ones_do_whatever_the_ranks(seed):
+    """Ranks in no order of length: merges make pairs of lower rank all the time."""
+    rng = np.random.default_rng(seed)
+    tokens = [bytes([b]) for b in range(256)]
+    more = sorted({bytes(rng.choice([97, 98, 99], int(rng.integers(2, 6))).tolist()) for _ in range(120)})
+    rng.shuffle(more)
+    vocabulary_ = bpe.Vocabulary({t: i for i, t in enumerate([*tokens, *more])})
+    for n in (2, 3, 50, 400):
+        piece = bytes(rng.choice([97, 98, 99], n, p=[0.6, 0.2, 0.2]).tolist())
+        assert vocabulary_._merge_long(piece) == vocabulary_._merge([piece])[0]
+
+
 def test_empty_table(spark, tmp_path):
     df = docs(spark, [])
     assert bpe.decode(bpe.encode(df, RANKS), RANKS).count() == 0

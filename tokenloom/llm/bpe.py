@@ -23,6 +23,8 @@ from tokenloom.llm.pieces import Memory, pattern
 NONE = np.int32(2**31 - 1)
 #: Cells of a matrix at a time.
 CELLS = 1 << 18
+#: Pieces longer than this are merged one by one, all places of their least rank in a round.
+LONG = 1 << 11
 #: Chunks remembered by a worker; a worker that decodes what another one encodes stands beside it.
 REMEMBERED = 250_000
 
@@ -101,7 +103,9 @@ class Vocabulary:
         rest = []
         for i, piece in enumerate(pieces):
             rank = self.ranks.get(piece)
-            if rank is None and piece:
+            if rank is None and len(piece) > LONG:
+                out[i] = self._merge_long(piece)
+            elif rank is None and piece:
                 rest.append(i)
             else:
                 out[i] = b"" if rank is None else rank.to_bytes(4, "little")
@@ -150,6 +154,52 @@ class Vocabulary:
             right = np.flatnonzero(best < ids.shape[1] - 1)
             ranks[right, best[right]] = self._pairs(least[right], ids[right, best[right] + 1])
 
+    def _merge_long(self, piece: bytes) -> bytes:
+        """One row, whose cells are linked: a round merges every place of the least rank, from the left.
+
+        That is what merging the leftmost of them again and again comes to, up to the first merge that makes a pair of lower rank: the round ends
+        there.  Dead cells stay until half are dead, so a round costs a look over the row and no copy of it.
+        """
+        ids = self._bytes[np.frombuffer(piece, dtype=np.uint8)]
+        while True:
+            n = len(ids)
+            ranks = np.append(self._pairs(ids[:-1], ids[1:]), NONE)  # of a cell and the next living one
+            before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
+            live = n
+            while True:
+                least = ranks.min()
+                if least == NONE:
+                    return ids[ids >= 0].astype("<u4").tobytes()
+                at = np.flatnonzero(ranks == least)
+                # Of places that overlap in a chain every second one, from its left end.
+                joined = np.zeros(len(at), dtype=bool)
+                joined[1:] = after[at[:-1]] == at[1:]
+                starts = np.flatnonzero(~joined)
+                at = at[(np.arange(len(at)) - starts[np.cumsum(~joined) - 1]) % 2 == 0]
+                gone = after[at]
+                left, right = before[at], after[gone]
+                # What each merge makes at its time: those to the left are done, those to the right not yet.
+                merged = np.zeros(len(at), dtype=bool)
+                merged[1:] = left[1:] == gone[:-1]
+                on_left = np.where(merged, least, np.where(left >= 0, ids[left], -1))
+                on_right = np.where(right < n, ids[np.minimum(right, n - 1)], -1)
+                new = np.full(len(at), least, dtype=np.int32)
+                lower = np.flatnonzero(np.minimum(self._pairs(on_left, new), self._pairs(new, on_right)) < least)
+                if len(lower):
+                    at, gone, right = at[: lower[0] + 1], gone[: lower[0] + 1], right[: lower[0] + 1]
+                ids[at], ids[gone], ranks[gone] = least, -1, NONE
+                after[at] = right
+                inner = right < n
+                before[right[inner]] = at[inner]
+                left = before[at]
+                ranks[at] = self._pairs(ids[at], np.where(inner, ids[np.minimum(right, n - 1)], -1))
+                some = left >= 0
+                ranks[left[some]] = self._pairs(ids[left[some]], ids[at[some]])
+                live -= len(at)
+                if 2 * live < n:
+                    break
+            ids = ids[ids >= 0]
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
@@ -163,7 +213,7 @@ def load(path: str) -> Vocabulary:
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode whole texts: ``id_col`` and ``ids``, the ids as little-endian unsigned 32-bit numbers in a binary.
 
-    ``path`` names a rank file that every executor can open.  Null and empty texts have no ids.  Each row is
+    ``path`` names a rank file that every executor can open.  Very long texts, and long runs without a gap in them, take time in proportion to their length, about.  Null and empty texts have no ids.  Each row is
     encoded by itself, so repeated rows, ties and null ids pass through; other columns are left behind.  No shuffle.
     """
 
