@@ -120,3 +120,17 @@ def test_odd_rows_few_labels_and_empty_tables(spark, labels):
                 by_text.setdefault(r.text or "", set()).add(round(r.score, 9))
             assert all(len(s) == 1 for s in by_text.values())
     assert len(rows)
+
+
+def test_samples_are_bounded_where_one_id_has_a_third_of_all_rows(spark):
+    from tokenloom.llm.labelled import sample, training_labels
+
+    rows = [(i, f"text {i}", 1) for i in range(400)] + [(7, f"copy {i % 50}", 1) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, id INT")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(400)], "doc_id BIGINT, toxic INT, quality INT")
+    known = training_labels(labels, "quality")
+    texts, sizes = sample(df, known, 10_000)
+    assert texts.count() == sum(sizes.values()) == known.count()
+    assert sample(df, known, 20)[0].count() <= 40
+    voters = quality.learn(df, labels, per_class=20)
+    assert len(voters.vectors) <= 40

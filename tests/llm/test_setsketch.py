@@ -73,6 +73,19 @@ def test_chains_hubs_and_members_of_many_degrees_of_likeness(spark, monkeypatch)
     agrees(docs(spark, rows), rows)
 
 
+def test_chunks_are_bounded_by_their_shingles(spark, monkeypatch):
+    monkeypatch.setattr(setsketch, "CHUNK_SHINGLES", 300)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(i % 5):
+            words[rng.randrange(120)] = f"x{rng.random()}"
+        rows.append((i, " ".join(words)))
+    agrees(docs(spark, rows), rows)
+
+
 def test_odd_rows_copies_and_empty_table(spark):
     df, rows = odd_docs(spark)
     agrees(df, rows)

@@ -110,7 +110,9 @@ def nearest(
     dimensions, equal ids and ties.  An empty table gives an empty result.
     """
     rows = usable(vectors, id_col, vec_col, drop_zero=True)
-    sample = hashed_sample(rows, rows.count(), SAMPLE, "id", "vec").select("vec", F.size("vec").alias("dims")).orderBy("vec").collect()
+    # a row that comes again and again is drawn or not as one
+    sample = hashed_sample(rows, rows.count(), SAMPLE, "id", "vec").dropDuplicates(["id", "vec"])
+    sample = sample.select("vec", F.size("vec").alias("dims")).orderBy("vec").collect()
     learned = {}
     for dims in {r.dims for r in sample}:
         learned[dims] = learn(np.array([r.vec for r in sample if r.dims == dims]), k)

@@ -18,7 +18,8 @@ def training_labels(labels: DataFrame, column: str, id_col: str = "doc_id", fold
 def sample(docs: DataFrame, known: DataFrame, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
     """``text``, ``label`` of about ``per_class`` ids of each label at most, and how many ids each label has in all.
 
-    Hashes of the ids decide, so the choice depends on nothing else.  The ids are broadcast: about twice ``per_class``.
+    Hashes of the ids decide, so the choice depends on nothing else.  The ids are broadcast: about twice ``per_class``.  An id counts once,
+    with the least of its texts, however many rows it has.
     """
     sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     chosen = None
@@ -26,4 +27,5 @@ def sample(docs: DataFrame, known: DataFrame, per_class: int, id_col: str = "doc
         part = hashed_sample(known.where(F.col("label") == label), sizes.get(label, 0), per_class, "id")
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.join(F.broadcast(chosen), "id").select("text", "label"), sizes
+    found = rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))  # reduced before it is shuffled
+    return found.select("text", "label"), sizes

@@ -36,8 +36,8 @@ PERCENT = 75
 MARGIN = 0.2
 #: Base of the logarithmic scale, rate of the exponential numbers, greatest register.
 BASE, RATE, TOP = 1.001, 20.0, 65535
-#: Classes in a chunk.
-CHUNK = 128
+#: Classes in a chunk, and shingles in all of them, about: some tens of megabytes of text.
+CHUNK, CHUNK_SHINGLES = 128, 1 << 22
 
 _SALTS = np.random.default_rng(11).integers(0, 2**32, REGISTERS, dtype=np.uint32) | np.uint32(1)
 
@@ -201,14 +201,19 @@ def _across(shared: DataFrame, classes: DataFrame, joined: DataFrame, texts: Dat
     members = written(members.join(open_, "key").select("node", "component", F.col("leader.node").alias("leader")).distinct(), "open-members")
 
     clusters = components(members, "node", "leader").select("node", F.col("component").alias("cluster"))
-    nodes = members.select("node", "component").distinct().join(clusters, "node")
+    nodes = members.select("node", "component").distinct().join(clusters, "node").join(classes.select("node", F.col("n").alias("size")), "node")
+
+    def chunks(n: str, size: str) -> str:
+        return f"greatest(ceil({n} / {CHUNK}), ceil({size} / {CHUNK_SHINGLES}))"
+
     main = (
-        nodes.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster")
-        .agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+        nodes.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size")).groupBy("cluster")
+        .agg(F.max(F.struct("n", "component", "size")).alias("top"), F.sum("n").alias("all"), F.sum("size").alias("sizes"))
+        .withColumn("one", F.expr(f"{chunks('all', 'sizes')} <= 1"))
         .select(
             "cluster", F.col("top.component").alias("main"),
-            F.expr(f"IF(all <= {CHUNK}, 1, CAST(ceil((all - top.n) / {CHUNK}) AS INT))").alias("minor_chunks"),
-            F.expr(f"IF(all <= {CHUNK}, 0, CAST(ceil(top.n / {CHUNK}) AS INT))").alias("main_chunks"),
+            F.expr(f"IF(one, 1, CAST({chunks('(all - top.n)', '(sizes - top.size)')} AS INT))").alias("minor_chunks"),
+            F.expr(f"IF(one, 0, CAST({chunks('top.n', 'top.size')} AS INT))").alias("main_chunks"),
         )
     )
     # Chunks from 0 hold the members outside the largest component (all members of a small cluster), those after them the rest.
@@ -252,7 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Shingles are distinct runs of five words, or all words of a shorter text.  Rows without words are linked with nothing and kept; so
     are rows without an id, whose component is null.  ``component_id`` is the smallest id that links reach, ``kept`` says
     whether the row has that id.  Repeated rows share component and verdict.  An empty table gives an empty
-    result; other columns are left behind.  Very long texts are hashed in slices.
+    result; other columns are left behind.  Very long texts are hashed in slices, and few of them share a chunk.
     """
     rows = written(sketches(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sketches")
     first = F.min(F.struct("id", "row"))
