@@ -96,7 +96,7 @@ def test_head_of_built_shards_by_arithmetic(spark):
         assert sorted(map(tuple, head.collect())) == sorted(map(tuple, whole.collect()))
     assert bt.head_batches(built, bt.BatchShape(10, 100), 5, shard_size=1000).count() == 0
     plan = bt.head_batches(built, shape, 5, shard_size=1000)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") <= 4 and plan.count("hashpartitioning(part") == 1
+    assert plan.count("Exchange") <= 4 and plan.count("shufflepartitionidpassthrough(") == 1
 
 
 def test_steps(spark):

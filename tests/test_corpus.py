@@ -73,8 +73,8 @@ def test_one_shuffle_carries_the_texts(spark):
     plan = _planned(build_shards(df, tk.codepoint(), 5000, 0.1, partitions=4))
     shuffles = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
     # the other one finds the ends of the sources in the thin counted rows
-    assert ["part" if "hashpartitioning(part" in s else "end" if "hashpartitioning(source_no" in s else s for s in shuffles] == ["part", "end"]
-    assert plan.count("Window [") == 1 and plan.count("text#") and "tokens#" not in plan.split("Exchange hashpartitioning(part")[1]
+    assert ["part" if "shufflepartitionidpassthrough(" in s else "end" if "hashpartitioning(source_no" in s else s for s in shuffles] == ["part", "end"]
+    assert plan.count("Window [") == 1 and plan.count("text#") and "tokens#" not in plan.split("Exchange shufflepartitionidpassthrough(")[1]
 
 
 def test_the_head_reads_only_sources_below_the_cut(spark, tmp_path):
@@ -83,7 +83,7 @@ def test_the_head_reads_only_sources_below_the_cut(spark, tmp_path):
     head = build_shards(spark.read.parquet(str(tmp_path / "docs")), tk.codepoint(), 5000, 0.05, partitions=4, val_only=True)
     plan = _planned(head)
     assert "LessThanOrEqual(source_no,2)" in plan
-    assert plan.count("Exchange hashpartitioning(part") == 1
+    assert plan.count("Exchange shufflepartitionidpassthrough(") == 1
     assert head.where("split <> 'val'").count() == 0 and head.agg(F.sum("n_tokens")).first()[0] == int((29 * 50 * 440 + 29) * 0.05)
 
 
@@ -224,7 +224,7 @@ def test_a_rebuild_shuffles_tokens_once(spark, tmp_path):
     corpus.add(spark.createDataFrame(some_docs(), DOCS))
     plan = corpus.shards(500, 0.02)._jdf.queryExecution().executedPlan().toString()
     moving = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line and "max(run_seq" not in line]
-    assert [line for line in moving if "hashpartitioning(part" in line] and sum("hashpartitioning(part" in line for line in moving) == 1
+    assert [line for line in moving if "shufflepartitionidpassthrough(" in line] and sum("shufflepartitionidpassthrough(" in line for line in moving) == 1
     assert plan.count("Window [") == 1 and "hashpartitioning(split" not in plan
 
 

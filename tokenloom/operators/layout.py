@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.names import ceil_div, int_div
 from tokenloom.operators.ordering import RunningSums, running_sums
 from tokenloom.operators.tokenizers import Tokenizer
-from tokenloom.session import row_partitions, scratch_dir, spread, written
+from tokenloom.session import row_partitions, scratch_dir, spread, written_with
 
 EOS_MODES = ("source", "document", "none")
 
@@ -126,16 +126,23 @@ def thin_rows(docs: DataFrame, tokenizer: Tokenizer, eos: str = "source", source
 
     Documents are read once, and what they count is written; end rows and offsets come from there.
     """
+    return counted_rows(docs, tokenizer, eos, sources)[0]
+
+
+def counted_rows(docs: DataFrame, tokenizer: Tokenizer, eos: str, sources: DataFrame | None) -> tuple[DataFrame, int, int]:
+    """``thin_rows``, the number of documents and the tokens in them."""
     if eos not in EOS_MODES:
         raise ValueError(f"eos is one of {EOS_MODES}, not {eos!r}")
     counted = F.col("n") if "tokens" in docs.columns else None
     if counted is None:
         counted = F.size(tokenizer.encode(F.col("text"))).cast("bigint") if tokenizer.count is None else tokenizer.count(F.col("text"))
-    thin = written(docs.select("source_no", "doc_ord", (counted + (1 if eos == "document" else 0)).alias("n")), "counted")
+    sized = docs.select("source_no", "doc_ord", (counted + (1 if eos == "document" else 0)).alias("n"))
+    thin, facts = written_with(sized, "counted", docs=F.count(F.lit(1)), tokens=F.sum("n"))
     rows = thin.withColumn("is_end", F.lit(False))
-    if eos != "source":
-        return rows
-    return rows.unionByName(eos_rows(thin, sources).select("source_no", "doc_ord", _long(1).alias("n"), F.lit(True).alias("is_end")))
+    if eos == "source":
+        ends = eos_rows(thin, sources).select("source_no", "doc_ord", _long(1).alias("n"), F.lit(True).alias("is_end"))
+        rows = rows.unionByName(ends)
+    return rows, int(facts["docs"] or 0), int(facts["tokens"] or 0)
 
 
 @dataclass(frozen=True)

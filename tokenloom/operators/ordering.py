@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tokenloom.session import written
+from tokenloom.session import written_with
 
 BLOCK_BITS = 10
 GROUP_BITS = 18
@@ -118,13 +118,11 @@ def running_sums(
     keyed = df.withColumns({k: _present(df, k) for k in [*outer, minor]})
     blocked = keyed.withColumn(_BLOCK, F.shiftright(F.col(minor), block_bits))
     sums = blocked.groupBy(*outer, _BLOCK).agg(*[F.sum(v).cast("bigint").alias(v) for v in values])
-    blocks = written(sums, "blocks")
-    facts = blocks.agg(
-        F.count("*").alias("__n"), F.coalesce(F.max(_BLOCK), F.lit(0)).alias("__top"), *[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in values]
-    ).first()
+    figures = {"__n": F.count(F.lit(1)), "__top": F.max(_BLOCK), **{f"__sum_{v}": F.sum(v) for v in values}}
+    blocks, facts = written_with(sums, "blocks", **figures)
 
     levels, names = [blocks], [_BLOCK]  # each level with the key of the one above
-    top = facts["__top"]
+    top = facts["__top"] or 0
     while facts["__n"] > 1 << group_bits and top > 0:
         names.append(f"{_GROUP}{len(names)}")
         top >>= group_bits
@@ -140,7 +138,7 @@ def running_sums(
         base = inner.join(base, above).select(
             *outer, names[i], *[(F.col(f"__in_{v}") + F.col(f"__base_{v}")).alias(f"__base_{v}") for v in values]
         )
-    totals = {v: int(facts[v]) for v in values}
+    totals = {v: int(facts[f"__sum_{v}"] or 0) for v in values}
     return RunningSums(blocks, base, totals, blocked, df.columns, dict(values), outer, minor, partitions)
 
 

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tokenloom.functions.names import ceil_div, int_div, shard_name
-from tokenloom.operators.layout import TOKEN_GROWTH, SplitPlan, stored_tokens, text_or_tokens, thin_rows
+from tokenloom.operators.layout import TOKEN_GROWTH, SplitPlan, counted_rows, stored_tokens, text_or_tokens
 from tokenloom.operators.ordering import running_sums
 from tokenloom.operators.tokenizers import Tokenizer
-from tokenloom.session import row_partitions, written
+from tokenloom.session import row_partitions, written_with
 
 # The sizes of a full-scale corpus.
 SHARD_SIZE = 1_000_000
@@ -85,21 +85,22 @@ class Placement:
     """Which task builds which shards, and where every block of documents goes.
 
     A part is a run of consecutive shards.  ``homes`` has one row for each block of documents: its offset, its size, and the first and last part it
-    touches.  A block lies in one part, or straddles a boundary and goes to both sides; only blocks of very long documents touch more.
+    touches (``most_parts`` at most).  A block lies in one part, or straddles a boundary and goes to both sides; only blocks of very long documents touch more.
     """
 
     plan: SplitPlan
     homes: DataFrame
     n_blocks: int
+    most_parts: int
     block_bits: int
     shards_in_part: int
 
     @staticmethod
-    def over(thin: DataFrame, shard_size: int, val_ratio: float, partitions: int) -> Placement:
-        facts = thin.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-        shards = max(1, -(-facts.n // shard_size))
+    def over(thin: DataFrame, n_docs: int, n_tokens: int, shard_size: int, val_ratio: float, partitions: int) -> Placement:
+        """``n_docs`` and ``n_tokens`` only set the sizes of parts and blocks."""
+        shards = max(1, -(-n_tokens // shard_size))
         in_part = max(1, -(-shards // (partitions * PARTS_PER_TASK)))
-        rows_in_part = max(1, facts.rows * in_part // shards)
+        rows_in_part = max(1, n_docs * in_part // shards)
         bits = min(MAX_BLOCK_BITS, max(0, (rows_in_part // BLOCKS_PER_PART).bit_length() - 1))
         sums = running_sums(thin, {"n": "g_start"}, minor="doc_ord", majors=["source_no"], block_bits=bits)
         plan = SplitPlan.over(sums.total("n"), val_ratio, shard_size)
@@ -108,13 +109,15 @@ class Placement:
         def part(position: Column) -> Column:
             return int_div(plan.shard_of(position), in_part)
 
-        homes = written(
+        homes, facts = written_with(
             sized.where("size > 0").select(
                 "source_no", "__block", "base", "size", part(F.col("base")).alias("first"), part(F.col("base") + F.col("size") - 1).alias("last")
             ),
             "homes",
+            n=F.count(F.lit(1)),
+            most=F.max(F.col("last") - F.col("first") + 1),
         )
-        return Placement(plan, homes, homes.count(), bits, in_part)
+        return Placement(plan, homes, facts["n"], facts["most"] or 0, bits, in_part)
 
     def part_of(self, position: Column) -> Column:
         return int_div(self.plan.shard_of(position), self.shards_in_part)
@@ -156,8 +159,8 @@ def build_shards(
     """
     partitions = partitions or row_partitions(docs, TOKEN_GROWTH) or docs.sparkSession.sparkContext.defaultParallelism
     docs = stored_tokens(docs, tokenizer)
-    thin = thin_rows(docs, tokenizer, eos, sources)
-    place = Placement.over(thin, shard_size, val_ratio, partitions)
+    thin, n_docs, n_tokens = counted_rows(docs, tokenizer, eos, sources)
+    place = Placement.over(thin, n_docs, n_tokens, shard_size, val_ratio, partitions)
     homes, plan = place.homes, place.plan
     if val_only:
         edge = plan.cut if first_shards is None else F.least(plan.cut, F.lit(first_shards * shard_size).cast("bigint"))
@@ -176,7 +179,7 @@ def build_shards(
     tokens = F.when(F.col("is_end"), F.array(F.lit(tokenizer.eos_id))).otherwise(made)
 
     long_ = homes.where("last > first + 1")
-    any_long = long_.limit(1).count() > 0
+    any_long = place.most_parts > 2
     # A document goes where its block goes ...
     near = place.at_home(rows, homes.where("last <= first + 1")).withColumn("part", F.explode(F.sequence("first", "last")))
     moved = near.select("part", "source_no", "__block", "doc_ord", "base", "n", payload, "is_end", *([F.lit(None).cast(_IDS).alias("cut")] if any_long else []))
@@ -197,20 +200,21 @@ def build_shards(
         moved = moved.unionByName(pieces)
         tokens = F.coalesce("cut", tokens)
 
-    # The window and the aggregate below find their rows together: nothing moves again.
-    here = moved.repartition(partitions, "part")
-    in_block = Window.partitionBy("part", "source_no", "__block").orderBy("doc_ord").rowsBetween(Window.unboundedPreceding, -1)
+    # Parts are dealt out in turn, as hashes of few parts would leave tasks uneven.  The window and the aggregate below find their rows together: nothing
+    # moves again.
+    here = moved.withColumn("task", F.pmod("part", F.lit(partitions).cast("bigint")).cast("int")).repartitionById(partitions, "task")
+    in_block = Window.partitionBy("task", "part", "source_no", "__block").orderBy("doc_ord").rowsBetween(Window.unboundedPreceding, -1)
     spans = here.withColumn("g_start", F.col("base") + F.coalesce(F.sum("n").over(in_block), F.lit(0)))
     spans = spans.withColumn("g_end", F.col("g_start") + F.col("n")).where(
         (F.col("g_end") > place.start(F.col("part"))) & (F.col("g_start") < place.end(F.col("part")))
     )
-    overlaps = shard_overlaps(spans.select("part", "n", "g_start", "g_end", tokens.alias("tokens")), plan)
+    overlaps = shard_overlaps(spans.select("task", "part", "n", "g_start", "g_end", tokens.alias("tokens")), plan)
     through = F.col("shard") + F.when(F.col("split") == "val", F.lit(0)).otherwise(plan.val_shards)
     mine = overlaps.where(int_div(through, place.shards_in_part) == F.col("part"))
     piece = F.slice("tokens", (F.col("skip") + 1).cast("int"), (F.col("p_end") - F.col("p_start")).cast("int")).alias("piece")
     kept = mine.where(F.col("split") == "val") if val_only else mine
     kept = kept.where(F.col("shard") < first_shards) if val_only and first_shards is not None else kept
-    return _concatenated(kept.select("part", "split", "shard", "shard_tokens", "p_start", piece), "part", "split", "shard")
+    return _concatenated(kept.select("task", "part", "split", "shard", "shard_tokens", "p_start", piece), "task", "part", "split", "shard")
 
 
 def shard_plan(total: Column, val_ratio: float, shard_size: int) -> tuple[Column, Column, Column, Column]:

@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Sequence
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,6 +89,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_with(df: DataFrame, label: str, **figures: Column) -> tuple[DataFrame, dict]:
+    """``written``, and aggregates of the rows that are taken as they are written, without a job of their own."""
+    seen = Observation()
+    rows = written(df.observe(seen, *[figure.alias(name) for name, figure in figures.items()]), label)
+    return rows, seen.get
+
+
 def _file_system(spark: SparkSession, path: str):
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
