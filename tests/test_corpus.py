@@ -122,6 +122,11 @@ def test_an_empty_source_gives_only_its_end(spark):
     assert as_dict(built) == model.shards(model.stream(docs, sources=[1, 2, 3, 4]), 4, 0.25)
 
 
+def test_no_documents_give_no_shards(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert build_shards(none, tk.codepoint(), 10, 0.1).count() == build_shards(none, tk.codepoint(), 10, 0.1, val_only=True).count() == 0
+
+
 def test_unknown_eos_mode(spark):
     with pytest.raises(ValueError, match="eos"):
         lay.token_rows(spark.createDataFrame([], DOCS), tk.codepoint(), "line")
