@@ -83,7 +83,7 @@ def test_long_runs_equal_the_library_in_little_time(reference_encoding):
     million = "".join(map(chr, rng.integers(97, 123, 1_000_000)))
     started = time.process_time()
     got = np.frombuffer(b"".join(vocabulary_.memory.ids([million])), "<u4").tolist()
-    assert time.process_time() - started < 30  # about 5 on an idle machine
+    assert time.process_time() - started < 30  # 9 on a loaded machine
     assert got == reference_encoding.encode_ordinary(million)
 
 

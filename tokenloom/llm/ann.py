@@ -118,8 +118,8 @@ def nearest(
         learned[dims] = learn(np.array([r.vec for r in sample if r.dims == dims]), k)
 
     def run(query_ids, queries, ids, values):
-        # A dimension too rare for the sample is learned where it is met; its codes need not agree between blocks.
-        codes = learned.get(values.shape[1]) or learn(values[:SAMPLE], k)
+        # A dimension too rare for the sample is learned where it is met, from rows all over the block; its codes need not agree between blocks.
+        codes = learned.get(values.shape[1]) or learn(values[:: -(-len(values) // SAMPLE)], k)
         index, asked = SubstringIndex(codes.encode(values)), codes.encode(queries)
         at, found, scores = [], [], []
         for i, (own, q) in enumerate(zip(query_ids, queries, strict=True)):
