@@ -29,10 +29,13 @@ SCHEMA = "doc_id BIGINT, tie BIGINT, ids ARRAY<INT>"
 #: Chunks of each kind and pieces remembered by a worker; more are encoded anew.  Results do not depend on it.
 CHUNKS, PIECES = 800_000, 400_000
 
+#: New chunks that are cut into pieces as one text.
+JOINT = 1000
+
 #: Size of a shuffled text against its size in the compressed input.
 GROWTH = 2.5
 
-_INT = struct.Struct("<i")
+_PACK = [struct.Struct(f"<{n}i").pack for n in range(LONGEST)]
 
 _OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
@@ -69,7 +72,8 @@ class LibraryBpe:
         from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
-        if tokenizer.normalizer is not None or not isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel):
+        cutter = tokenizer.pre_tokenizer
+        if tokenizer.normalizer is not None or not isinstance(cutter, pre_tokenizers.ByteLevel) or cutter.add_prefix_space or not cutter.use_regex:
             raise ValueError(f"{path} is no plain byte-level tokenizer")
         self._tokenize = tokenizer.model.tokenize
         # A byte is written as the character of its number if that is printable, else as one of those from 256 on.
@@ -129,15 +133,48 @@ class LibraryBpe:
         which[offsets[:-1]] = np.arange(len(firsts)) + len(distinct.dictionary)  # no space precedes them
         used = np.zeros(len(distinct.dictionary), dtype=bool)
         used[which[which < len(used)]] = True
-        spaced = (self._spaced[c] if u else b"" for c, u in zip(distinct.dictionary.to_pylist(), used.tolist()))
-        encoded = [*spaced, *map(self._whole.__getitem__, firsts)]
-        pick, places, cuts = encoded.__getitem__, which.tolist(), offsets.tolist()
-        return [b"".join(map(pick, places[a:b])) for a, b in zip(cuts, cuts[1:])]
+        spaced = self._looked_up(distinct.dictionary.to_numpy(zero_copy_only=False).tolist(), used)
+        encoded = pa.array([*spaced, *map(self._whole.__getitem__, firsts)], pa.large_binary())
+        joined = encoded.take(pa.array(which))  # all ids of all texts, in their order
+        _, ends, data = joined.buffers()
+        cuts = np.frombuffer(ends, dtype=np.int64)[offsets].tolist()
+        held = memoryview(data) if data is not None else b""
+        return [bytes(held[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+    def _looked_up(self, found: list[str], used: np.ndarray) -> list[bytes]:
+        """The ids of the chunks in use, each after a space; new ones are encoded together."""
+        known = self._spaced
+        out = [known.get(c) if u else b"" for c, u in zip(found, used.tolist())]
+        joint = []
+        for i, ids in enumerate(out):
+            if ids is None:
+                chunk = found[i]
+                if chunk.isalpha() and chunk.isascii():  # one piece, whose bytes stand for themselves
+                    out[i] = ids = self._ids(self._space + chunk)
+                    if len(chunk) <= LONGEST:
+                        known[chunk] = ids
+                elif len(chunk) <= LONGEST and chunk and chunk.strip() == chunk:
+                    joint.append(i)
+                else:
+                    out[i] = known[chunk]
+        for at in range(0, len(joint), JOINT):
+            places = joint[at : at + JOINT]
+            # A space between two characters that are none begins a match wherever it stands, and nothing else begins with one.
+            parts: list[list[bytes]] = []
+            for piece in pattern().findall("".join([" " + found[i] for i in places])):
+                if piece[0] == " ":
+                    ids = known.get(piece[1:])
+                    if ids is None:
+                        ids = known[piece[1:]] = self._piece(piece)
+                    parts.append([ids])
+                else:
+                    parts[-1].append(self._pieces[piece])
+            for i, part in zip(places, parts, strict=True):
+                out[i] = known[found[i]] = part[0] if len(part) == 1 else b"".join(part)
+        return out
 
     def _after_space(self, chunk: str) -> bytes:
         """A chunk without the space that precedes it."""
-        if chunk.isalpha() and chunk.isascii():  # one piece, whose bytes stand for themselves
-            return self._ids(self._space + chunk)
         return self._chunk(" " + chunk)
 
     def _chunk(self, chunk: str) -> bytes:
@@ -159,7 +196,7 @@ class LibraryBpe:
 
     def _ids(self, letters: str) -> bytes:
         ids = [t.id for t in self._tokenize(letters)]
-        return _INT.pack(*ids) if len(ids) == 1 else struct.pack(f"<{len(ids)}i", *ids)
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}i", *ids)
 
 
 @lru_cache(maxsize=2)
