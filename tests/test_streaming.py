@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tests import model
@@ -69,3 +70,73 @@ def test_changed_content_is_noticed_on_landed_tokens(spark, tmp_path):
         docs[1] = [(s, o, t.replace("doc", "new")) for s, o, t in docs[1]]
     runs = {r.source_no: r.run for r in corpus.manifest().collect()}
     assert len(set(runs.values())) == 2  # only the changed source was read again
+
+
+def streamed(spark, root, corpus, state="state"):
+    stream = ingest.file_stream(spark, f"{root}/arrived", DOCS, files_per_batch=1)
+    ingest.land_in_corpus(stream, cleaned, corpus, f"{root}/{state}").awaitTermination()
+
+
+def shards_of(corpus):
+    return {(r.split, r.shard): r.tokens for r in corpus.shards(20, 0.2).collect()}
+
+
+def delivered(spark, root, rows):
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.mode("append").parquet(f"{root}/arrived")
+
+
+@pytest.mark.parametrize("eos", ["source", "document", "none"])
+def test_micro_batches_grow_the_sources_of_a_corpus(spark, tmp_path, eos):
+    corpus = Corpus(spark, str(tmp_path / "c"), tk.codepoint(), eos)
+    corpus.add(cleaned(spark.createDataFrame(rows_of(0), DOCS)))
+    rows = rows_of(0)
+    for more in (rows_of(3) + rows_of(1), rows_of(4), rows_of(4) + [(2, 7, "x"), (2, 7, "longer"), (2, 5, None)]):
+        delivered(spark, tmp_path, more)
+        streamed(spark, tmp_path, corpus)
+        rows = list(dict.fromkeys(rows + more))
+    rows.remove((2, 7, "x"))
+    wanted = model.shards(model.stream([(s, o, (t.strip() if t else "") + "\n") for s, o, t in rows if t is not None], eos), 20, 0.2)
+    corpus_rows = {(r.source_no, r.doc_ord): r.n for r in corpus.cache().collect()}
+    assert (2, 5) in corpus_rows
+    got = shards_of(corpus)
+    if corpus_rows[2, 5] == 0:  # a null text is a document without tokens
+        assert got == wanted
+    totals = {r.source_no: r.n_tokens for r in corpus.manifest().collect()}
+    assert sum(totals.values()) == sum(len(t) for t in got.values()) == sum(corpus_rows.values())
+
+    runs = corpus._valid().count()
+    streamed(spark, tmp_path, corpus)  # nothing has arrived
+    streamed(spark, tmp_path, corpus, "lost")  # everything is read again
+    assert corpus._valid().count() == runs and shards_of(corpus) == got
+
+
+def test_a_committed_batch_adds_nothing_and_a_dead_one_is_replaced(spark, tmp_path):
+    corpus = Corpus(spark, str(tmp_path / "c"), tk.codepoint())
+    batch = spark.createDataFrame(rows_of(0) + rows_of(1), DOCS)
+    assert corpus.add_batch(batch, "s", 0)
+    before = shards_of(corpus)
+    assert corpus.add_batch(batch, "s", 0) is None  # replayed
+    assert corpus.add_batch(batch, "s", 1) is None  # delivered again
+    assert shards_of(corpus) == before
+    committed = tmp_path / "c" / "manifest" / "stream=s" / "batch=0" / "_SUCCESS"
+    committed.unlink()  # as if the attempt had died while it wrote its rows
+    for part in committed.parent.glob("*.parquet"):
+        part.unlink()
+    assert corpus.manifest().count() == 0
+    assert corpus.add_batch(batch, "s", 0)
+    assert shards_of(corpus) == before
+    with pytest.raises(ValueError):
+        corpus.add_batch(batch, "a/b", 0)
+
+
+def test_whole_runs_replace_parts(spark, tmp_path):
+    corpus = Corpus(spark, str(tmp_path / "c"), tk.codepoint())
+    docs = spark.createDataFrame(rows_of(0) + rows_of(1), DOCS)
+    corpus.add_batch(docs.where("doc_ord % 2 = 0"), "s", 0)
+    corpus.add_batch(docs.where("doc_ord % 2 = 1"), "s", 1)
+    assert corpus.add(docs) is None and corpus.add(docs, detect="content") is None  # the parts add up to these sources
+    grown = shards_of(corpus)
+    corpus.add(docs, force=True)
+    assert shards_of(corpus) == grown
+    assert corpus._valid().count() == 2 and corpus.vacuum(grace=0) == 2
+    assert shards_of(corpus) == grown

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions.names import ceil_div, int_div
 from tokenloom.operators.ordering import RunningSums, running_sums
 from tokenloom.operators.tokenizers import Tokenizer
-from tokenloom.session import row_partitions, scratch_dir, spread, written_with
+from tokenloom.session import row_partitions, scratch_dir, shared_root, spread, written_with
 
 EOS_MODES = ("source", "document", "none")
 
@@ -18,6 +18,9 @@ EOS_MODES = ("source", "document", "none")
 TEXT_GROWTH = 4.0
 TOKEN_GROWTH = 12.0
 
+#: Up to this many repeated documents are broadcast by key, past it all rows are shuffled.
+MAX_BROADCAST_REPEATS = 1_000_000
+
 
 def text_or_tokens(docs: DataFrame, tokenizer: Tokenizer, eos: str) -> tuple[str, Column]:
     """The column of ``docs`` that token rows are made from, and the expression that makes them (before the end of a source)."""
@@ -77,6 +80,33 @@ def stored_tokens(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def each_once(docs: DataFrame) -> DataFrame:
+    """Documents that may have been delivered several times, each once: the one with most tokens, or the longest text.
+
+    Repeats are looked for among the keys alone; as a rule there are few, and then no texts or tokens move but theirs.
+    """
+    shared_root(docs.sparkSession)
+    keys = ["source_no", "doc_ord"]
+    repeated = docs.groupBy(*keys).count().where(F.col("count") > 1).select(*keys).checkpoint()
+    n = repeated.limit(MAX_BROADCAST_REPEATS + 1).count()
+    if n == 0:
+        return docs
+    if n > MAX_BROADCAST_REPEATS:
+        return _longest(docs, keys)
+    repeated = F.broadcast(repeated)
+    once = docs.join(repeated, keys, "left_anti")
+    return once.unionByName(_longest(docs.join(repeated, keys, "left_semi"), keys))
+
+
+def _longest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows with one key the longest, the greater content where they are as long: the same row in every run."""
+    more = [c for c in rows.columns if c not in keys]
+    size = F.col("n") if "n" in more else F.length("text").cast("bigint")
+    first = [c for c in ("tokens", "text") if c in more]
+    best = F.max(F.struct(F.coalesce(size, F.lit(-1).cast("bigint")).alias("__size"), *first, *[c for c in more if c not in first])).alias("r")
+    return rows.groupBy(*keys).agg(best).select(*keys, *[F.col("r")[c].alias(c) for c in more]).select(rows.columns)
+
+
 def token_rows(
     docs: DataFrame,
     tokenizer: Tokenizer,

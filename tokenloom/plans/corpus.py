@@ -3,7 +3,8 @@
 Layout below one root folder::
 
     cache/run=<n>/      tokenized documents of one ingest run, with their place in the source
-    manifest/claim=<n>/ one row per source and run; the newest run of a source counts
+    manifest/claim=<n>/ one row per source and run; the newest whole run of a source counts, and the parts after it
+    manifest/stream=<id>/batch=<n>/  the same for a micro-batch of a stream, whose runs are parts
     shards/version=<n>/ shards of one build, partitioned by split
     published/claim=<n>/ one row per version; the newest is current
 
@@ -17,6 +18,7 @@ What a newer run or version replaces is deleted by ``vacuum`` and ``expire`` aft
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 
@@ -26,10 +28,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tokenloom import schemas
-from tokenloom.operators.layout import Offsets, global_offsets, stored_tokens, token_rows
+from tokenloom.operators.layout import Offsets, each_once, global_offsets, stored_tokens, token_rows
 from tokenloom.operators.shards import SHARD_SIZE, VAL_RATIO, build_shards, require_both_splits, write_shards
 from tokenloom.operators.tokenizers import Tokenizer
-from tokenloom.session import claim_number, delete_older, join_thin, partitions_for, shared_root, spread, table_at
+from tokenloom.session import claim_number, delete_older, is_complete, join_thin, partitions_for, shared_root, spread, table_at
 
 #: Up to this many sources the manifest is broadcast to the cache scan, past it it is joined.
 MAX_BROADCAST_SOURCES = 500_000
@@ -50,7 +52,11 @@ _MANIFEST = T.StructType(
         T.StructField("source_no", T.IntegerType()),
         T.StructField("docs", T.LongType()),
         T.StructField("n_tokens", T.LongType()),
-        T.StructField("signature", T.StringType()),
+        T.StructField("prints", T.LongType()),
+        T.StructField("text_bytes", T.LongType()),
+        T.StructField("text_xor", T.LongType()),
+        T.StructField("last_ord", T.LongType()),
+        T.StructField("part", T.BooleanType()),
         T.StructField("run", T.StringType()),
         T.StructField("run_seq", T.LongType()),
     ]
@@ -65,8 +71,13 @@ _PUBLISHED = T.StructType(
 )
 
 
+def _content() -> list[Column]:
+    """What is known of the contents of a source; figures of its parts add up."""
+    return [F.count("digest").alias("prints"), F.sum("bytes").alias("text_bytes"), F.bit_xor("digest").alias("text_xor")]
+
+
 def _signature() -> Column:
-    parts = [F.count("digest").cast("string"), F.sum("bytes").cast("string"), F.hex(F.bit_xor("digest"))]
+    parts = [F.sum("prints").cast("string"), F.sum("text_bytes").cast("string"), F.hex(F.bit_xor("text_xor"))]
     return F.concat_ws("-", *parts).alias("signature")
 
 
@@ -77,7 +88,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     else:
         text = [F.xxhash64("doc_ord", "text").alias("digest"), F.octet_length("text").cast("bigint").alias("bytes")]
         prints = docs.select("source_no", *text)
-    return prints.groupBy("source_no").agg(_signature())
+    return prints.groupBy("source_no").agg(*_content()).groupBy("source_no").agg(_signature())
 
 
 class Corpus:
@@ -95,10 +106,19 @@ class Corpus:
     def _table(self, name: str, schema: T.StructType) -> DataFrame:
         return table_at(self.spark, f"{self.root}/{name}", schema, nested=name != "cache")
 
+    def _valid(self) -> DataFrame:
+        """The manifest rows that count: of every source the newest whole run, and the parts added after it."""
+        whole = F.max(F.when(~F.col("part"), F.col("run_seq"))).over(Window.partitionBy("source_no"))
+        rows = self._table("manifest", _MANIFEST).withColumn("__since", whole)
+        return rows.where(F.col("run_seq") >= F.coalesce("__since", F.lit(0))).drop("__since")
+
     def manifest(self) -> DataFrame:
-        """The valid row of every source."""
-        newest = F.max_by(F.struct("docs", "n_tokens", "signature", "run"), "run_seq").alias("at")
-        return self._table("manifest", _MANIFEST).groupBy("source_no").agg(newest).select("source_no", "at.*")
+        """One row per source, for all of its valid runs; ``run`` is the newest."""
+        # parts hold no end of their source; without a whole run it is not counted yet
+        ends = F.min(F.col("part").cast("bigint")) if self.eos == "source" else F.lit(0).cast("bigint")
+        return self._valid().groupBy("source_no").agg(
+            (F.sum("docs") + ends).alias("docs"), (F.sum("n_tokens") + ends).alias("n_tokens"), _signature(), F.max_by("run", "run_seq").alias("run")
+        )
 
     def fresh(self, docs: DataFrame, detect: str = "number") -> DataFrame:
         """Documents of sources that still need tokenizing.
@@ -124,6 +144,8 @@ class Corpus:
 
         Returns the run, or None where nothing was new.
         """
+        if "tokens" in docs.columns and "digest" not in docs.columns:
+            docs = docs.withColumns({"digest": F.xxhash64("doc_ord", "tokens"), "bytes": F.col("n") * 4})
         fresh = docs if force else self.fresh(docs, detect)
         if sources is not None and not force:
             sources = sources.join(self.manifest().select("source_no"), "source_no", "left_anti")
@@ -131,33 +153,68 @@ class Corpus:
             return None
         # lengths a tokenizer cannot count are known only after tokenizing: do that once
         rows, tokens = token_rows(spread(stored_tokens(fresh, self.tokenizer)), self.tokenizer, self.eos, sources)
+        return self._commit(rows, tokens)
+
+    def add_batch(self, docs: DataFrame, stream: str, batch_id: int) -> str | None:
+        """Add the documents of a micro-batch to their sources, which may grow with every batch.
+
+        The batch is one commit under ``(stream, batch_id)``: run again after it, it adds nothing; run again after an attempt that
+        died, it replaces what that left.  A document whose place in a source is taken adds nothing, and of several with one
+        place in the batch the longest counts.  Nothing that is stored is written again.  One stream at a time may add to a source.
+        Returns the run, or None where nothing was new.
+        """
+        if not re.fullmatch(r"[\w.-]+", stream) or batch_id < 0:
+            raise ValueError(f"no name of a micro-batch: {stream!r}, {batch_id!r}")
+        place = f"manifest/stream={stream}/batch={batch_id}"
+        if is_complete(self.spark, f"{self.root}/{place}"):
+            return None
+        docs = docs.select("source_no", "doc_ord", "text")
+        touched = docs.select("source_no").distinct().checkpoint()
+        runs = self._valid().select("source_no", "run").join(touched, "source_no", "left_semi").checkpoint()
+        if not runs.isEmpty():
+            held = self._held(runs).where(F.col("digest").isNotNull()).select("source_no", "doc_ord")
+            taken = docs.select("source_no", "doc_ord").join(held, ["source_no", "doc_ord"], "left_semi").checkpoint()
+            docs = join_thin(docs, taken.distinct(), ["source_no", "doc_ord"], "left_anti", F.col("doc_ord"), MAX_BROADCAST_SOURCES)
+        docs = each_once(docs)
+        if docs.isEmpty():
+            return None
+        rows, tokens = token_rows(spread(docs), self.tokenizer, "none" if self.eos == "source" else self.eos)
+        return self._commit(rows, tokens, place)
+
+    def _commit(self, rows: DataFrame, tokens: Column, place: str | None = None) -> str:
+        """Write a run, then the manifest rows that make it visible, at ``place`` for a part."""
         run = uuid.uuid4().hex
         rows.select("source_no", "doc_ord", "n", tokens.alias("tokens"), "digest", "bytes").write.parquet(f"{self.root}/cache/run={run}")
-        self._register(run)
-        return run
-
-    def _register(self, run: str) -> None:
-        """One manifest row per source of the run, from the thin columns of what was written."""
         seq = claim_number(self.spark, f"{self.root}/claims/runs", lambda: self._highest("manifest", _MANIFEST, "run_seq"))
-        counts = (
-            self.spark.read.schema(_CACHE)
-            .parquet(f"{self.root}/cache/run={run}")
-            .groupBy("source_no")
-            .agg(F.count("*").alias("docs"), F.sum("n").cast("bigint").alias("n_tokens"), _signature())
-        )
-        rows = counts.select(
-            "source_no", "docs", "n_tokens", "signature", F.lit(run).alias("run"), F.lit(seq).cast("bigint").alias("run_seq")
-        )
-        rows.write.parquet(f"{self.root}/manifest/claim={seq}")
+        # from the thin columns of what was written
+        figures = [F.count("*").alias("docs"), F.sum("n").cast("bigint").alias("n_tokens"), *_content()]
+        last = F.max(F.when(F.col("digest").isNotNull(), F.col("doc_ord"))).alias("last_ord")
+        counts = self.spark.read.schema(_CACHE).parquet(f"{self.root}/cache/run={run}").groupBy("source_no").agg(*figures, last)
+        mine = {"part": F.lit(place is not None), "run": F.lit(run), "run_seq": F.lit(seq).cast("bigint")}
+        counts.withColumns(mine).select(_MANIFEST.names).write.mode("overwrite" if place else "error").parquet(f"{self.root}/{place or f'manifest/claim={seq}'}")
+        return run
 
     def _highest(self, table: str, schema: T.StructType, number: str) -> int:
         return self._table(table, schema).agg(F.coalesce(F.max(number), F.lit(-1)).alias("n")).first().n
 
+    def _held(self, runs: DataFrame) -> DataFrame:
+        return join_thin(self._table("cache", _CACHE), runs, ["source_no", "run"], "left_semi", F.col("doc_ord"), MAX_BROADCAST_SOURCES)
+
     def cache(self) -> DataFrame:
         """The valid documents of every source: ``source_no``, ``doc_ord``, ``n``, ``tokens``; an end-of-text id is a row of its own."""
-        valid = self.manifest().select("source_no", "run")
-        rows = join_thin(self._table("cache", _CACHE), valid, ["source_no", "run"], "left_semi", F.col("doc_ord"), MAX_BROADCAST_SOURCES)
-        return rows.select("source_no", "doc_ord", "n", "tokens")
+        columns = ["source_no", "doc_ord", "n", "tokens"]
+        valid = self._valid()
+        rows = self._held(valid.select("source_no", "run"))
+        if self.eos != "source":
+            return rows.select(columns)
+        # The end of a source that has grown stands behind its last part.
+        sums = valid.groupBy("source_no").agg(F.max("part").alias("grown"), F.max("last_ord").alias("last_ord"))
+        grown = sums.where("grown").select("source_no", "grown", (F.coalesce("last_ord", F.lit(-1)) + 1).alias("doc_ord")).checkpoint()
+        if grown.isEmpty():
+            return rows.select(columns)
+        ends = grown.select("source_no", "doc_ord", F.lit(1).cast("bigint").alias("n"), F.array(F.lit(self.tokenizer.eos_id)).alias("tokens"))
+        rows = join_thin(rows, grown.select("source_no", "grown"), ["source_no"], "left", F.col("doc_ord"), MAX_BROADCAST_SOURCES)
+        return rows.where(F.col("grown").isNull() | F.col("digest").isNotNull()).select(columns).unionByName(ends)
 
     def offsets(self) -> Offsets:
         """Global spans of the documents, from the cache's thin columns."""
@@ -215,7 +272,7 @@ class Corpus:
         Runs that were never registered are left alone: they may be under way.
         """
         runs = self._table("manifest", _MANIFEST).select("run").distinct()
-        unused = runs.join(self.manifest().select("run").distinct(), "run", "left_anti")
+        unused = runs.join(self._valid().select("run").distinct(), "run", "left_anti")
         return sum(delete_older(self.spark, f"{self.root}/cache/run={row.run}", grace) for row in unused.toLocalIterator())
 
 

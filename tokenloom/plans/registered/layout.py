@@ -335,4 +335,17 @@ def _(spark, sf_dir):
     return ingest.landed_counts(ingest.landed(spark, f"{root}/landing*/*"), content)
 
 
+@query("stream_into_corpus", _SHARDS_CHECK + " GROUP BY split, shard")
+def _(spark, sf_dir):
+    """Sources that grow with every micro-batch, files read again by one state, and all of them once more by a new one."""
+    root = scratch_dir(spark, "stream-corpus")
+    arrived = f"{root}/arrived"
+    docs(spark, sf_dir).repartition(4, "doc_ord").write.parquet(arrived)
+    corpus = Corpus(spark, f"{root}/corpus", CODEPOINT)
+    for state in ("state", "state", "lost"):
+        stream = ingest.file_stream(spark, arrived, spark.read.parquet(arrived).schema, files_per_batch=2)
+        ingest.land_in_corpus(stream, lambda df: df, corpus, f"{root}/{state}").awaitTermination()
+    return _digested(corpus.shards(SHARD, RATIO))
+
+
 __all__ = ["built_shards", "shard_list"]

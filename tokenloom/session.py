@@ -126,6 +126,12 @@ def delete_older(spark: SparkSession, path: str, grace: float = 0.0) -> bool:
     return bool(fs.delete(hadoop_path, True))
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to this folder has ended: Spark's committer leaves its mark then."""
+    fs, mark = _file_system(spark, f"{path}/_SUCCESS")
+    return bool(fs.exists(mark))
+
+
 def table_at(spark: SparkSession, path: str, schema: T.StructType, nested: bool = False) -> DataFrame:
     """The Parquet table at ``path``, empty where nothing has been written yet; ``nested`` looks into all folders below."""
     fs, hadoop_path = _file_system(spark, path)
@@ -147,7 +153,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
 def join_thin(
     big: DataFrame, thin: DataFrame, keys: Sequence[str], how: str, salt: Column, max_rows: int
 ) -> DataFrame:
-    """Join a table of keys to the rows they belong to, for inner, semi and anti joins.
+    """Join a table of keys to the rows they belong to, for inner, left, semi and anti joins.
 
     Up to ``max_rows`` the thin side is counted and broadcast, so the rows stay where they are.  Past it
     both sides are shuffled by key and salt, so that a key with a third of all rows spreads too.

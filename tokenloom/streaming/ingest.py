@@ -1,13 +1,13 @@
 """Files that arrive over time, tokenized once each.
 
-The stream does the per-document work and writes every micro-batch to its own folder, so a
-batch that is run again replaces itself.  Places are global, so they are given
-afterwards, by ``Corpus.add`` over the landed tokens.  Landed documents keep the digest and the size of their texts,
+``land_in_corpus`` commits every micro-batch to a corpus.  ``land_tokens`` only does the per-document work and writes every micro-batch to its
+own folder, so a batch that is run again replaces itself; ``Corpus.add`` takes the landed tokens.  Landed documents keep the digest and the size of their texts,
 so ``Corpus.add`` can tell by content which sources have changed.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,17 +16,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tokenloom import schemas
-from tokenloom.operators.layout import tokenize_with_prints
+from tokenloom.operators.layout import each_once, tokenize_with_prints
 from tokenloom.operators.tokenizers import Tokenizer
-from tokenloom.session import shared_root
+from tokenloom.plans.corpus import Corpus
 
 
 LANDED = T.StructType([*schemas.TOKEN_CACHE.fields, T.StructField("digest", T.LongType()), T.StructField("bytes", T.LongType())])
 
-#: Up to this many repeated documents are broadcast by key, past it all rows are shuffled.
-MAX_BROADCAST_REPEATS = 1_000_000
-
-
 def file_stream(
     spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000, glob: str | None = None
 ) -> DataFrame:
@@ -61,33 +57,34 @@ def land_tokens(
     )
 
 
+def land_in_corpus(stream: DataFrame, to_docs: Callable[[DataFrame], DataFrame], corpus: Corpus, checkpoint: str) -> StreamingQuery:
+    """Make what has arrived part of ``corpus``, one commit per micro-batch, then stop.
+
+    ``to_docs`` maps the raw columns to ``(source_no, doc_ord, text)``.  A batch that is run again adds nothing, nor does a
+    document whose place is known, so a lost checkpoint only costs the reading.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # Spark names a stream in its checkpoint; a new checkpoint numbers its batches anew, under another name.
+        about = batch.sparkSession.read.text(f"{checkpoint.rstrip('/')}/metadata").first()
+        corpus.add_batch(batch, json.loads(about.value)["id"], batch_id)
+
+    return (
+        to_docs(stream).writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def landed(spark: SparkSession, landing: str) -> DataFrame:
     """Landed documents, each once, however often its file was delivered.
 
-    Repeats are looked for among the keys alone; as a rule there are few, and then no tokens move
-    but theirs.  Where a key came with different content, the longest is kept.
+    Where a key came with different content, the longest is kept.
     """
-    shared_root(spark)
-    keys = ["source_no", "doc_ord"]
-    rows = spark.read.schema(LANDED).parquet(landing).select(LANDED.names)
-    repeated = rows.groupBy(*keys).count().where(F.col("count") > 1).select(*keys).checkpoint()
-    n = repeated.limit(MAX_BROADCAST_REPEATS + 1).count()
-    if n == 0:
-        return rows
-    if n > MAX_BROADCAST_REPEATS:
-        return _longest(rows, keys)
-    repeated = F.broadcast(repeated)
-    once = rows.join(repeated, keys, "left_anti")
-    return once.unionByName(_longest(rows.join(repeated, keys, "left_semi"), keys))
+    return each_once(spark.read.schema(LANDED).parquet(landing).select(LANDED.names))
 
 
 def landed_counts(rows: DataFrame, *more: Column) -> DataFrame:
     return rows.groupBy("source_no").agg(F.count("*").alias("docs"), F.sum("n").cast("bigint").alias("n_tokens"), *more)
 
-
-def _longest(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Of rows with one key the longest, the greater tokens where they are as long: the same row in every run."""
-    more = [c for c in rows.columns if c not in keys]
-    first = [c for c in ("n", "tokens") if c in more]
-    best = F.max(F.struct(*first, *[c for c in more if c not in first])).alias("r")
-    return rows.groupBy(*keys).agg(best).select(*keys, "r.*").select(rows.columns)
