@@ -108,9 +108,9 @@ class Corpus:
 
     def _valid(self) -> DataFrame:
         """The manifest rows that count: of every source the newest whole run, and the parts added after it."""
-        whole = F.max(F.when(~F.col("part"), F.col("run_seq"))).over(Window.partitionBy("source_no"))
-        rows = self._table("manifest", _MANIFEST).withColumn("__since", whole)
-        return rows.where(F.col("run_seq") >= F.coalesce("__since", F.lit(0))).drop("__since")
+        rows = self._table("manifest", _MANIFEST)
+        whole = rows.where(~F.col("part")).groupBy("source_no").agg(F.max("run_seq").alias("__since"))
+        return rows.join(whole, "source_no", "left").where(F.col("run_seq") >= F.coalesce("__since", F.lit(0))).drop("__since")
 
     def manifest(self) -> DataFrame:
         """One row per source, for all of its valid runs; ``run`` is the newest."""
