@@ -3,9 +3,10 @@ from pyspark.sql import functions as F
 
 from tests import model
 from tokenloom.functions import text as tx
+from tokenloom.operators import layout as lay
 from tokenloom.operators import tokenizers as tk
 from tokenloom.plans.corpus import Corpus
-from tokenloom.schemas import DOCS
+from tokenloom.schemas import DOCS, TOKEN_CACHE
 from tokenloom.streaming import ingest
 
 
@@ -56,6 +57,48 @@ def test_a_batch_run_again_replaces_itself(spark, tmp_path):
     assert spark.read.parquet(landing).count() == 4
 
 
+def land(spark, root, name, rows):
+    spark.createDataFrame(rows, DOCS).coalesce(2).write.parquet(f"{root}/arrived-{name}")
+    stream = ingest.file_stream(spark, f"{root}/arrived-{name}", DOCS)
+    ingest.land_tokens(stream, lambda df: df, tk.codepoint(), f"{root}/landing-{name}", f"{root}/state-{name}").awaitTermination()
+
+
+def landed_rows(spark, root):
+    return sorted((r.source_no, r.doc_ord, "".join(map(chr, r.tokens))) for r in ingest.landed(spark, f"{root}/landing-*/*").collect())
+
+
+def test_files_landed_twice_count_once_and_move_no_tokens(spark, tmp_path):
+    rows = [(i % 3, i, f"text {i}") for i in range(300)]
+    land(spark, tmp_path, "a", rows)
+    land(spark, tmp_path, "b", list(reversed(rows)))
+    assert landed_rows(spark, tmp_path) == sorted(rows)
+    plan = ingest.landed(spark, f"{tmp_path}/landing-*/*")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("bounds", [{}, {"MAX_BROADCAST_MASKS": 0, "MAX_BROADCAST_REPEATS": 0}])
+def test_of_landed_copies_the_longest_counts_the_greater_where_they_are_as_long(spark, tmp_path, monkeypatch, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(lay, name, value)
+    kinds = [("same", "same"), ("short", "a longer one"), ("as long: b", "as long: a"), ("", ""), (None, ""), (None, None), ("once", None)]
+    first = [(i % 4, i, kinds[i % 7][0]) for i in range(200)]
+    second = [(i % 4, i, kinds[i % 7][1]) for i in range(200) if i % 7 != 6]
+    third = [(0, 7 * i, "same") for i in range(0, 28, 4)]  # a third copy of some
+    for name, rows in (("a", first), ("b", second), ("c", third), ("d", [(9, 1, "alone")])):
+        land(spark, tmp_path, name, rows)
+    wanted = {}
+    for source, order, text in first + second + third + [(9, 1, "alone")]:
+        text = text or ""  # a null text has no tokens
+        wanted[source, order] = max(wanted.get((source, order), ""), text, key=lambda t: (len(t), t))
+    assert landed_rows(spark, tmp_path) == sorted((*k, t) for k, t in wanted.items())
+
+
+def test_landed_copies_without_digests_are_compared_by_their_tokens(spark, tmp_path):
+    for name, ids in (("a", [1, 2]), ("b", [1, 3])):
+        spark.createDataFrame([(0, i, 2, ids) for i in range(3)], TOKEN_CACHE).write.parquet(f"{tmp_path}/landing/batch_id={name}")
+    assert sorted((r.doc_ord, r.tokens) for r in ingest.landed(spark, f"{tmp_path}/landing").collect()) == [(i, [1, 3]) for i in range(3)]
+
+
 def test_changed_content_is_noticed_on_landed_tokens(spark, tmp_path):
     corpus = Corpus(spark, str(tmp_path / "c"), tk.codepoint())
     docs = {0: rows_of(0), 1: rows_of(1)}

@@ -21,6 +21,10 @@ TOKEN_GROWTH = 12.0
 #: Up to this many repeated documents are broadcast by key, past it all rows are shuffled.
 MAX_BROADCAST_REPEATS = 1_000_000
 
+#: Rows of a file whose choice is one bit each of one BIGINT, and up to how many of those are broadcast; past it they are joined.
+MASK_BITS = 6
+MAX_BROADCAST_MASKS = 1 << 18
+
 
 def text_or_tokens(docs: DataFrame, tokenizer: Tokenizer, eos: str) -> tuple[str, Column]:
     """The column of ``docs`` that token rows are made from, and the expression that makes them (before the end of a source)."""
@@ -98,6 +102,41 @@ def each_once(docs: DataFrame) -> DataFrame:
     return once.unionByName(_longest(docs.join(repeated, keys, "left_semi"), keys))
 
 
+def stored_once(rows: DataFrame, file: str, index: str) -> DataFrame:
+    """``each_once`` of token rows in files, where most of them may be repeats: ``file`` and ``index`` name the place of a row, and go.
+
+    Which copy counts is settled on thin rows: size, digest, place.  The chosen places come back as bits, one BIGINT for 64 rows of a file,
+    so tokens stay where they are read.  Only documents of one size with different digests, or without one, are compared by their tokens.
+    """
+    shared_root(rows.sparkSession)
+    keys = ["source_no", "doc_ord"]
+    plain = rows.drop(file, index)
+    if rows.groupBy(*keys).count().where(F.col("count") > 1).isEmpty():
+        return plain
+    size = F.coalesce("n", _long(-1)).alias("size")
+    best = rows.groupBy(*keys).agg(
+        F.max(F.struct(size, "digest", F.col(file).alias("file"), F.col(index).alias("index"))).alias("best"),
+        F.max(F.struct(size, F.bitwise_not("digest").alias("digest"))).alias("least"),  # of that size, the other end of the digests
+        F.count("*").alias("copies"),
+        F.bool_or(F.col("digest").isNull()).alias("unknown"),
+    )
+    alike = (F.col("copies") == 1) | (~F.col("unknown") & (F.col("best.digest") == F.bitwise_not("least.digest")))
+    chosen, facts = written_with(
+        best.select(*keys, F.col("best.file").alias(file), F.col("best.index").alias(index), alike.alias("alike")), "chosen", unlike=F.count_if(~F.col("alike"))
+    )
+    word, bit = F.shiftright(F.col(index), MASK_BITS), F.col(index).bitwiseAND((1 << MASK_BITS) - 1).cast("int")
+    bits = F.bit_or(F.call_function("shiftleft", _long(1), bit)).alias("__bits")
+    masks, told = written_with(chosen.where("alike").groupBy(file, word.alias("__word")).agg(bits), "masks", n=F.count(F.lit(1)))
+    masks = F.broadcast(masks) if told["n"] <= MAX_BROADCAST_MASKS else masks.hint("shuffle_hash")
+    once = rows.withColumn("__word", word).join(masks, [file, "__word"]).where(F.getbit("__bits", bit) == 1).select(plain.columns)
+    if not facts["unlike"]:
+        return once
+    unlike = chosen.where(~F.col("alike")).select(*[F.col(k).alias(f"__{k}") for k in keys])
+    unlike = F.broadcast(unlike) if facts["unlike"] <= MAX_BROADCAST_REPEATS else unlike
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return once.unionByName(_longest(plain.join(unlike, same, "left_semi"), keys))
+
+
 def _longest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Of rows with one key the longest, the greater content where they are as long: the same row in every run."""
     more = [c for c in rows.columns if c not in keys]

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tokenloom import schemas
-from tokenloom.operators.layout import each_once, tokenize_with_prints
+from tokenloom.operators.layout import stored_once, tokenize_with_prints
 from tokenloom.operators.tokenizers import Tokenizer
 from tokenloom.plans.corpus import Corpus
 
@@ -82,7 +82,8 @@ def landed(spark: SparkSession, landing: str) -> DataFrame:
 
     Where a key came with different content, the longest is kept.
     """
-    return each_once(spark.read.schema(LANDED).parquet(landing).select(LANDED.names))
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row")]
+    return stored_once(spark.read.schema(LANDED).parquet(landing).select(*LANDED.names, *place), "__file", "__row")
 
 
 def landed_counts(rows: DataFrame, *more: Column) -> DataFrame:
