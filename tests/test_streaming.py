@@ -6,6 +6,7 @@ from tokenloom.functions import text as tx
 from tokenloom.operators import layout as lay
 from tokenloom.operators import tokenizers as tk
 from tokenloom.plans.corpus import Corpus
+from tokenloom.plans.registered import layout as registered
 from tokenloom.schemas import DOCS, TOKEN_CACHE
 from tokenloom.streaming import ingest
 
@@ -183,3 +184,15 @@ def test_whole_runs_replace_parts(spark, tmp_path):
     assert shards_of(corpus) == grown
     assert corpus._valid().count() == 2 and corpus.vacuum(grace=0) == 2
     assert shards_of(corpus) == grown
+
+
+def test_larger_inputs_are_delivered_in_more_files_not_larger_ones(spark, tmp_path, monkeypatch):
+    docs = registered.docs(spark, "/root/testdata/sf0.01")
+    whole = registered.estimated_bytes(docs)
+    for n, target in ((4, 1 << 40), (10, int(whole * lay.TEXT_GROWTH / 9.5))):
+        monkeypatch.setattr(registered, "TARGET_BYTES", target)
+        arrived = str(tmp_path / f"arrived-{n}")
+        assert registered.deliver(docs, arrived) == n
+        sizes = [f.stat().st_size for f in (tmp_path / f"arrived-{n}").glob("*.parquet")]
+        assert len(sizes) == n and max(sizes) < 2 * sum(sizes) / n
+        assert spark.read.parquet(arrived).exceptAll(docs).isEmpty() and docs.exceptAll(spark.read.parquet(arrived)).isEmpty()

@@ -23,7 +23,7 @@ from tokenloom.plans.registered.registry import (
     query,
     sql_mark,
 )
-from tokenloom.session import scratch_dir, spread
+from tokenloom.session import TARGET_BYTES, estimated_bytes, scratch_dir, spread
 from tokenloom.streaming import ingest
 
 CODEPOINT = tk.codepoint()
@@ -335,17 +335,24 @@ def _(spark, sf_dir):
     return ingest.landed_counts(ingest.landed(spark, f"{root}/landing*/*"), content)
 
 
+def deliver(everything, arrived):
+    """Write the documents as files that each hold some of every source, four of them or as many as keep a file small; returns the number."""
+    files = max(4, -(-int((estimated_bytes(everything) or 0) * lay.TEXT_GROWTH) // TARGET_BYTES))
+    everything.repartition(files, "doc_ord").write.parquet(arrived)
+    return files
+
+
 @query("stream_into_corpus", _SHARDS_CHECK + " GROUP BY split, shard")
 def _(spark, sf_dir):
     """Sources that grow with every micro-batch, files read again by one state, and all of them once more by a new one."""
     root = scratch_dir(spark, "stream-corpus")
     arrived = f"{root}/arrived"
-    docs(spark, sf_dir).repartition(4, "doc_ord").write.parquet(arrived)
+    files = deliver(docs(spark, sf_dir), arrived)
     corpus = Corpus(spark, f"{root}/corpus", CODEPOINT)
     for state in ("state", "state", "lost"):
-        stream = ingest.file_stream(spark, arrived, spark.read.parquet(arrived).schema, files_per_batch=2)
+        stream = ingest.file_stream(spark, arrived, spark.read.parquet(arrived).schema, files_per_batch=-(-files // 2))
         ingest.land_in_corpus(stream, lambda df: df, corpus, f"{root}/{state}").awaitTermination()
     return _digested(corpus.shards(SHARD, RATIO))
 
 
-__all__ = ["built_shards", "shard_list"]
+__all__ = ["built_shards", "deliver", "shard_list"]
